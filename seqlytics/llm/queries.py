@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, packing, quality, shards, urls, warc
+from . import decontaminate, html, jaccard, media, packing, quality, shards, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
 
@@ -49,5 +57,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_url_filter, op4_quality, op5_packing, op7_decontamination, op8_warc, op9_media, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_html_text, op3_url_filter, op4_quality, op5_packing, op7_decontamination, op8_warc, op9_media, op10_sharding)}
 ORACLES: dict[str, str] = {}
