@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, media, packing, quality, shards, urls, warc
+from . import decontaminate, html, jaccard, lm, media, packing, quality, shards, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep_text=False)
     return decontaminate.report(scanned).withColumnRenamed("key", "doc_id")
@@ -57,5 +61,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_html_text, op3_url_filter, op4_quality, op5_packing, op7_decontamination, op8_warc, op9_media, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_html_text, op3_url_filter, op4_quality, op5_packing, op6_language_model, op7_decontamination, op8_warc, op9_media, op10_sharding)}
 ORACLES: dict[str, str] = {}
