@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import as_bytes, batch, bounded_batches, each
+from .common import as_bytes, batch, bounded_batches
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Upper case to lower case, everything that is in no word to a blank.
@@ -98,18 +99,22 @@ def item_blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> Ite
     yield block
 
 
-SCANNED = "key long, text string, n_words long, n_hit long, hit binary, items array<string>"
+STATE = StructType.fromDDL("key long, text string, n_words long, n_hit long, hit binary, items array<string>")
+ARROW_STATE = pa.schema([("key", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
 
 
 def scan(
-    df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, block_bytes: int = BLOCK_BYTES, keep_text: bool = True
-) -> DataFrame:
-    """(key, text, n_words, n_hit, hit, items): one bit for each word (packed), and the sorted ids of the items that occur. Without ``keep_text`` texts come back null."""
+    df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, block_bytes: int = BLOCK_BYTES,
+    keep_text: bool = True, others: tuple[str, ...] = (),
+) -> DataFrame:
+    """(key, text, n_words, n_hit, hit, items, and the columns ``others``): one bit for each word (packed), and the sorted ids of the items that occur.
+    Without ``keep_text`` texts come back null. ``others`` must not be called like these."""
     spark = df.sparkSession
     bounded_batches(spark)
     zero = F.lit(0).cast("long")
-    out = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), zero.alias("n_words"), zero.alias("n_hit"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
-    schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
+    start = [F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), zero.alias("n_words"), zero.alias("n_hit"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items")]
+    out = df.select(*start, *[F.col(f"`{c}`") for c in others])
+    schema = StructType([*STATE.fields, *out.schema.fields[len(STATE) :]])
     blocks = item_blocks(items, item, item_text, block_bytes)
     block: list | None = next(blocks)
     while block is not None:
@@ -118,7 +123,8 @@ def scan(
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared, keep=keep) -> Iterator[pa.RecordBatch]:
             windows = shared.value
-            for keys, texts, hits, named in each(batches, "key", "text", "hit", "items"):
+            for whole in batches:
+                keys, texts, _, _, hits, named, *rest = whole.columns
                 n_words, n_hit, bits, ids = [], [], [], []
                 for data, old, before in zip(as_bytes(texts), hits.to_pylist(), named.to_pylist(), strict=True):
                     words = words_of(data)
@@ -129,9 +135,10 @@ def scan(
                     n_hit.append(int(hit.sum()))
                     bits.append(np.packbits(hit).tobytes())
                     ids.append(sorted(found | set(before)) if found else before)
-                yield batch(schema, key=keys, text=texts if keep else pa.nulls(len(texts), pa.string()), n_words=n_words, n_hit=n_hit, hit=bits, items=ids)
+                state = batch(ARROW_STATE, key=keys, text=texts if keep else pa.nulls(len(texts), pa.string()), n_words=n_words, n_hit=n_hit, hit=bits, items=ids)
+                yield pa.RecordBatch.from_arrays([*state.columns, *rest], names=whole.schema.names)
 
-        out = out.mapInArrow(find, SCANNED)
+        out = out.mapInArrow(find, schema)
         block = after
     return out
 
@@ -146,19 +153,21 @@ def report(scanned: DataFrame) -> DataFrame:
 
 
 def clean(scanned: DataFrame) -> DataFrame:
-    """(key, text) without contaminated documents; from the others the hit spans are cut out."""
-    schema = pa.schema([("key", pa.int64()), ("text", pa.string())])
+    """``scanned`` without contaminated documents; from the texts of the others the hit spans are cut out."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts, hits, counts in each(batches, "key", "text", "hit", "n_words"):
+        for whole in batches:
+            hits, counts, n_hits = (whole.column(c).to_pylist() for c in ("hit", "n_words", "n_hit"))
+            if not any(n_hits):
+                yield whole
+                continue
             out = []
-            for data, packed, n in zip(as_bytes(texts), hits.to_pylist(), counts.to_pylist(), strict=True):
+            for data, packed, n, n_hit in zip(as_bytes(whole.column("text")), hits, counts, n_hits, strict=True):
                 left, at = [], 0
-                for a, b in spans_of(data or b"", np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)):
+                for a, b in spans_of(data, np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)) if n_hit else []:
                     left.append(data[at:a])
                     at = b
-                out.append(b"".join([*left, data[at:]]).decode())
-            yield batch(schema, key=keys, text=out)
+                out.append(b"".join([*left, data[at:]]).decode() if n_hit else None if data is None else data.decode())
+            yield whole.set_column(whole.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
-    untouched = scanned.where("n_hit = 0").select("key", "text")
-    return untouched.unionByName(scanned.where((F.col("n_hit") > 0) & ~is_contaminated()).mapInArrow(cut, "key long, text string"))
+    return scanned.where(~is_contaminated()).mapInArrow(cut, scanned.schema)

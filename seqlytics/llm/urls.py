@@ -65,23 +65,25 @@ def shapes(pages: DataFrame, depth: int) -> DataFrame:
 
 
 def template_tree(counts: DataFrame, depth: int, support: int, z: float, m: float) -> DataFrame:
-    """(host, s1.., template, purity) from (host, s1.., n, labelled, blocked)."""
-    total = counts.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    prior = total.select(((F.coalesce("b", F.lit(0)) + 1) / (F.coalesce("l", F.lit(0)) + 2)).alias("prior"))
-    hosts = counts.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).crossJoin(F.broadcast(prior))
-    hosts = hosts.select("host", ((F.col("b") + m * F.col("prior")) / (F.col("l") + m)).alias("purity"))
-    tree = counts.join(hosts, "host").withColumn("template", F.lit(""))
+    """(host, s1.., template, purity), written, from (host, s1.., n, labelled, blocked). Each level is a written table, so plans stay as small as one level."""
+    l, b = counts.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    prior = (b + 1) / (l + 2)
+    hosts = counts.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    hosts = hosts.select("host", ((F.col("b") + m * prior) / (F.col("l") + m)).alias("purity"))
+    tree = written(counts.join(hosts, "host").withColumn("template", F.lit("")), "url-level")
     for i in range(1, depth + 1):
         seg = f"s{i}"
-        children = tree.groupBy("host", "template", seg).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("p_k"), F.sum("n").alias("p_n"), F.sum("labelled").alias("p_l"), F.sum("blocked").alias("p_b"))
+        children = written(tree.groupBy("host", "template", "purity", seg).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]), "url-children")
+        parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("p_k"), F.sum("labelled").alias("p_l"), F.sum("blocked").alias("p_b"))
         rate = (F.col("p_b") + 0.5) / (F.col("p_l") + 1)
         off = F.abs(F.col("blocked") / F.nullif(F.col("labelled"), F.lit(0)) - rate) / F.sqrt(rate * (1 - rate) / F.nullif(F.col("labelled"), F.lit(0)))
         literal = (F.col("p_k") == 1) | ((F.col("n") >= support) & F.coalesce(off >= z, F.lit(False)))
-        named = children.join(parents, ["host", "template"]).select("host", "template", seg, F.when(literal, F.col(seg)).otherwise(F.lit("*")).alias("step"))
-        tree = tree.join(named, ["host", "template", seg]).withColumn("template", F.concat("template", F.lit("/"), "step")).drop("step")
-        own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        tree = tree.join(own, ["host", "template"]).withColumn("purity", (F.col("b") + m * F.col("purity")) / (F.col("l") + m)).drop("l", "b")
+        named = children.join(parents, ["host", "template"]).select("host", "template", "purity", seg, F.when(literal, F.col(seg)).otherwise(F.lit("*")).alias("step"), "labelled", "blocked")
+        named = written(named, "url-steps")
+        own = named.groupBy("host", "template", "step").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+        branch = named.drop("labelled", "blocked", "purity").join(own, ["host", "template", "step"])
+        tree = tree.join(branch, ["host", "template", seg]).withColumn("template", F.concat("template", F.lit("/"), "step"))
+        tree = written(tree.withColumn("purity", (F.col("b") + m * F.col("purity")) / (F.col("l") + m)).drop("l", "b", "step"), "url-level")
     return tree
 
 
@@ -98,6 +100,6 @@ def judge_urls(
     label = F.when(F.col("found").isNotNull(), F.when(F.col("found.verdict") == "block", 1).otherwise(0)).when(bad_host, 1).otherwise(0)
     # A third of all pages may share a host and a shape: partial sums come before the shuffle, and the join back below is one that can be split.
     counts = pages.groupBy("host", *steps).agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked"))
-    tree = written(template_tree(written(counts, "url-shapes"), depth, support, z, m).select("host", *steps, "template", "purity"), "url-tree")
+    tree = template_tree(written(counts, "url-shapes"), depth, support, z, m).select("host", *steps, "template", "purity")
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return pages.join(tree, ["host", *steps]).select("key", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
