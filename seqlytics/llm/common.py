@@ -1,13 +1,7 @@
-"""Shared plumbing of the corpus operators: scratch tables, Arrow helpers, byte hashing.
-
-Scratch tables are Parquet files in the folder that the cluster names in ``spark.checkpoint.dir``.
-They cut lineage: an executor that is lost later costs a re-read, never a re-computation of a
-non-deterministic step, and every stage that follows sees the same rows.
-"""
+"""Shared plumbing of the corpus operators: Arrow helpers and byte hashing; scratch tables are the package's own."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,34 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where a session names no shared folder of its own, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local default if unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/seqlytics-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` as a written table: computed once, then read back from the shared folder."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from seqlytics.sources.scratch import scratch_path, shared_dir, table, written
 
+__all__ = ["as_bytes", "batch", "bounded_batches", "each", "mix64", "pick", "scratch_path", "shared_dir", "table", "written"]
 
 def bounded_batches(spark: SparkSession, megabytes: int = 32) -> None:
     """Arrow batches by bytes as well as rows, so that very long texts cannot fill a Python worker."""

@@ -24,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batch, bounded_batches, each, mix64, written
@@ -36,6 +36,8 @@ COUNTED = 2_000_000
 #: Above this size no set is light, whatever the costs say: 20 choose 3 subsets and more.
 MOST_LIGHT = 20
 SKETCH = 8
+#: Ids of documents in candidate pairs, 8 MB of them at most, that may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93]
 
@@ -215,14 +217,24 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def leader_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the leader of each list and size class with every other member. The leader is the set most of whose postings are in shared lists."""
-    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    worth = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("in_lists"), F.max("n").alias("size"))
-    worth = worth.select("doc", F.least(F.lit(1000), (1000 * F.col("in_lists") / prefix).cast("int")).alias("worth"))
-    entry = shared.join(worth, "doc").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))))
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches of two sides, with n and sk, allow a link. Never false for documents that do link."""
+    apart = sum((F.bit_count(F.col(f"{x}.sk")[i].bitwiseXOR(F.col(f"{y}.sk")[i])) for i in range(SKETCH)), F.lit(0))
+    near = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
+    return near & ((100 + percent) * apart <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+
+
+def leader_pairs(shared: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the leader of each list and size class with every other member it may link with. The leader is the set most of whose postings are in shared lists."""
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    worth = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("in_lists")).join(marks.select("doc", "n"), "doc")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
+    worth = worth.select("doc", F.least(F.lit(1000), (1000 * F.col("in_lists") / prefix).cast("int")).alias("worth"), size_class.alias("class"))
+    entry = shared.join(worth, "doc")
     leaders = entry.groupBy("token", "class").agg(F.max_by("doc", F.struct("worth", -F.col("doc"))).alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return entry.join(leaders, ["token", "class"]).where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = entry.join(leaders, ["token", "class"]).where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    x, y = marks.alias("x"), marks.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.doc")).join(y, (F.col("b") == F.col("y.doc")) & may_link("x", "y", percent)).select("a", "b")
 
 
 def led_by(star_links: DataFrame) -> DataFrame:
@@ -232,23 +244,25 @@ def led_by(star_links: DataFrame) -> DataFrame:
     return each_one.groupBy("doc").agg(F.max_by("group", F.struct("k", "group")).alias("group"))
 
 
-def remaining_pairs(shared: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one list that share no leader and whose sizes and sketches allow a link. ``marks``: (doc, n, group, sk)."""
-    side = shared.join(marks, ["doc", "n"]).select("token", "doc", "n", "group", *[F.col("sk")[i].alias(f"s{i}") for i in range(SKETCH)])
-    side = written(side, "sides")
+def remaining_pairs(shared: DataFrame, marks: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one list that share no group and may link. Only lists with more than one group are looked at."""
+    side = written(shared.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "grouped")
+    open_lists = side.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("token")
+    side = written(side.join(open_lists, "token").join(marks, "doc"), "sides")
     x, y = side.alias("x"), side.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.lit(0))
-    may = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.group") != F.col("y.group"))
-    may &= 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    may &= (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    may = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.group") != F.col("y.group")) & may_link("x", "y", percent)
     return x.join(y, may).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
 def checked(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those pairs that link. Only documents that are in a pair have their sets built and moved."""
+    """Those pairs that link, by their whole sets. Only documents that are in a pair have their sets built.
+
+    Their ids are broadcast if they are at most BROADCAST_IDS; beyond that texts are dealt out by id to meet them.
+    """
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = written(shingle_sets(rows.join(wanted, "doc", "left_semi"), n).distinct(), "sets")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    sets = written(shingle_sets(rows.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi"), n).distinct(), "sets")
     return written(similar(pairs, sets, percent), "links")
 
 
@@ -257,14 +271,14 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     posted = written(postings(rows, n, percent), "posted")
-    entries = posted.where("doc IS NOT NULL").select(F.explode("tokens").alias("token"), "doc", "n")
+    entries = posted.where("doc IS NOT NULL").select(F.explode("tokens").alias("token"), "doc")
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     shared = written(entries.join(lists, "token").distinct(), "lists")
+    known = posted.where("doc IS NOT NULL").select("doc", "n", "sk")
+    marks = written(known.join(shared.select("doc").distinct(), "doc", "left_semi").distinct(), "marks")
 
-    star_links = checked(leader_pairs(shared, percent), rows, n, percent)
-    marks = posted.where("doc IS NOT NULL").select("doc", "n", "sk").join(shared.select("doc").distinct(), "doc", "left_semi").distinct()
-    marks = marks.join(led_by(star_links), "doc", "left").withColumn("group", F.coalesce("group", "doc"))
-    more = checked(remaining_pairs(shared, marks, percent), rows, n, percent)
+    star_links = checked(leader_pairs(shared, marks, percent), rows, n, percent)
+    more = checked(remaining_pairs(shared, marks, led_by(star_links), percent), rows, n, percent)
     return posted.select("doc", "n"), star_links.unionByName(more)
 
 
