@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from seqlytics.plans import columns, sequences, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = sequences.QUERIES | columns.QUERIES | texts.QUERIES
+ORACLES: dict[str, str] = sequences.ORACLES | columns.ORACLES | texts.ORACLES
