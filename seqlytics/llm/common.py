@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqlytics.sources.scratch import scratch_path, shared_dir, table, written
 
-__all__ = ["as_bytes", "batch", "bounded_batches", "each", "mix64", "pick", "scratch_path", "shared_dir", "table", "written"]
+__all__ = ["as_bytes", "batch", "bounded_batches", "each", "hashed_sample", "mix64", "most_frequent", "pick", "scratch_path", "shared_dir", "table", "written"]
 
 def bounded_batches(spark: SparkSession, megabytes: int = 32) -> None:
     """Arrow batches by bytes as well as rows, so that very long texts cannot fill a Python worker."""
@@ -52,3 +52,27 @@ def each(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[pa.Arr
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator needs, so that extra columns never clash with its own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``counts`` with the largest ``column``: whole classes of 1/64 of a natural logarithm, so no task sends more rows than it has in them.
+
+    A sorted limit would send ``most`` rows from every task to the driver.
+    """
+    bins = F.floor(F.log(F.col(column).cast("double")) * 64)
+    sizes = counts.groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each class, under 3,000
+    held, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["bin"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["bin"]
+    return counts.where(bins >= least) if least is not None else counts.limit(0)
+
+
+def hashed_sample(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """About 0.9 * ``most`` rows of ``df``, or all if there are no more than that: those whose key's hash is below a bound."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(0.9 * most / n * (1 << 30)))

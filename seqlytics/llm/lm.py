@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, bounded_batches, each, mix64, written
+from .common import as_bytes, batch, bounded_batches, each, mix64, most_frequent, written
 
 KNOWN = 1 << 17
 HEAD, CLASS = 1024, 32
@@ -118,7 +118,7 @@ def count_tokens(rows: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toPandas()
+    top = most_frequent(counts, "c", KNOWN).toPandas().sort_values(["c", "token"], ascending=[False, True])
     hashes, c = top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return Vocabulary(hashes[order], order.astype(np.int64), c, int(n), int(v), int(n - c.sum() + v - len(c) + 1))

@@ -5,7 +5,7 @@ A document's worth is linear in features of its whole text; the chance that a pr
 feature differences. The cut is the quantile of the training documents' worths that leaves out as many as are labelled 0;
 scores are the logistic of the distance to it, shifted so that the cut scores ``CUT_SCORE``.
 
-Fitting uses at most ``sample_rows`` labelled rows of each class, the first by a hash of their id, and ``pairs`` pairs; scoring
+Fitting uses at most ``sample_rows`` labelled rows of each class, by a hash of their id, and ``pairs`` pairs; scoring
 covers every row and looks at nothing but the text.
 
 Defined results: null and empty texts have all features 0 and a score like any other; null labels and ids do not take part in
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_bytes, batch, bounded_batches, each
+from .common import as_bytes, batch, bounded_batches, each, hashed_sample
 
 CUT_SCORE = 0.7
 SAMPLE_ROWS = 8_000
@@ -108,8 +108,7 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, steps: int =
 def labelled_features(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``sample_rows`` rows of each class. The sample is what is broadcast, and what comes to the driver."""
     known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)")
-    order = F.xxhash64("key", F.lit(11))
-    sample = known.where("label = 0").orderBy(order, "key").limit(sample_rows).unionByName(known.where("label = 1").orderBy(order, "key").limit(sample_rows))
+    sample = hashed_sample(known.where("label = 0"), "key", sample_rows, 11).unionByName(hashed_sample(known.where("label = 1"), "key", sample_rows, 11))
     rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "key")
     schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
 
