@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 from .common import as_bytes, batch, bounded_batches
 
@@ -99,7 +99,7 @@ def item_blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> Ite
     yield block
 
 
-STATE = StructType.fromDDL("key long, text string, n_words long, n_hit long, hit binary, items array<string>")
+STATE = StructType().add("key", LongType()).add("text", StringType()).add("n_words", LongType()).add("n_hit", LongType()).add("hit", BinaryType()).add("items", ArrayType(StringType()))
 ARROW_STATE = pa.schema([("key", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
 
 
