@@ -45,5 +45,5 @@ def reversed_digits(value: Column, width: int) -> Column:
 
 def nth_set_bit(word: Column, n: Column) -> Column:
     """Position of the n-th (0-based) one in a 64-bit word, or -1."""
-    ones = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(word, i) == 1)
+    ones = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(word.cast("long"), i) == 1)
     return F.coalesce(F.get(ones, n.cast("int")), F.lit(-1)).cast("long")
