@@ -34,7 +34,7 @@ def floor_log2(x: Column) -> Column:
 
 def reversed_bits(value: Column, width: int) -> Column:
     """A string that sorts as the bit-reversed value."""
-    return F.reverse(F.lpad(F.bin(value), max(1, width), "0"))
+    return F.reverse(F.lpad(F.conv(value.cast("string"), 10, 2), max(1, width), "0"))
 
 
 def reversed_digits(value: Column, width: int) -> Column:

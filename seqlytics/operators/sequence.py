@@ -8,6 +8,7 @@ questions they offer. Values are BIGINT, or DECIMAL(20, 0) where the largest is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ from seqlytics.operators import runs
 from seqlytics.operators.positions import count_before, ordinals, range_values
 
 
+def number(v: int) -> Column:
+    """A literal of any unsigned value; a decimal beyond BIGINT."""
+    return F.lit(v) if -(1 << 63) <= v < 1 << 63 else F.lit(Decimal(v))
+
+
 def access_rank(rows: DataFrame) -> DataFrame:
     """(pos, value, rank_before): how many equal values come before each position."""
     return ordinals(rows, "pos", ("value",), "rank_before")
@@ -74,7 +80,7 @@ def value_counts(rows: DataFrame, left: int | None = None, right: int | None = N
 
 def terminal_order(kind: str, width: int) -> Column:
     """What the terminal permutation sorts by, stably: the value with its bits (msb) or base-4 digits (quad) reversed, or the value itself (lsb)."""
-    value = F.col("value").cast("long")
+    value = F.col("value")
     return {"msb": lambda: reversed_bits(value, width), "lsb": lambda: F.col("value"), "quad": lambda: reversed_digits(value, width)}[kind]()
 
 
@@ -139,15 +145,15 @@ class SequenceTable:
 
     def rank(self, v: int, p: int) -> int:
         guards.check_position(p, self.n)
-        return self._one(F.count_if((F.col("value") == v) & (F.col("pos") < p)))
+        return self._one(F.count_if((F.col("value") == number(v)) & (F.col("pos") < p)))
 
     def rank_range(self, v: int, left: int, right: int) -> int:
         guards.check_range(left, right, self.n)
-        return self._one(F.count_if((F.col("value") == v) & self._between(left, right)))
+        return self._one(F.count_if((F.col("value") == number(v)) & self._between(left, right)))
 
     def rank_pair(self, v: int, left: int, right: int) -> tuple[int, int]:
         guards.check_range(left, right, self.n)
-        same = F.col("value") == v
+        same = F.col("value") == number(v)
         return tuple(self.rows.agg(F.count_if(same & (F.col("pos") < left)), F.count_if(same & (F.col("pos") < right))).first())
 
     def rank_incl(self, v: int, p: int) -> int:
@@ -157,7 +163,7 @@ class SequenceTable:
     def select(self, v: int, k: int) -> int:
         if k < 0:
             return -1
-        hit = self.rows.where(F.col("value") == v).orderBy("pos").offset(k).limit(1).first()
+        hit = self.rows.where(F.col("value") == number(v)).orderBy("pos").offset(k).limit(1).first()
         return -1 if hit is None else hit["pos"]
 
     def select_nth(self, v: int, nth: int) -> int:
@@ -177,11 +183,11 @@ class SequenceTable:
     def matching_runs(self, v: int, left: int = 0, right: int | None = None) -> DataFrame:
         right = self.n if right is None else right
         guards.check_range(left, right, self.n)
-        return runs.matching_runs(self.rows, F.col("value") == v, left, right)
+        return runs.matching_runs(self.rows, F.col("value") == number(v), left, right)
 
     def positions_of(self, v: int) -> Iterator[int]:
         """All positions of a value, ascending, fetched as they are asked for."""
-        return (r["pos"] for r in self.rows.where(F.col("value") == v).orderBy("pos").toLocalIterator())
+        return (r["pos"] for r in self.rows.where(F.col("value") == number(v)).orderBy("pos").toLocalIterator())
 
     def to_list(self) -> list[int]:
         return [int(r["value"]) for r in self.rows.orderBy("pos").collect()]
@@ -201,7 +207,7 @@ class MsbIndex(SequenceTable):
 
     def rank_less(self, left: int, right: int, v: int) -> int:
         guards.check_range(left, right, self.n)
-        return self._one(F.count_if((F.col("value") < v) & self._between(left, right)))
+        return self._one(F.count_if((F.col("value") < number(v)) & self._between(left, right)))
 
     count_less_than = rank_less
 
@@ -209,12 +215,12 @@ class MsbIndex(SequenceTable):
         guards.check_range(left, right, self.n)
         if low >= high:
             return 0
-        return self._one(F.count_if((F.col("value") >= low) & (F.col("value") < high) & self._between(left, right)))
+        return self._one(F.count_if((F.col("value") >= number(low)) & (F.col("value") < number(high)) & self._between(left, right)))
 
     def occ_position(self, p: int, v: int) -> int:
         """How many values are below ``v`` anywhere, and how many equal it before ``p``."""
         guards.check_position(p, self.n)
-        return self._one(F.count_if((F.col("value") < v) | ((F.col("value") == v) & (F.col("pos") < p))))
+        return self._one(F.count_if((F.col("value") < number(v)) | ((F.col("value") == number(v)) & (F.col("pos") < p))))
 
     def quantile(self, left: int, right: int, k: int) -> int:
         guards.check_range(left, right, self.n)
@@ -225,12 +231,12 @@ class MsbIndex(SequenceTable):
     def predecessor(self, left: int, right: int, v: int) -> int:
         """The largest value below ``v``."""
         guards.check_range(left, right, self.n)
-        return self._found(self._one(F.max("value"), self._between(left, right) & (F.col("value") < v)))
+        return self._found(self._one(F.max("value"), self._between(left, right) & (F.col("value") < number(v))))
 
     def successor(self, left: int, right: int, v: int) -> int:
         """The smallest value at or above ``v``."""
         guards.check_range(left, right, self.n)
-        return self._found(self._one(F.min("value"), self._between(left, right) & (F.col("value") >= v)))
+        return self._found(self._one(F.min("value"), self._between(left, right) & (F.col("value") >= number(v))))
 
     @staticmethod
     def _found(v) -> int:
@@ -244,14 +250,14 @@ class MsbIndex(SequenceTable):
         guards.check_range(left, right, self.n)
         if low <= 0 and high >= self.max_value and left < right:  # the whole domain: nothing to read
             return self.rows.sparkSession.createDataFrame([(left, right)], "first long, past long")
-        return runs.matching_runs(self.rows, F.col("value").between(low, high), left, right)
+        return runs.matching_runs(self.rows, F.col("value").between(number(low), number(high)), left, right)
 
     def terminal(self) -> DataFrame:
         return terminal_permutation(self.rows, self.kind, self.width)
 
     def terminal_interval(self, v: int) -> tuple[int, int]:
         """The terminal places of a value; empty, at the place it would have, if it is absent."""
-        hit = terminal_bases(self.rows, self.kind, self.width).where(F.col("value") == v).first()
+        hit = terminal_bases(self.rows, self.kind, self.width).where(F.col("value") == number(v)).first()
         return (hit["base"], hit["base"] + hit["frequency"]) if hit else (0, 0)
 
     def value_count_intervals(self, left: int = 0, right: int | None = None) -> DataFrame:
