@@ -53,6 +53,28 @@ def trie_stats(nodes: DataFrame) -> DataFrame:
     )
 
 
+def binned(x: Column, bounds: tuple[int, ...], name: str) -> list[Column]:
+    """Counts of x up to each bound and beyond the last, as name_0, name_1, ..."""
+    out, low = [], None
+    for i, b in enumerate((*bounds, None)):
+        inside = (x <= b if b is not None else F.lit(True)) & (x > low if low is not None else F.lit(True))
+        out.append(F.count_if(inside & x.isNotNull()).alias(f"{name}_{i}"))
+        low = b
+    return out
+
+
+def trie_histograms(nodes: DataFrame) -> DataFrame:
+    """One row: label bytes behind the first (the root's count as 0) up to 0, 4, 8, 16 and more; bits of the distance to the parent up to 4, 8, 12, 16 and more; ratios."""
+    edge = F.col("parent").isNotNull()
+    behind = F.when(edge, F.col("label_bytes") - 1).otherwise(0)
+    distances = number_parents(nodes).select("node", F.length(F.bin("delta")).alias("bits"))
+    edges = F.nullif(F.count_if(edge), F.lit(0))
+    return nodes.join(distances, "node", "left").agg(
+        *binned(behind, (0, 4, 8, 16), "suffix"), *binned(F.col("bits"), (4, 8, 12, 16), "delta_bits"),
+        (F.sum(F.when(edge, F.col("label_bytes"))) / edges).alias("average_label"), (F.count_if(F.col("children") == 0) / F.count(F.lit(1))).alias("leaf_ratio"), (F.count_if(behind > 0) / edges).alias("suffix_ratio"),
+    )
+
+
 def order_correlation(nodes: DataFrame) -> DataFrame:
     """Pearson's correlation of terminals' order and ids, 0 where it is undefined."""
     terminals = dense_positions(nodes.where("terminal_id IS NOT NULL").select("prefix", "terminal_id"), ("prefix",), "ordinal")

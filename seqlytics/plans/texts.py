@@ -141,6 +141,22 @@ def trie_parent_deltas(spark, sf):
     return trie.exact_percentiles(trie.number_parents(written(trie.trie_nodes(d_rows(spark, sf)), "nodes")), "delta").select("n", "total", "maximum", "median", "p90", "p99")
 
 
+@registered(
+    "trie_histograms",
+    NODES + ", e AS (SELECT t.*, length(bin(t.node - p.node)) AS bits, CASE WHEN t.parent IS NULL THEN 0 ELSE t.label_bytes - 1 END AS b FROM t LEFT JOIN t p ON p.prefix = t.parent) SELECT "
+    "count(*) FILTER (b <= 0) AS suffix_0, count(*) FILTER (b BETWEEN 1 AND 4) AS suffix_1, count(*) FILTER (b BETWEEN 5 AND 8) AS suffix_2, count(*) FILTER (b BETWEEN 9 AND 16) AS suffix_3, count(*) FILTER (b > 16) AS suffix_4, "
+    "count(*) FILTER (bits <= 4) AS delta_bits_0, count(*) FILTER (bits BETWEEN 5 AND 8) AS delta_bits_1, count(*) FILTER (bits BETWEEN 9 AND 12) AS delta_bits_2, count(*) FILTER (bits BETWEEN 13 AND 16) AS delta_bits_3, count(*) FILTER (bits > 16) AS delta_bits_4, "
+    "sum(label_bytes) FILTER (parent IS NOT NULL) / nullif(count(parent), 0) AS average_label, count(*) FILTER (children = 0) / count(*) AS leaf_ratio, count(*) FILTER (b > 0) / nullif(count(parent), 0) AS suffix_ratio FROM e",
+)
+def trie_histograms(spark, sf):
+    return trie.trie_histograms(written(trie.trie_nodes(d_rows(spark, sf)), "nodes"))
+
+
+@registered("trie_correlation", NODES + ", z AS (SELECT row_number() OVER (ORDER BY prefix) - 1 AS x, terminal_id AS y FROM t WHERE terminal_id IS NOT NULL) SELECT round(coalesce(corr(x, y), 0.0), 9)::DOUBLE AS correlation FROM z")
+def trie_correlation(spark, sf):
+    return trie.order_correlation(written(trie.trie_nodes(d_rows(spark, sf)), "nodes")).select(F.round("correlation", 9).alias("correlation"))
+
+
 #: The text as three hexadecimal digits a symbol, so that a suffix is a substring and sorts like the symbols.
 TEXT = (
     D + ", b AS (SELECT id, hex(encode(s)) AS h FROM d), c AS (SELECT id, list_reduce(list_transform(range(0, length(h) // 2), lambda i: lpad(printf('%x', (('0x' || substring(h, (2 * i + 1)::INT, 2))::INT + 1)), 3, '0')), lambda x, y: x || y) AS t FROM b), "
