@@ -14,7 +14,7 @@ from seqlytics.sources.scratch import scratch_path, shared_dir, table, written
 
 __all__ = ["as_bytes", "batch", "bounded_batches", "each", "hashed_sample", "mix64", "most_frequent", "pick", "scratch_path", "shared_dir", "table", "written"]
 
-def bounded_batches(spark: SparkSession, megabytes: int = 32) -> None:
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Arrow batches by bytes as well as rows, so that very long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 

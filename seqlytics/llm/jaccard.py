@@ -7,8 +7,9 @@ n - ceil(n * percent / 100) + 1 shingles in one global order, frequent shingles
 estimated cost, subsets enumerated plus list entries scanned, is least.
 
 A list is first scanned against one leader for each size class, the set with the most shingles in common lists, which settles groups of
-copies with as many pairs as members. Then the rest of each list is joined with itself, without pairs that share a leader, and
-without pairs whose parity sketches alone prove them too different: 512 bits, each the parity of the shingles that hash to it, differ in at
+copies with as many pairs as members; then a member drawn by hash meets one member of each other component in its list. Lists that hold more
+components than one are then joined with themselves, without pairs of one component, and
+without pairs whose parity sketches alone prove them too different: 512 bits (and, for larger sets, a bit for each shingle), each the parity of the shingles that hash to it, differ in at
 most as many places as the sets. Candidates that are left are compared set by set. No limit is set on lists or partners.
 
 Defined results: texts without words, null ones too, have empty sets and no links; shorter texts than a shingle have one shingle, all their words;
@@ -27,15 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, bounded_batches, each, mix64, written
+from .common import as_bytes, batch, bounded_batches, each, mix64, most_frequent, written
 
 #: Shingles whose order the whole join knows: the most frequent ones.
-RANKED = 50_000
+RANKED = 200_000
 #: A task counts shingles of about so many words at a time.
 COUNTED = 2_000_000
 #: Above this size no set is light, whatever the costs say: 20 choose 3 subsets and more.
 MOST_LIGHT = 20
 SKETCH = 8
+#: Words of the second sketch, that sets of more than SMALL shingles have in lists.
+MIDDLE = 32
+SMALL = 96
 #: Ids of documents in candidate pairs, 8 MB of them at most, that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -96,15 +100,25 @@ def ordered(shingles: np.ndarray, ranked: np.ndarray, ranks: np.ndarray) -> np.n
     return np.concatenate([shingles[~known], frequent[np.argsort(ranks[at[known]], kind="stable")]])
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """512 parities, as SKETCH 64-bit words."""
-    bits = np.bincount((mix64(shingles ^ np.uint64(ODD[3])) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def sketch(shingles: np.ndarray, bits: int = 64 * SKETCH) -> np.ndarray:
+    """Parities of the shingles by hash, as 64-bit words. ``bits`` is a power of two; the halves of a longer sketch, exclusive-or'ed, are the shorter one."""
+    at = (mix64(shingles ^ np.uint64(ODD[3])) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def middle_sketch(shingles: np.ndarray) -> np.ndarray:
+    """MIDDLE words for sets of more than SMALL shingles, else empty."""
+    return sketch(shingles, 64 * MIDDLE) if len(shingles) > SMALL else np.zeros(0, np.int64)
+
+
+def long_sketch(shingles: np.ndarray) -> np.ndarray:
+    """A sketch of four bits and more for each shingle; empty for sets of SMALL shingles or fewer."""
+    return sketch(shingles, 4 << (len(shingles) - 1).bit_length()) if len(shingles) > SMALL else np.zeros(0, np.int64)
 
 
 def frequent_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, int], float]:
     """The most frequent shingles and their ranks, how many sets there are of each size up to twice MOST_LIGHT (all others under 0), and
-    how many entries a list has on average where a shingle of it is looked up. All documents are counted; a task passes on what it saw four times."""
+    how many entries a list has on average where a shingle of it is looked up. All documents are counted; a task passes on what it saw twice among COUNTED."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -115,7 +129,7 @@ def frequent_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray,
             nonlocal held, squares
             found, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             squares += int((counts.astype(np.int64) ** 2).sum())
-            often = counts >= 4
+            often = counts >= 2
             held = []
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.full(int(often.sum()), -1, np.int64))], names=["token", "n", "size"])
 
@@ -136,11 +150,11 @@ def frequent_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray,
 
     found = written(rows.select("text").mapInArrow(count, "token long, n long, size long"), "shingle-counts")
     stats = {r["size"]: r["n"] for r in found.where("size >= 0").groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    top = found.where("size < 0").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(RANKED).collect()
+    top = most_frequent(written(found.where("size < 0").groupBy("token").agg(F.sum("n").alias("n")), "frequent"), "n", RANKED).orderBy("n", "token").collect()
     tokens = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(tokens)
     scanned = stats.pop(1001, 0) / max(1, stats.pop(1000, 0))
-    return tokens[order], np.argsort(np.argsort([r["n"] for r in top]))[order] if len(top) else np.zeros(0, np.int64), stats, max(1.0, scanned)
+    return tokens[order], order, stats, max(1.0, scanned)  # rows came from rare to frequent, so a place is a rank
 
 
 def light_bound(sizes: dict[int, int], percent: int, scanned: float) -> int:
@@ -156,17 +170,17 @@ def light_bound(sizes: dict[int, int], percent: int, scanned: float) -> int:
 
 
 def postings(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc, n, tokens, sk) for every row: the size of its set, its subset keys and inverted lists, its sketch."""
+    """(doc, n, tokens, sk, mid_sk, long_sk) for every row: the size of its set, its subset keys and inverted lists, its sketches."""
     ranked, ranks, sizes, scanned = frequent_shingles(rows, n)
     b = light_bound(sizes, percent, scanned)
     known = rows.sparkSession.sparkContext.broadcast((ranked, ranks))  # RANKED entries at most
     first = -(-(b + 1) * percent // 100)
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("sk", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("sk", pa.list_(pa.int64())), ("mid_sk", pa.list_(pa.int64())), ("long_sk", pa.list_(pa.int64()))])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, ranks = known.value
         for keys, texts in each(batches, "doc", "text"):
-            docs, counts, tokens, sketches = [], [], [], []
+            docs, counts, tokens, sketches, middle, longer = [], [], [], [], [], []
             for doc, t in zip(keys.to_pylist(), as_bytes(texts), strict=True):
                 s = shingle_set(t, n)
                 own = []
@@ -178,9 +192,11 @@ def postings(rows: DataFrame, n: int, percent: int) -> DataFrame:
                 counts.append(len(s))
                 tokens.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
                 sketches.append(sketch(s))
-            yield batch(schema, doc=docs, n=counts, tokens=tokens, sk=sketches)
+                middle.append(middle_sketch(s))
+                longer.append(long_sketch(s))
+            yield batch(schema, doc=docs, n=counts, tokens=tokens, sk=sketches, mid_sk=middle, long_sk=longer)
 
-    return rows.mapInArrow(post, "doc long, n int, tokens array<long>, sk array<long>")
+    return rows.mapInArrow(post, "doc long, n int, tokens array<long>, sk array<long>, mid_sk array<long>, long_sk array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,48 +234,87 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
-    """Whether sizes and sketches of two sides, with n and sk, allow a link. Never false for documents that do link."""
+    """Whether sizes, short and middle sketches of two sides allow a link. Never false for documents that do link.
+
+    The short sketch is compared word by word in generated code; the middle one, longer than a method may be, by a loop over what is left.
+    """
     apart = sum((F.bit_count(F.col(f"{x}.sk")[i].bitwiseXOR(F.col(f"{y}.sk")[i])) for i in range(SKETCH)), F.lit(0))
+    most = (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
     near = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
-    return near & ((100 + percent) * apart <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+    both_large = (F.size(f"{x}.mid_sk") > 0) & (F.size(f"{y}.mid_sk") > 0)
+    further = F.when(both_large, (100 + percent) * places_apart(F.col(f"{x}.mid_sk"), F.col(f"{y}.mid_sk")) <= most).otherwise(True)
+    return near & ((100 + percent) * apart <= most) & further
+
+
+def places_apart(a: Column, b: Column) -> Column:
+    """In how many places two sketches of one length differ."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+
+
+def apart_in_long(a: Column, b: Column) -> Column:
+    """In how many places two long sketches differ, the longer one folded to the other's length; 0 if one is empty. Sets that may link have lengths that differ by one doubling at most."""
+    n = F.least(F.size(a), F.size(b))
+
+    def folded(x: Column) -> Column:
+        return F.when(F.size(x) == n, x).otherwise(F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q)))
+
+    return places_apart(folded(a), folded(b))
+
+
+def still_possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches, long ones too, allow a link. Long sketches only move for pairs that the others leave."""
+    short = marks.drop("long_sk")
+    x, y = short.alias("x"), short.alias("y")
+    left = pairs.join(x, F.col("a") == F.col("x.doc")).join(y, (F.col("b") == F.col("y.doc")) & may_link("x", "y", percent)).select("a", "b").distinct()
+    long = marks.select("doc", "n", "long_sk")
+    x, y = long.alias("x"), long.alias("y")
+    both = written(left, "near-pairs").join(x, F.col("a") == F.col("x.doc")).join(y, F.col("b") == F.col("y.doc"))
+    long_ones = (F.size("x.long_sk") > 0) & (F.size("y.long_sk") > 0)
+    too_far = (100 + percent) * apart_in_long(F.col("x.long_sk"), F.col("y.long_sk")) > (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    return both.where(~F.when(long_ones, too_far).otherwise(False)).select("a", "b").distinct()
 
 
 def leader_pairs(shared: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the leader of each list and size class with every other member it may link with. The leader is the set most of whose postings are in shared lists."""
+    """(a, b): the leader of each list and size class with every other member. The leader is the set most of whose postings are in shared lists."""
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     worth = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("in_lists")).join(marks.select("doc", "n"), "doc")
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
     worth = worth.select("doc", F.least(F.lit(1000), (1000 * F.col("in_lists") / prefix).cast("int")).alias("worth"), size_class.alias("class"))
     entry = shared.join(worth, "doc")
     leaders = entry.groupBy("token", "class").agg(F.max_by("doc", F.struct("worth", -F.col("doc"))).alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    pairs = entry.join(leaders, ["token", "class"]).where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    x, y = marks.alias("x"), marks.alias("y")
-    return pairs.join(x, F.col("a") == F.col("x.doc")).join(y, (F.col("b") == F.col("y.doc")) & may_link("x", "y", percent)).select("a", "b")
+    return entry.join(leaders, ["token", "class"]).where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+
+
+def grouped(shared: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    """(token, doc, group), written: the lists of at least ``least`` documents that still hold more than one component of the links."""
+    found = components(links).select("doc", F.col("component").alias("group"))
+    side = written(shared.join(found, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "grouped")
+    open_lists = side.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count(F.lit(1)).alias("k")).where((F.col("k") >= least) & (F.col("g") != F.col("h"))).select("token")
+    return written(side.join(open_lists, "token"), "open")
 
 
-def led_by(star_links: DataFrame) -> DataFrame:
-    """(doc, group) for what links with a leader: the leader with the most followers, itself included. Equal groups are connected."""
-    followers = star_links.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    each_one = star_links.join(followers, "a").select(F.col("b").alias("doc"), F.col("a").alias("group"), "k").unionByName(followers.select(F.col("a").alias("doc"), F.col("a").alias("group"), "k"))
-    return each_one.groupBy("doc").agg(F.max_by("group", F.struct("k", "group")).alias("group"))
+def drawn_pairs(side: DataFrame) -> DataFrame:
+    """(a, b): a member of each list that a hash draws, with one member of each other group there. A group that is spread over many lists meets many of another's members."""
+    drawn = side.groupBy("token").agg(F.max_by(F.struct("doc", "group"), F.xxhash64("doc", "token")).alias("one"))
+    others = side.groupBy("token", "group").agg(F.max_by("doc", F.xxhash64("token", "doc")).alias("doc"))
+    pairs = others.join(drawn, "token").where(F.col("group") != F.col("one.group"))
+    return pairs.select(F.least("doc", "one.doc").alias("a"), F.greatest("doc", "one.doc").alias("b")).distinct()
 
 
-def remaining_pairs(shared: DataFrame, marks: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one list that share no group and may link. Only lists with more than one group are looked at."""
-    side = written(shared.join(groups, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "grouped")
-    open_lists = side.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("token")
-    side = written(side.join(open_lists, "token").join(marks, "doc"), "sides")
+def remaining_pairs(side: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one list that are in different groups and may link."""
+    side = written(side.join(marks.drop("long_sk"), "doc"), "sides")
     x, y = side.alias("x"), side.alias("y")
     may = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.group") != F.col("y.group")) & may_link("x", "y", percent)
     return x.join(y, may).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
-def checked(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+def checked(pairs: DataFrame, marks: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs that link, by their whole sets. Only documents that are in a pair have their sets built.
 
     Their ids are broadcast if they are at most BROADCAST_IDS; beyond that texts are dealt out by id to meet them.
     """
-    pairs = written(pairs, "pairs")
+    pairs = written(still_possible(pairs, marks, percent), "pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     sets = written(shingle_sets(rows.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi"), n).distinct(), "sets")
@@ -274,12 +329,14 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     entries = posted.where("doc IS NOT NULL").select(F.explode("tokens").alias("token"), "doc")
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     shared = written(entries.join(lists, "token").distinct(), "lists")
-    known = posted.where("doc IS NOT NULL").select("doc", "n", "sk")
+    known = posted.where("doc IS NOT NULL").select("doc", "n", "sk", "mid_sk", "long_sk")
     marks = written(known.join(shared.select("doc").distinct(), "doc", "left_semi").distinct(), "marks")
 
-    star_links = checked(leader_pairs(shared, marks, percent), rows, n, percent)
-    more = checked(remaining_pairs(shared, marks, led_by(star_links), percent), rows, n, percent)
-    return posted.select("doc", "n"), star_links.unionByName(more)
+    links = checked(leader_pairs(shared, marks, percent), marks, rows, n, percent)
+    side = grouped(shared, links, 2)
+    links = links.unionByName(checked(drawn_pairs(side), marks, rows, n, percent))
+    side = grouped(side.select("token", "doc"), links, 3)  # of two documents that a list holds, one was drawn and met the other
+    return posted.select("doc", "n"), links.unionByName(checked(remaining_pairs(side, marks, percent), marks, rows, n, percent))
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
