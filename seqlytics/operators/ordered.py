@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlytics import guards
-from seqlytics.operators.positions import count_before
+from seqlytics.operators.positions import count_before, sums_in_order
 from seqlytics.sources.scratch import written
 
 
@@ -124,5 +124,5 @@ def high_buckets(rows: DataFrame, low_bits: int) -> DataFrame:
     """(high, first, past): the index range of each value of x without its low bits."""
     high = F.shiftrightunsigned("x", low_bits)
     counts = rows.groupBy(high.alias("high")).agg(F.count(F.lit(1)).alias("n"))
-    past = F.sum("n").over(Window.orderBy("high"))
-    return counts.select("high", (past - F.col("n")).cast("long").alias("first"), past.cast("long").alias("past"))
+    placed = sums_in_order(counts, ("high",), {"first": "n"})
+    return placed.select("high", "first", (F.col("first") + F.col("n")).cast("long").alias("past"))

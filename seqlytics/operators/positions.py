@@ -15,6 +15,8 @@ BLOCK = 1 << 16
 #: Queries up to this many are broadcast to the rows of their ranges; more are decomposed into blocks and joined by block.
 BROADCAST_QUERIES = 4096
 FAN = 64
+#: Rows of a summary (values, blocks, strings) that one task may order.
+ONE_TASK = 1 << 20
 
 
 def block_of(pos: Column | str, size: int = BLOCK) -> Column:
@@ -67,6 +69,23 @@ def dense_positions(df: DataFrame, order: tuple[str, ...], name: str = "pos") ->
     return numbered.join(F.broadcast(starts), "_p").select(*df.columns, (F.col("_s") + F.col("_r") - 1).cast("long").alias(name))
 
 
+def few(df: DataFrame, most: int = ONE_TASK) -> bool:
+    """Whether ``df``, a cheap table, has at most ``most`` rows."""
+    return df.limit(most + 1).count() <= most
+
+
+def sums_in_order(df: DataFrame, order: tuple[str, ...], sums: dict[str, str]) -> DataFrame:
+    """Adds for each name the sum of its column over the rows before, in an order that tells all rows apart.
+
+    Up to ONE_TASK rows, counted first, are ordered in one task; more are numbered by range partitions and summed in two phases.
+    """
+    df = written(df, "ordered")
+    if few(df):
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
+    return running_before(dense_positions(df, order, "_pos"), "_pos", {n: F.col(c) for n, c in sums.items()}).drop("_pos")
+
+
 def range_values(rows: DataFrame, queries: DataFrame, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
     """(qid, value, n): how often each value of (pos, value) occurs in each query's range ``[l, r)`` of positions.
 

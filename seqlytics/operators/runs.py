@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlytics.operators.positions import BLOCK, block_of
+from seqlytics.operators.positions import BLOCK, block_of, dense_positions, few
+from seqlytics.sources.scratch import written
 
 
 def matching_runs(rows: DataFrame, match: Column, left: int | None = None, right: int | None = None, size: int = BLOCK) -> DataFrame:
@@ -21,8 +22,14 @@ def matching_runs(rows: DataFrame, match: Column, left: int | None = None, right
     first_in, past_in = F.col("_b") * size, (F.col("_b") + 1) * size
     edge = (F.col("first") == first_in) | (F.col("past") == past_in)
     inner = islands.where(~edge).select("first", "past")
-    # At most two edge runs a block: this window is over blocks, not over rows.
-    w = Window.orderBy("first")
-    starts = F.when(F.lag("past").over(w) == F.col("first"), 0).otherwise(1)
-    edges = islands.where(edge).select("first", "past").withColumn("_s", starts).withColumn("_g", F.sum("_s").over(w)).groupBy("_g").agg(F.min("first").alias("first"), F.max("past").alias("past"))
-    return inner.unionByName(edges.select("first", "past")).select(F.col("first").cast("long"), F.col("past").cast("long"))
+    # At most two edge runs a block are left.
+    edges = written(islands.where(edge).select("first", "past"), "edges")
+    if few(edges):
+        w = Window.orderBy("first")
+        starts = F.when(F.lag("past").over(w) == F.col("first"), 0).otherwise(1)
+        joined = edges.withColumn("_s", starts).withColumn("_g", F.sum("_s").over(w)).groupBy("_g").agg(F.min("first").alias("first"), F.max("past").alias("past")).drop("_g")
+    else:  # the k-th start that follows no edge run belongs to the k-th end that none follows
+        starts = edges.join(edges.select(F.col("past").alias("first")), "first", "left_anti").select("first")
+        ends = edges.join(edges.select(F.col("first").alias("past")), "past", "left_anti").select("past")
+        joined = dense_positions(starts, ("first",), "_k").join(dense_positions(ends, ("past",), "_k"), "_k").drop("_k")
+    return inner.unionByName(joined).select(F.col("first").cast("long"), F.col("past").cast("long"))

@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlytics import guards
 from seqlytics.functions.words import bit_width, reversed_bits, reversed_digits
 from seqlytics.operators import runs
-from seqlytics.operators.positions import count_before, ordinals, range_values
+from seqlytics.operators.positions import count_before, ordinals, range_values, running_before, sums_in_order
 
 
 def number(v: int) -> Column:
@@ -66,8 +66,8 @@ def neighbour_batch(rows: DataFrame, queries: DataFrame) -> DataFrame:
 def quantile_batch(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """``queries`` with ``quantile``, the k-th smallest (0-based) value of ``[l, r)``; null where k is outside. Values are counted before they are ordered."""
     counts = range_values(rows, queries)
-    upto = F.sum("n").over(Window.partitionBy("qid").orderBy("value"))
-    hit = counts.withColumn("upto", upto).join(queries.select("qid", "k"), "qid").where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k")))
+    smaller = running_before(counts, "value", {"below": F.col("n")}, ("qid",))
+    hit = smaller.join(queries.select("qid", "k"), "qid").where((F.col("below") <= F.col("k")) & (F.col("below") + F.col("n") > F.col("k")))
     return queries.join(hit.select("qid", F.col("value").alias("quantile")), "qid", "left")
 
 
@@ -87,8 +87,7 @@ def terminal_order(kind: str, width: int) -> Column:
 def terminal_bases(rows: DataFrame, kind: str, width: int) -> DataFrame:
     """(value, frequency, base): where each value's run starts in the terminal order. Only distinct values are ordered."""
     counts = value_counts(rows).withColumn("_o", terminal_order(kind, width))
-    before = Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("base", F.coalesce(F.sum("frequency").over(before), F.lit(0)).cast("long")).drop("_o")
+    return sums_in_order(counts, ("_o",), {"base": "frequency"}).drop("_o")
 
 
 def terminal_permutation(rows: DataFrame, kind: str, width: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlytics.operators.positions import dense_positions, ordinals, running_before
+from seqlytics.operators.positions import dense_positions, ordinals, running_before, sums_in_order
 from seqlytics.operators.runs import matching_runs
 from seqlytics.sources.scratch import written
 
@@ -20,8 +20,8 @@ END, SEPARATOR, ALPHABET = 0, 257, 258
 def text_symbols(strings: DataFrame) -> DataFrame:
     """(pos, sym, id): the text of (id, s), ids dense from 0 in their order. Starts of strings are running sums of lengths."""
     b = strings.select("id", F.col("s").cast("binary").alias("b")).withColumn("len", F.octet_length("b").cast("long"))
-    before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = b.select("id", "b", "len", (F.coalesce(F.sum("len").over(before), F.lit(0)) + F.col("id")).alias("start"))
+    placed = sums_in_order(b.select("id", "len"), ("id",), {"bytes_before": "len"})
+    starts = b.join(placed.select("id", (F.col("bytes_before") + F.col("id")).alias("start")), "id")
     codes = F.expr("transform(sequence(1, len), i -> conv(hex(substring(b, i, 1)), 16, 10))")
     body = starts.where("len > 0").select("id", "start", F.posexplode(codes).alias("i", "code"))
     body = body.select((F.col("start") + 1 + F.col("i")).alias("pos"), (F.col("code").cast("int") + 1).alias("sym"), "id")

@@ -5,10 +5,10 @@ Nodes are the root, the strings, and the common prefixes of neighbours in byte o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlytics.operators.positions import dense_positions
+from seqlytics.operators.positions import dense_positions, sums_in_order
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -99,8 +99,7 @@ def number_parents(nodes: DataFrame) -> DataFrame:
 def exact_percentiles(rows: DataFrame, column: str) -> DataFrame:
     """(n, total, median, p90, p99, maximum) by order statistics: the middle pair's mean, and index min(n - 1, n * p div 100)."""
     counts = rows.groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.orderBy("x"))
-    run = counts.withColumn("upto", upto)
+    run = sums_in_order(counts, ("x",), {"before": "k"}).withColumn("upto", F.col("before") + F.col("k"))
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(column).alias("total"), F.max(column).alias("maximum"))
     joined = run.crossJoin(F.broadcast(n))  # one row: the sums
 

@@ -65,6 +65,21 @@ def test_runs_across_blocks(spark, size):
         assert got == naive_runs([low <= v <= high for v in values])
 
 
+def test_many_edges_take_the_distributed_way(spark, monkeypatch):
+    rng = random.Random(9)
+    values = [rng.random() < 0.8 for _ in range(400)]
+    monkeypatch.setattr(runs, "few", lambda df: False)
+    got = sorted(map(tuple, runs.matching_runs(rows_of(spark, list(map(int, values))), F.col("value") == 1, size=4).collect()))
+    assert got == naive_runs(values)
+
+
+def test_many_values_take_the_distributed_way(spark, monkeypatch):
+    rows = spark.createDataFrame([(i * 7 % 101, i % 5 + 1) for i in range(101)], "x long, n long")
+    want = {r["x"]: r["b"] for r in positions.sums_in_order(rows, ("x",), {"b": "n"}).collect()}
+    monkeypatch.setattr(positions, "few", lambda df: False)
+    assert {r["x"]: r["b"] for r in positions.sums_in_order(rows, ("x",), {"b": "n"}).collect()} == want
+
+
 def test_level_counts(spark):
     rows = spark.range(20_000).select(F.col("id").alias("pos"), (F.col("id") % 3 == 0).alias("bit"))
     got = {r["block"]: (r["ones"], r["before"]) for r in bits.level_counts(rows, 1).collect()}
