@@ -54,6 +54,10 @@ SKIPPED_WORDS = frozenset(
     "nav navbar navigation menu topbar breadcrumb breadcrumbs sidebar aside widget footer header masthead banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "alert popup modal newsletter subscribe subscription signup login search share sharing social related recommended comment comments reply replies respond disqus discussion pagination pager copyright legal disclaimer toolbar skip".split()
 )
+#: Beside these a word of SKIPPED_WORDS tells how the page is laid out, not what the element is.
+LAYOUT_WORDS = frozenset("has with no without layout page wrapper container".split())
+#: In an article these name its own head.
+HEAD_WORDS = frozenset(("header", "masthead"))
 MAIN_WORDS = frozenset(("articlebody", "main"))
 VARIES = -1
 
@@ -99,9 +103,9 @@ class Node:
         return n
 
 
-def describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(key, skip, main) of an element: digits in ids and classes do not count."""
-    skip, main = tag in SKIPPED_TAGS, tag in ("article", "main")
+def describe(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """(key, skip, main) of an element, ``inside`` a main one or not: digits in ids and classes do not count."""
+    skip, main = tag in SKIPPED_TAGS and not (inside and tag == "header"), tag in ("article", "main")
     if not attributes:
         return tag, skip, main
     key = tag
@@ -113,8 +117,8 @@ def describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
             skip, main = skip or value in SKIPPED_ROLES, main or value == "main"
         elif tag in ("body", "html", "article", "main"):
             continue
-        elif not SKIPPED_WORDS.isdisjoint(words):
-            skip = True
+        elif (found := SKIPPED_WORDS.intersection(words)) and LAYOUT_WORDS.isdisjoint(words):
+            skip = skip or not (inside and found <= HEAD_WORDS)
         elif name == "itemprop" and not MAIN_WORDS.isdisjoint(words):
             main = True
     return key, skip, main
@@ -196,10 +200,8 @@ def parse(html: str) -> tuple[Node, list[tuple[str, Node, bool, bool]]]:
                 continue
             if stack[-1][0] == "head" and tag == "body":
                 stack.pop()
-            key, skip, main = describe(tag, found[3])
             _, parent, skipped, inside = stack[-1]
-            if tag == "header" and inside and not skipped:
-                skip = False  # an article's own head
+            key, skip, main = describe(tag, found[3], inside)
             node = parent.child(key)
             stack.append((tag, node, skipped or skip, inside or (main and not skipped)))
     flush()

@@ -56,6 +56,12 @@ def test_clashing_columns_and_empty_table(spark):
     assert html.extract(df.limit(0)).collect() == []
 
 
+def test_layout_words_and_an_articles_own_head(spark):
+    page = '<div class="page-with-sidebar"><div class=sidebar>side {i}</div><article><div class="article-header"><h1>Head {i}</h1></div><p>Body {i}</p><section class="comments"><article>said {i}</article></section></article></div>'
+    got = extracted(spark, [(i, "http://g.org/", page.format(i=i)) for i in range(4)])
+    assert got[3][0] == "Head 3 Body 3"
+
+
 def test_matching_aligns_by_weight():
     a, b = html.parse("<ul><li>x</li></ul><p>y</p>")[0], html.parse("<p>y</p><ul><li>x</li></ul>")[0]
     assert html.match(a.children, b.children) == [(0, 1)]
