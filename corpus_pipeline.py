@@ -36,7 +36,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without contaminated documents; hit spans are cut out of the others, whose n_chars is counted again."""
     others = ("lang", "source", "n_chars")
-    cleaned = decontaminate.clean(decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), others=others))
+    cleaned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), others=others, cut=True)
     n_chars = F.when(F.col("n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select(F.col("key").alias("doc_id"), "text", "lang", "source", n_chars.alias("n_chars"))
 

@@ -85,6 +85,15 @@ def spans_of(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def without(text: bytes, hit: np.ndarray) -> bytes:
+    """``text`` without its hit words and what lies between neighbours of them."""
+    left, at = [], 0
+    for a, b in spans_of(text, hit):
+        left.append(text[at:a])
+        at = b
+    return b"".join([*left, text[at:]])
+
+
 def item_blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int | str | None, bytes | None]]]:
     """The items in driver-sized blocks; one block is on the driver at a time."""
     block: list[tuple[int | str | None, bytes | None]] = []
@@ -105,10 +114,11 @@ ARROW_STATE = pa.schema([("key", pa.int64()), ("text", pa.string()), ("n_words",
 
 def scan(
     df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, block_bytes: int = BLOCK_BYTES,
-    keep_text: bool = True, others: tuple[str, ...] = (),
+    keep_text: bool = True, others: tuple[str, ...] = (), cut: bool = False,
 ) -> DataFrame:
     """(key, text, n_words, n_hit, hit, items, and the columns ``others``): one bit for each word (packed), and the sorted ids of the items that occur.
-    Without ``keep_text`` texts come back null. ``others`` must not be called like these."""
+    Without ``keep_text`` texts come back null. ``others`` must not be called like these. With ``cut`` contaminated documents are left out,
+    and the hit spans are cut out of the texts of all others, in the same pass."""
     spark = df.sparkSession
     bounded_batches(spark)
     zero = F.lit(0).cast("long")
@@ -121,11 +131,11 @@ def scan(
         after = next(blocks, None)
         shared, keep = spark.sparkContext.broadcast(build_windows(block, size)), keep_text or after is not None
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared, keep=keep) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, keep=keep, cut=cut and after is None) -> Iterator[pa.RecordBatch]:
             windows = shared.value
             for whole in batches:
                 keys, texts, _, _, hits, named, *rest = whole.columns
-                n_words, n_hit, bits, ids = [], [], [], []
+                n_words, n_hit, bits, ids, left = [], [], [], [], []
                 for data, old, before in zip(as_bytes(texts), hits.to_pylist(), named.to_pylist(), strict=True):
                     words = words_of(data)
                     hit, found = find_hits(words, windows)
@@ -135,8 +145,13 @@ def scan(
                     n_hit.append(int(hit.sum()))
                     bits.append(np.packbits(hit).tobytes())
                     ids.append(sorted(found | set(before)) if found else before)
+                    if cut:
+                        left.append(without(data, hit) if n_hit[-1] else data)
+                if cut:
+                    texts = pa.array(left, pa.binary()).cast(pa.string())
                 state = batch(ARROW_STATE, key=keys, text=texts if keep else pa.nulls(len(texts), pa.string()), n_words=n_words, n_hit=n_hit, hit=bits, items=ids)
-                yield pa.RecordBatch.from_arrays([*state.columns, *rest], names=whole.schema.names)
+                out = pa.RecordBatch.from_arrays([*state.columns, *rest], names=whole.schema.names)
+                yield out.filter(pa.array([not h or 20 * h < n for n, h in zip(n_words, n_hit, strict=True)], pa.bool_())) if cut else out
 
         out = out.mapInArrow(find, schema)
         block = after
@@ -150,24 +165,3 @@ def is_contaminated() -> Column:
 def report(scanned: DataFrame) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) from ``scan``."""
     return scanned.select("key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
-
-
-def clean(scanned: DataFrame) -> DataFrame:
-    """``scanned`` without contaminated documents; from the texts of the others the hit spans are cut out."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            hits, counts, n_hits = (whole.column(c).to_pylist() for c in ("hit", "n_words", "n_hit"))
-            if not any(n_hits):
-                yield whole
-                continue
-            out = []
-            for data, packed, n, n_hit in zip(as_bytes(whole.column("text")), hits, counts, n_hits, strict=True):
-                left, at = [], 0
-                for a, b in spans_of(data, np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)) if n_hit else []:
-                    left.append(data[at:a])
-                    at = b
-                out.append(b"".join([*left, data[at:]]).decode() if n_hit else None if data is None else data.decode())
-            yield whole.set_column(whole.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
-
-    return scanned.where(~is_contaminated()).mapInArrow(cut, scanned.schema)

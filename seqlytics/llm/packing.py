@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -173,19 +172,19 @@ def evolve(lengths: np.ndarray, capacity: int = CAPACITY, population: int = POPU
     return max(folk, key=Bins.fitness).bins
 
 
-def settler(r: int, mark: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def settler(r: int, mark: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
     """What an island does in round ``r``: bins with at most ``mark`` tokens free get their numbers, other pieces -1."""
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "deal"], ascending=[False, True], kind="stable", ignore_index=True)
-        lengths, where = rows["length"].to_numpy(), int(rows["island"].iloc[0])
+    def settle(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("deal", "ascending")])
+        lengths, where = rows["length"].to_numpy(), rows["island"][0].as_py()
         sequence, offset = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
         for k, items in enumerate(evolve(lengths, capacity, seed=where + 1)):
             sizes = lengths[items]
             if capacity - int(sizes.sum()) <= mark:
                 sequence[items] = (r << 60) | (where << 24) | k
                 offset[items] = np.cumsum(sizes) - sizes
-        return rows.drop(columns="island").assign(sequence_id=sequence, offset=offset)
+        return rows.drop_columns("island").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return settle
 
@@ -202,7 +201,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, roun
 
         dealt = left.withColumn("island", F.pmod(F.xxhash64("deal", F.lit(r)), F.lit(islands)))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema) + ", sequence_id long, offset long"
-        settled = written(dealt.groupBy("island").applyInPandas(settler(r, mark, capacity), schema), f"islands-{r}")
+        settled = written(dealt.groupBy("island").applyInArrow(settler(r, mark, capacity), schema), f"islands-{r}")
         out.append(settled.where("sequence_id >= 0").select(*columns, "sequence_id", "offset"))
         if last:
             break

@@ -55,9 +55,11 @@ def test_clean_cuts_spans_and_drops_documents(spark):
     item = " ".join(f"q{i}" for i in range(13))
     long = " ".join(f"a{i}" for i in range(400))
     rows = [(1, f"{long}. {item.upper()}! {long}", "en"), (2, f"a b {item}", "en"), (3, None, "de"), (4, long, None)]
-    scanned = d.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(1, item)], "item_id long, text string"), others=("lang",))
-    got = {r["key"]: (r["text"], r["lang"]) for r in d.clean(scanned).collect()}
-    assert got == {1: (f"{long}. ! {long}", "en"), 3: (None, "de"), 4: (long, None)}
+    for block in (d.BLOCK_BYTES, 1):
+        items = spark.createDataFrame([(1, item), (2, "nothing here")], "item_id long, text string")
+        cleaned = d.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string"), items, others=("lang",), cut=True, block_bytes=block)
+        got = {r["key"]: (r["text"], r["lang"]) for r in cleaned.collect()}
+        assert got == {1: (f"{long}. ! {long}", "en"), 3: (None, "de"), 4: (long, None)}
 
 
 def test_empty_tables(spark):
