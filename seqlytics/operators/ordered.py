@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ class SortedColumn:
         guards.check_index(i, self.n)
         return self.rows.where(F.col("i") == i).first()["x"]
 
+    __getitem__ = select = access
+
     def lower_bound(self, v: int) -> int:
         return self._count(F.col("x") < v)
 
@@ -56,6 +60,20 @@ class SortedColumn:
     def last_index_at_most(self, v: int) -> int:
         return self.upper_bound(v) - 1
 
+    last_less_equal = predecessor_index = last_index_at_most
+    count_less_than = lower_bound
+    count_less_equal = upper_bound
+
+    def first_index_with_high_at_least(self, high: int) -> int:
+        """The first index whose value, without its low bits, is at least ``high``; n if there is none."""
+        return self._count(F.shiftrightunsigned("x", self.low_bits) < high)
+
+    def first_index_with_high_greater_than(self, high: int) -> int:
+        return self._count(F.shiftrightunsigned("x", self.low_bits) <= high)
+
+    def items(self) -> Iterator[int]:
+        return (r["x"] for r in self.rows.orderBy("i").toLocalIterator())
+
     def predecessor(self, v: int) -> int:
         """The largest x at or below ``v``."""
         if (k := self.upper_bound(v)) == 0:
@@ -105,10 +123,20 @@ class Permutation:
             raise ValueError("not a bijection")
         self.n = n
 
+    @property
+    def bit_width(self) -> int:
+        """Bits of the largest image."""
+        return max(0, self.n - 1).bit_length()
+
     def forward(self, i: int) -> int:
         guards.check_index(i, self.n)
         return self.rows.where(F.col("idx") == i).first()["image"]
 
+    __getitem__ = access = forward
+
+    def items(self) -> Iterator[int]:
+        return (r["image"] for r in self.rows.orderBy("idx").toLocalIterator())
+
     def inverse(self, y: int) -> int:
         guards.check_index(y, self.n)
         return self.rows.where(F.col("image") == y).first()["idx"]

@@ -188,10 +188,34 @@ class SequenceTable:
         """All positions of a value, ascending, fetched as they are asked for."""
         return (r["pos"] for r in self.rows.where(F.col("value") == number(v)).orderBy("pos").toLocalIterator())
 
+    def cursor(self, v: int) -> Cursor:
+        return Cursor(self, v)
+
     def to_list(self) -> list[int]:
         return [int(r["value"]) for r in self.rows.orderBy("pos").collect()]
 
 
+class Cursor:
+    """The occurrences of one value in order: ``next`` gives the next position or -1, ``remaining`` how many are left."""
+
+    def __init__(self, table: SequenceTable, v: int) -> None:
+        self.table, self.v, self.count = table, v, table.rank(v, table.n)
+        self.taken, self._positions = 0, table.positions_of(v)
+
+    @property
+    def remaining(self) -> int:
+        return self.count - self.taken
+
+    def select(self, k: int) -> int:
+        return self.table.select(self.v, k) if k < self.count else -1
+
+    def next(self) -> int:
+        if not self.remaining:
+            return -1
+        self.taken += 1
+        return next(self._positions)
+
+
 class LsbIndex(SequenceTable):
     """Terminal order is numeric; there are no order questions."""
 
@@ -254,6 +278,14 @@ class MsbIndex(SequenceTable):
     def terminal(self) -> DataFrame:
         return terminal_permutation(self.rows, self.kind, self.width)
 
+    def terminal_position(self, i: int) -> int:
+        return self.access_with_terminal_position(i)[1]
+
+    def access_with_terminal_position(self, i: int) -> tuple[int, int]:
+        """The value at ``i`` and its place in the terminal order."""
+        v, before = self.access_rank(i)
+        return v, self.terminal_interval(v)[0] + before
+
     def terminal_interval(self, v: int) -> tuple[int, int]:
         """The terminal places of a value; empty, at the place it would have, if it is absent."""
         hit = terminal_bases(self.rows, self.kind, self.width).where(F.col("value") == number(v)).first()

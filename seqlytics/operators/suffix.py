@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlytics import guards
 from seqlytics.operators.positions import dense_positions, ordinals, running_before, sums_in_order
-from seqlytics.operators.runs import matching_runs
 from seqlytics.sources.scratch import written
 
 #: Fixed values.
@@ -95,5 +95,45 @@ def backward_search(transformed: DataFrame, pattern: bytes) -> tuple[int, int]:
     return left, right
 
 
-def run_symbols_matching(rows: DataFrame, sym: int) -> DataFrame:
-    return matching_runs(rows.select("pos", F.col("sym").alias("value")), F.col("value") == sym)
+class RunLengthColumn:
+    """Symbols (pos, sym) kept as runs (run, sym, first, past); questions read the runs."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.n = rows.count()
+        self.runs = written(symbol_runs(rows), "runs")
+
+    def run_count(self) -> int:
+        return self.runs.count()
+
+    def access(self, i: int) -> int:
+        guards.check_index(i, self.n)
+        return self.runs.where((F.col("first") <= i) & (F.col("past") > i)).first()["sym"]
+
+    def rank(self, sym: int, p: int) -> int:
+        guards.check_position(p, self.n)
+        inside = F.greatest(F.lit(0), F.least("past", F.lit(p)) - F.col("first"))
+        return self.runs.where(F.col("sym") == sym).agg(F.coalesce(F.sum(inside), F.lit(0))).first()[0]
+
+    def access_rank(self, i: int) -> tuple[int, int]:
+        sym = self.access(i)
+        return sym, self.rank(sym, i)
+
+    def rank_pair(self, sym: int, left: int, right: int) -> tuple[int, int]:
+        guards.check_range(left, right, self.n)
+        return self.rank(sym, left), self.rank(sym, right)
+
+    def select(self, sym: int, k: int) -> int:
+        if k < 0:
+            return -1
+        own = running_before(self.runs.where(F.col("sym") == sym), "run", {"before": F.col("past") - F.col("first")})
+        hit = own.where((F.col("before") <= k) & (F.col("before") + F.col("past") - F.col("first") > k)).first()
+        return -1 if hit is None else hit["first"] + k - hit["before"]
+
+
+def run_statistics(transformed: DataFrame) -> DataFrame:
+    """One row: length, runs, their ratio, average and maximum length of (row, sym)."""
+    found = symbol_runs(transformed.select(F.col("row").alias("pos"), "sym"))
+    size = F.col("past") - F.col("first")
+    return found.agg(
+        F.coalesce(F.sum(size), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("runs"), (F.count(F.lit(1)) / F.sum(size)).alias("run_ratio"), (F.sum(size) / F.count(F.lit(1))).alias("average_run"), F.coalesce(F.max(size), F.lit(0)).alias("longest_run")
+    )

@@ -6,6 +6,8 @@ occurrences of such patterns begin and end at characters. Pass a BINARY column f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,10 @@ class TextDictionary:
     def __len__(self) -> int:
         return self.rows.count()
 
+    def items(self) -> Iterator[str | bytes]:
+        """All strings in the order of their ids, fetched as they are asked for."""
+        return (r["s"] for r in self.rows.orderBy("id").toLocalIterator())
+
 
 def duplicates(rows: DataFrame) -> DataFrame:
     """(s, n, first_id) of strings that occur more than once."""

@@ -203,6 +203,14 @@ def text_bwt_runs(spark, sf):
     return suffix.symbol_runs(d_bwt(spark, sf).withColumnRenamed("row", "pos"))
 
 
+@registered(
+    "text_run_stats",
+    BWT_RUNS + ', l AS (SELECT count(*) AS k FROM g GROUP BY g) SELECT sum(k)::BIGINT AS n, count(*) AS runs, count(*) / sum(k) AS run_ratio, sum(k) / count(*) AS average_run, max(k) AS longest_run FROM l',
+)
+def text_run_stats(spark, sf):
+    return suffix.run_statistics(d_bwt(spark, sf))
+
+
 SIZES = (0, 1, 512, 513, 8192, 8193, 65_537, 1_048_576, 16_777_216, 67_108_864)
 
 

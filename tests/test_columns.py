@@ -116,6 +116,9 @@ def test_sorted_column(spark, values, universe):
         assert got[v] == (low, up, values[up - 1] if up else None)
     v = values[2]
     assert (s.lower_bound(v), s.upper_bound(v), s.contains(v), s.predecessor(v), s.successor(v)) == (values.index(v), bisect.bisect_right(values, v), True, v, v)
+    for high in range(5):
+        assert s.first_index_with_high_at_least(high) == sum(x >> s.low_bits < high for x in values) and s.first_index_with_high_greater_than(high) == sum(x >> s.low_bits <= high for x in values)
+    assert list(s.items()) == values and s.last_less_equal(v) == bisect.bisect_right(values, v) - 1
     assert s.count_range(1, 6) == sum(1 <= x < 6 for x in values) and s.access(1) == values[1]
 
 
@@ -160,6 +163,20 @@ def test_symbol_runs(spark):
     assert all(x[1] != y[1] and x[3] == y[2] for x, y in zip(got, got[1:], strict=False))
 
 
+def test_run_length_column(spark):
+    values = [2, 2, 0, 1, 1, 1, 0, 2]
+    r = suffix.RunLengthColumn(spark.createDataFrame(list(enumerate(values)), "pos long, sym long"))
+    assert r.run_count() == 5
+    for i, v in enumerate(values):
+        assert r.access_rank(i) == (v, values[:i].count(v))
+    for sym in (0, 1, 2, 5):
+        where = [i for i, v in enumerate(values) if v == sym]
+        assert [r.select(sym, k) for k in range(-1, 4)] == [-1, *where, *[-1] * (4 - len(where))]
+        assert r.rank_pair(sym, 1, 8) == (values[:1].count(sym), values.count(sym))
+    with pytest.raises(IndexError):
+        r.access(8)
+
+
 def test_word_functions(spark):
     row = spark.range(1).select(words.ceil_div(F.lit(9), F.lit(4)), words.ceil_div(F.lit(0), F.lit(4)), words.align_up(F.lit(9), F.lit(8)), words.floor_log2(F.lit(1023)), words.floor_log2(F.lit(0)), words.nth_set_bit(F.lit(0b10110), F.lit(1)), words.nth_set_bit(F.lit(1), F.lit(1))).first()
     assert tuple(row) == (3, 0, 16, 9, 0, 2, -1)
