@@ -70,8 +70,8 @@ def dense_positions(df: DataFrame, order: tuple[str, ...], name: str = "pos") ->
 
 
 def few(df: DataFrame, most: int = ONE_TASK) -> bool:
-    """Whether ``df``, a cheap table, has at most ``most`` rows."""
-    return df.limit(most + 1).count() <= most
+    """Whether ``df``, a written table or a cheap plan, has at most ``most`` rows."""
+    return df.count() <= most  # a limit would gather as many rows of every partition in one task
 
 
 def sums_in_order(df: DataFrame, order: tuple[str, ...], sums: dict[str, str]) -> DataFrame:
@@ -93,7 +93,7 @@ def range_values(rows: DataFrame, queries: DataFrame, broadcast_queries: int = B
     and joined by block with the rows' counts at that level.
     """
     asked = queries.select("qid", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))
-    if asked.limit(broadcast_queries + 1).count() <= broadcast_queries:
+    if few(asked, broadcast_queries):
         near = rows.join(F.broadcast(asked), (F.col("pos") >= F.col("l")) & (F.col("pos") < F.col("r")))
         return near.groupBy("qid", "value").agg(F.count(F.lit(1)).alias("n"))
     top = rows.agg(F.max("pos")).first()[0] or 0
