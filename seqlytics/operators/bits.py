@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqlytics import guards
 from seqlytics.functions.words import mask_for_width
 from seqlytics.operators import runs
-from seqlytics.operators.positions import block_of, ordinals, running_before
+from seqlytics.operators.positions import block_of, kth_position, ordinals, running_before
 from seqlytics.operators.sequence import QuadIndex
 
 #: Bits in a block of each directory level.
@@ -85,10 +85,7 @@ class BitColumn:
         return p - self.rank1(p)
 
     def select(self, bit: bool, k: int) -> int:
-        if k < 0:
-            return -1
-        hit = self.rows.where(F.col("bit") == bit).orderBy("pos").offset(k).limit(1).first()
-        return -1 if hit is None else hit["pos"]
+        return kth_position(self.rows.where(F.col("bit") == bit), k)
 
     def cursor(self, bit: bool) -> Iterator[int]:
         """Positions of ones or zeros, ascending, fetched as they are asked for."""

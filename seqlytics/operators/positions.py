@@ -86,6 +86,18 @@ def sums_in_order(df: DataFrame, order: tuple[str, ...], sums: dict[str, str]) -
     return running_before(dense_positions(df, order, "_pos"), "_pos", {n: F.col(c) for n, c in sums.items()}).drop("_pos")
 
 
+def kth_position(rows: DataFrame, k: int, pos: str = "pos", size: int = BLOCK) -> int:
+    """The k-th smallest position (0-based), or -1: the block that holds it is found by counts, then that block alone is ordered."""
+    if k < 0:
+        return -1
+    counts = rows.groupBy(block_of(pos, size).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = sums_in_order(counts, ("_b",), {"_before": "_n"})
+    hit = placed.where((F.col("_before") <= k) & (F.col("_before") + F.col("_n") > k)).first()
+    if hit is None:
+        return -1
+    return rows.where(block_of(pos, size) == hit["_b"]).orderBy(pos).offset(k - hit["_before"]).limit(1).first()[pos]
+
+
 def range_values(rows: DataFrame, queries: DataFrame, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
     """(qid, value, n): how often each value of (pos, value) occurs in each query's range ``[l, r)`` of positions.
 

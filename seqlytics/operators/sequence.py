@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from seqlytics import guards
 from seqlytics.functions.words import bit_width, reversed_bits, reversed_digits
 from seqlytics.operators import runs
-from seqlytics.operators.positions import count_before, ordinals, range_values, running_before, sums_in_order
+from seqlytics.operators.positions import count_before, kth_position, ordinals, range_values, running_before, sums_in_order
 
 
 def number(v: int) -> Column:
@@ -160,10 +160,7 @@ class SequenceTable:
         return self.rank(v, p + 1)
 
     def select(self, v: int, k: int) -> int:
-        if k < 0:
-            return -1
-        hit = self.rows.where(F.col("value") == number(v)).orderBy("pos").offset(k).limit(1).first()
-        return -1 if hit is None else hit["pos"]
+        return kth_position(self.rows.where(F.col("value") == number(v)), k)
 
     def select_nth(self, v: int, nth: int) -> int:
         return self.select(v, nth - 1)
@@ -249,7 +246,8 @@ class MsbIndex(SequenceTable):
         guards.check_range(left, right, self.n)
         if not 0 <= k < right - left:
             raise IndexError(f"there is no {k}-th value in {right - left}")
-        return int(self.rows.where(self._between(left, right)).orderBy("value").offset(k).limit(1).first()["value"])
+        placed = sums_in_order(value_counts(self.rows, left, right), ("value",), {"smaller": "frequency"})
+        return int(placed.where((F.col("smaller") <= k) & (F.col("smaller") + F.col("frequency") > k)).first()["value"])
 
     def predecessor(self, left: int, right: int, v: int) -> int:
         """The largest value below ``v``."""
