@@ -262,16 +262,19 @@ def apart_in_long(a: Column, b: Column) -> Column:
 
 
 def still_possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches, long ones too, allow a link. Long sketches only move for pairs that the others leave."""
+    """The pairs (a, b) whose sizes and sketches, long ones too, allow a link. Long sketches only move for pairs that the others leave.
+
+    A leader may be in a third of all pairs: the joins are followed by writes, not by sums, so that Spark can split its partition.
+    """
     short = marks.drop("long_sk")
     x, y = short.alias("x"), short.alias("y")
-    left = pairs.join(x, F.col("a") == F.col("x.doc")).join(y, (F.col("b") == F.col("y.doc")) & may_link("x", "y", percent)).select("a", "b").distinct()
+    left = pairs.join(x, F.col("a") == F.col("x.doc")).join(y, (F.col("b") == F.col("y.doc")) & may_link("x", "y", percent)).select("a", "b")
     long = marks.select("doc", "n", "long_sk")
     x, y = long.alias("x"), long.alias("y")
-    both = written(left, "near-pairs").join(x, F.col("a") == F.col("x.doc")).join(y, F.col("b") == F.col("y.doc"))
+    both = written(left, "near-pairs").distinct().join(x, F.col("a") == F.col("x.doc")).join(y, F.col("b") == F.col("y.doc"))
     long_ones = (F.size("x.long_sk") > 0) & (F.size("y.long_sk") > 0)
     too_far = (100 + percent) * apart_in_long(F.col("x.long_sk"), F.col("y.long_sk")) > (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    return both.where(~F.when(long_ones, too_far).otherwise(False)).select("a", "b").distinct()
+    return both.where(~F.when(long_ones, too_far).otherwise(False)).select("a", "b")
 
 
 def leader_pairs(shared: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +317,7 @@ def checked(pairs: DataFrame, marks: DataFrame, rows: DataFrame, n: int, percent
 
     Their ids are broadcast if they are at most BROADCAST_IDS; beyond that texts are dealt out by id to meet them.
     """
-    pairs = written(still_possible(pairs, marks, percent), "pairs")
+    pairs = written(still_possible(written(pairs, "all-pairs"), marks, percent), "pairs").distinct()
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     sets = written(shingle_sets(rows.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi"), n).distinct(), "sets")
