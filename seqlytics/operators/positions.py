@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from seqlytics.sources.scratch import written
 
 BLOCK = 1 << 16
-#: Queries up to this many are broadcast to the rows of their ranges; more are decomposed into blocks and joined by block.
-BROADCAST_QUERIES = 4096
+#: Queries up to this many are broadcast, and each row is held against all of them; more are decomposed into blocks and joined by block.
+BROADCAST_QUERIES = 64
 FAN = 64
 #: Rows of a summary (values, blocks, strings) that one task may order.
 ONE_TASK = 1 << 20
@@ -99,7 +99,12 @@ def kth_position(rows: DataFrame, k: int, pos: str = "pos", size: int = BLOCK) -
 
 
 def range_values(rows: DataFrame, queries: DataFrame, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
-    """(qid, value, n): how often each value of (pos, value) occurs in each query's range ``[l, r)`` of positions.
+    """(qid, value, n): how often each value of (pos, value) occurs in each query's range ``[l, r)`` of positions."""
+    return range_entries(rows, queries, broadcast_queries).groupBy("qid", "value").agg(F.sum("n").alias("n"))
+
+
+def range_entries(rows: DataFrame, queries: DataFrame, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+    """(qid, value, n) that add up to the counts of ``range_values``; sums over them need no grouping by value.
 
     Few queries (their number is checked) are broadcast to the rows. Otherwise each range is cut into aligned blocks of 1, FAN, FAN**2, ... positions
     and joined by block with the rows' counts at that level.
@@ -107,7 +112,7 @@ def range_values(rows: DataFrame, queries: DataFrame, broadcast_queries: int = B
     asked = queries.select("qid", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))
     if few(asked, broadcast_queries):
         near = rows.join(F.broadcast(asked), (F.col("pos") >= F.col("l")) & (F.col("pos") < F.col("r")))
-        return near.groupBy("qid", "value").agg(F.count(F.lit(1)).alias("n"))
+        return near.select("qid", "value", F.lit(1).cast("long").alias("n"))
     top = rows.agg(F.max("pos")).first()[0] or 0
     levels = 1
     while FAN**levels <= top:
@@ -125,4 +130,4 @@ def range_values(rows: DataFrame, queries: DataFrame, broadcast_queries: int = B
         own = rows.groupBy(F.lit(k).alias("level"), block_of("pos", width).alias("node"), "value").agg(F.count(F.lit(1)).alias("n"))
         counts = own if counts is None else counts.unionByName(own)
         left, right = up, down
-    return pieces.join(counts, ["level", "node"]).groupBy("qid", "value").agg(F.sum("n").alias("n"))
+    return pieces.join(counts, ["level", "node"]).select("qid", "value", "n")

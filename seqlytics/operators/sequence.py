@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from seqlytics import guards
 from seqlytics.functions.words import bit_width, reversed_bits, reversed_digits
 from seqlytics.operators import runs
-from seqlytics.operators.positions import count_before, kth_position, ordinals, range_values, running_before, sums_in_order
+from seqlytics.operators.positions import count_before, kth_position, ordinals, range_entries, range_values, running_before, sums_in_order
 
 
 def number(v: int) -> Column:
@@ -43,7 +43,7 @@ def rank_batch(rows: DataFrame, queries: DataFrame, value: str = "v", at: str =
 
 def range_batch(rows: DataFrame, queries: DataFrame, **sums: Column) -> DataFrame:
     """``queries`` with aggregates over (value, n) of each range ``[l, r)``; the queries' own columns may be used in them."""
-    found = range_values(rows, queries).join(queries, "qid").groupBy("qid").agg(*[c.alias(n) for n, c in sums.items()])
+    found = range_entries(rows, queries).join(queries, "qid").groupBy("qid").agg(*[c.alias(n) for n, c in sums.items()])
     return queries.join(found, "qid", "left")
 
 
