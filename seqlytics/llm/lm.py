@@ -5,9 +5,9 @@ all others are the rare class, whose words' counts are joined to the documents t
 P(token) = P(class | state) * P(token | class). The first ``HEAD`` tokens by frequency make classes of ``CLASS`` words, chosen by a second softmax of the
 state; each further octave of ranks is one class, and so is all that is rarer or unknown, where a token has its share of counts plus one.
 
-The network (a GRU) is trained by truncated backpropagation: each training document gives two consecutive windows of ``WINDOW`` tokens for each
-``SEGMENT`` tokens begun, the state carried from the first to the second. Tasks start from the same weights, train on their share and are averaged,
-in two grouped steps, ``ROUNDS`` times. Scoring carries the state through all windows of a document, many documents side by side.
+The network (a GRU) is trained by truncated backpropagation over all tokens of all training documents: ``LANES`` documents side by side, in consecutive
+windows of ``WINDOW`` tokens, the state carried from a document's first token to its end. Tasks start from the same weights, train on their share and are
+averaged, in two grouped steps, ``ROUNDS`` times. Scoring carries the state through all windows of a document, many documents side by side.
 
 Defined results: a null or empty text is the end token alone; null keys are training documents; repeated rows are counted and scored each; without
 training documents all tokens are unknown; an empty table gives an empty table. Tokens are told apart by 64-bit hashes.
@@ -29,7 +29,7 @@ from .common import as_bytes, batch, bounded_batches, each, mix64, most_frequent
 KNOWN = 1 << 17
 HEAD, CLASS = 1024, 32
 HIDDEN = 16
-WINDOW, SEGMENT = 32, 1024
+WINDOW = 32
 ROUNDS, LANES, RATE = 2, 64, 0.02
 #: Distinct tokens that a task counts before it passes them on.
 COUNTED = 1 << 21
@@ -161,6 +161,12 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def log_shares(voc: Vocabulary) -> np.ndarray:
     """ln of a token's share of its class, for the classes without a softmax; 0 for the head, and for rare tokens, whose counts are joined later."""
     mass, cls = voc.masses(), voc.class_of_rank()
@@ -191,49 +197,70 @@ def token_logs(w: Weights, h: np.ndarray, ranks: np.ndarray, classes: np.ndarray
     return out
 
 
-def gradients(w: Weights, h: np.ndarray, symbols: np.ndarray, targets: np.ndarray, classes: np.ndarray) -> tuple[Weights, np.ndarray]:
-    """Gradients of the mean loss over one window (steps, lanes), and the state behind it; ``h`` is the state before it."""
+def summed_at(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, width): the sum of ``rows`` for each index in ``at``."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[ordered[starts]] = np.add.reduceat(rows[order], starts)
+    return out
+
+
+def gradients(
+    w: Weights, h: np.ndarray, symbols: np.ndarray, targets: np.ndarray, classes: np.ndarray, first: np.ndarray | None = None, live: np.ndarray | None = None,
+) -> tuple[Weights, np.ndarray]:
+    """Gradients of the mean loss over one window (steps, lanes), and the state behind it; ``h`` is the state before it.
+
+    ``first`` marks tokens that begin a document, and so start from the zero state; places that are not ``live`` have no loss.
+    """
     steps, lanes = symbols.shape
     k = HIDDEN
     inputs = w["embed"][symbols]
     p = inputs @ w["wx"] + w["bias"]
-    states, gates, news, projections = np.empty((steps + 1, lanes, k), np.float32), [], [], []
-    states[0] = h
+    keep = None if first is None else [(~f).astype(np.float32)[:, None] if f.any() else None for f in first]
+    states, befores, news, pushed, gates = *np.empty((4, steps, lanes, k), np.float32), np.empty((steps, lanes, 2 * k), np.float32)
     for t in range(steps):
-        states[t + 1], a, b, c = step(p[t], w["u"], states[t])
-        gates.append(a)
-        news.append(b)
-        projections.append(c)
-    flat, goal = states[1:].reshape(-1, k), targets.ravel()
-    n = np.float32(len(goal))
-    d = np.exp(log_softmax(flat @ w["wc"] + w["bc"]))
+        befores[t] = h if keep is None or keep[t] is None else h * keep[t]
+        states[t], gates[t], news[t], g = step(p[t], w["u"], befores[t])
+        pushed[t] = g[:, 2 * k :]
+        h = states[t]
+    flat, goal = states.reshape(-1, k), targets.ravel()
+    counted = None if live is None or live.all() else live.ravel()
+    n = np.float32(len(goal) if counted is None else counted.sum())
+    d = softmax(flat @ w["wc"] + w["bc"])
     d[np.arange(len(goal)), classes[goal]] -= 1
     d /= n
+    if counted is not None:
+        d[~counted] = 0
     out: Weights = {"wc": flat.T @ d, "bc": d.sum(0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
     dh = d @ w["wc"].T
-    for c, at in head_groups(goal):
+    for c, at in head_groups(goal if counted is None else np.where(counted, goal, KNOWN)):
         rows = slice(c * CLASS, (c + 1) * CLASS)
-        e = np.exp(log_softmax(flat[at] @ w["ww"][rows].T + w["bw"][rows]))
+        own = flat[at]
+        e = softmax(own @ w["ww"][rows].T + w["bw"][rows])
         e[np.arange(len(at)), goal[at] % CLASS] -= 1
         e /= n
-        out["ww"][rows], out["bw"][rows] = e.T @ flat[at], e.sum(0)
+        out["ww"][rows], out["bw"][rows] = e.T @ own, e.sum(0)
         dh[at] += e @ w["ww"][rows]
     dh = dh.reshape(steps, lanes, k)
-    dp, du, carried = np.empty_like(p), np.zeros_like(w["u"]), np.zeros((lanes, k), np.float32)
+    # All gate derivatives are multiples of a state's total gradient, so only that goes backward step by step.
+    r, z = gates[:, :, :k], gates[:, :, k:]
+    dnew = (1 - z) * (1 - news * news)
+    by_total = np.stack([dnew * pushed * r * (1 - r), (befores - news) * z * (1 - z), dnew * r], 2)  # (steps, lanes, 3, k)
+    totals, dg, carried, back = np.empty_like(states), np.empty_like(by_total), np.zeros((lanes, k), np.float32), w["u"].T
     for t in range(steps - 1, -1, -1):
-        total = dh[t] + carried
-        r, z, new, before = gates[t][:, :k], gates[t][:, k:], news[t], states[t]
-        dnew = total * (1 - z) * (1 - new * new)
-        dz = total * (before - new) * z * (1 - z)
-        dr = dnew * projections[t][:, 2 * k :] * r * (1 - r)
-        dp[t] = np.concatenate([dr, dz, dnew], 1)
-        dg = np.concatenate([dr, dz, dnew * r], 1)
-        du += before.T @ dg
-        carried = total * z + dg @ w["u"].T
+        total = np.add(dh[t], carried, out=totals[t])
+        np.multiply(total[:, None], by_total[t], out=dg[t])
+        carried = total * z[t] + dg[t].reshape(lanes, 3 * k) @ back
+        if keep is not None and keep[t] is not None:
+            carried *= keep[t]
+    dp = dg.copy()
+    dp[:, :, 2] = totals * dnew
     flat_dp = dp.reshape(-1, 3 * k)
-    out |= {"u": du, "wx": inputs.reshape(-1, k).T @ flat_dp, "bias": flat_dp.sum(0), "embed": np.zeros_like(w["embed"])}
-    np.add.at(out["embed"], symbols.ravel(), flat_dp @ w["wx"].T)
-    return out, states[-1]
+    out |= {"u": befores.reshape(-1, k).T @ dg.reshape(-1, 3 * k), "wx": inputs.reshape(-1, k).T @ flat_dp, "bias": flat_dp.sum(0)}
+    out["embed"] = summed_at(symbols.ravel(), flat_dp @ w["wx"].T, len(w["embed"]))
+    return out, h
 
 
 class Adam:
@@ -252,17 +279,47 @@ class Adam:
             w[k] -= (size * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
 
 
-def train_on(w: Weights, sequences: Iterator[np.ndarray], classes: np.ndarray, end_rank: int, rate: float) -> tuple[Weights, int]:
-    """``w`` after one pass over (lanes, 2 * WINDOW) arrays of ranks; the first input is the end token. Returns the number of tokens too."""
+def windows_of(documents: Iterator[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(lanes, ranks, first, live), the last three (WINDOW, lanes): every token of every document once and in order, each document in one lane, one behind the other.
+
+    Only where no documents are left do lanes end, in a window whose rest is not live.
+    """
+    held = [(np.empty(0, np.int64), np.empty(0, bool))] * LANES
+    while True:
+        lanes = []
+        for i in range(LANES):
+            size = len(held[i][0])
+            if size < WINDOW:
+                parts = [held[i]]
+                while size < WINDOW and (ranks := next(documents, None)) is not None:
+                    parts.append((ranks, np.arange(len(ranks)) == 0))
+                    size += len(ranks)
+                if len(parts) > 1:
+                    held[i] = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            if size:
+                lanes.append(i)
+        if not lanes:
+            return
+        ranks, first, live = np.zeros((len(lanes), WINDOW), np.int64), np.zeros((len(lanes), WINDOW), bool), np.zeros((len(lanes), WINDOW), bool)
+        for j, i in enumerate(lanes):
+            tokens, begins = held[i]
+            n = min(WINDOW, len(tokens))
+            ranks[j, :n], first[j, :n], live[j, :n] = tokens[:n], begins[:n], True
+            held[i] = (tokens[n:], begins[n:])
+        yield lanes, ranks.T, first.T, live.T
+
+
+def train_on(w: Weights, documents: Iterator[np.ndarray], classes: np.ndarray, end_rank: int, rate: float) -> tuple[Weights, int]:
+    """``w`` after one pass over all tokens of ``documents``, arrays of ranks; a document's first input is the end token. Returns the number of tokens too."""
     w = {k: x.copy() for k, x in w.items()}
     adam, seen = Adam(w, rate), 0
-    for ranks in sequences:
-        symbols = symbols_of(np.concatenate([np.full((len(ranks), 1), end_rank), ranks[:, :-1]], 1))
-        h = np.zeros((len(ranks), HIDDEN), np.float32)
-        for at in range(0, ranks.shape[1], WINDOW):
-            g, h = gradients(w, h, symbols[:, at : at + WINDOW].T, ranks[:, at : at + WINDOW].T, classes)
-            adam.update(w, g)
-        seen += ranks.size
+    h, last = np.zeros((LANES, HIDDEN), np.float32), np.full(LANES, end_rank)
+    for lanes, ranks, first, live in windows_of(documents):
+        given = np.where(first, end_rank, np.concatenate([last[lanes][None], ranks[:-1]]))
+        g, h[lanes] = gradients(w, h[lanes], symbols_of(given), ranks, classes, first, live)
+        last[lanes] = ranks[-1]
+        adam.update(w, g)
+        seen += int(live.sum())
     return w, seen
 
 
@@ -278,46 +335,44 @@ def unpacked(data: bytes, like: Weights) -> Weights:
     return out
 
 
-def training_windows(rows: DataFrame, voc: Vocabulary) -> DataFrame:
-    """(ranks), written: 2 * WINDOW consecutive tokens, as 32-bit ranks, for each SEGMENT tokens begun of every document."""
+def training_ranks(rows: DataFrame, voc: Vocabulary) -> DataFrame:
+    """(ranks), written: all tokens of every document, as 32-bit ranks."""
     known = rows.sparkSession.sparkContext.broadcast(voc)  # KNOWN entries at most
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, width = known.value, 2 * WINDOW
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = known.value
         for (texts,) in each(batches, "text"):
-            out = []
-            for t in as_bytes(texts):
-                tokens = token_hashes(t)
-                for at in range(0, len(tokens), SEGMENT):
-                    part = tokens[at : at + SEGMENT]
-                    start = int(mix64(part[:1])[0]) % max(1, len(part) - width + 1)
-                    ranks = voc.ranks(part[start : start + width])
-                    if len(ranks) == width:
-                        out.append(ranks.astype("<i4").tobytes())
-                    elif at == 0:  # a short document is repeated to fill its windows
-                        out.append(np.resize(ranks, width).astype("<i4").tobytes())
+            out = [voc.ranks(token_hashes(t)).astype("<i4").tobytes() for t in as_bytes(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ranks"])
 
-    return written(rows.select("text").mapInArrow(cut, "ranks binary"), "lm-windows")
+    return written(rows.select("text").mapInArrow(ranked, "ranks binary"), "lm-ranks")
+
+
+def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The documents of (ranks), mixed within each batch; in the last batch long ones come first, so that lanes end at about the same time."""
+    waiting: list[bytes] = []
+
+    def documents(rows: list[bytes], longest_first: bool) -> Iterator[np.ndarray]:
+        order = np.argsort(mix64(np.arange(len(rows), dtype=np.uint64)))
+        for i in sorted(order, key=lambda i: -len(rows[i])) if longest_first else order:
+            yield np.frombuffer(rows[i], "<i4").astype(np.int64)
+
+    for (data,) in each(batches, "ranks"):
+        yield from documents(waiting, False)
+        waiting = data.to_pylist()
+    yield from documents(waiting, True)
 
 
-def train(windows: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Weights:
+def train(ranked: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Weights:
     """The averaged network. One row of weights for each task is averaged in AVERAGED groups, and the groups' on the driver."""
     w = first_weights(voc)
     classes = voc.class_of_rank()
     end_rank = int(voc.ranks(np.array([END], np.uint64))[0])
     for r in range(rounds):
-        start, rate = windows.sparkSession.sparkContext.broadcast(w), RATE / (1 + r)
+        start, rate = ranked.sparkSession.sparkContext.broadcast(w), RATE / (1 + r)
 
         def fit(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
-            def lanes() -> Iterator[np.ndarray]:
-                for (data,) in each(batches, "ranks"):
-                    ranks = np.frombuffer(b"".join(data.to_pylist()), "<i4").reshape(-1, 2 * WINDOW)
-                    ranks = ranks[np.argsort(mix64(np.arange(len(ranks), dtype=np.uint64)))].astype(np.int64)
-                    for i in range(0, len(ranks), LANES):
-                        yield ranks[i : i + LANES]
-
-            out, seen = train_on(start.value, lanes(), classes, end_rank, rate)
+            out, seen = train_on(start.value, shuffled(batches), classes, end_rank, rate)
             if seen:
                 yield pa.RecordBatch.from_pydict({"lane": pa.array([TaskContext.get().partitionId() % AVERAGED], pa.int32()), "seen": pa.array([seen], pa.int64()), "weights": pa.array([packed(out)], pa.binary())})
 
@@ -326,7 +381,7 @@ def train(windows: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Weights:
             total = sum(np.frombuffer(x, "<f4").astype(np.float64) * s for x, s in zip(rows["weights"].to_pylist(), seen, strict=True)) / sum(seen)
             return pa.table({"seen": pa.array([sum(seen)], pa.int64()), "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
-        parts = windows.mapInArrow(fit, "lane int, seen long, weights binary").groupBy("lane").applyInArrow(average, "seen long, weights binary").collect()
+        parts = ranked.mapInArrow(fit, "lane int, seen long, weights binary").groupBy("lane").applyInArrow(average, "seen long, weights binary").collect()
         if parts:
             whole = sum(p["seen"] for p in parts)
             mean = sum(np.frombuffer(p["weights"], "<f4").astype(np.float64) * (p["seen"] / whole) for p in parts)
@@ -380,7 +435,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     training = rows.where(~F.col("held_out"))
     counts = count_tokens(training)
     voc = vocabulary(counts)
-    w = train(training_windows(training, voc), voc)
+    w = train(training_ranks(training, voc), voc)
     shared = spark.sparkContext.broadcast((voc, w))
     schema = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("log", pa.float64()), ("rare", pa.list_(pa.int64()))])
 

@@ -94,5 +94,47 @@ def test_network_learns_order(spark):
     assert got["s"] > 0.9 * got["b"]  # logarithms: closer to 0 is likelier
 
 
+def test_every_training_token_is_learnt_from_in_order():
+    rng = np.random.default_rng(6)
+    docs = [np.append(rng.integers(0, 1500, n), 7) for n in (0, 5, 1500, 31, 32, 33, 2100, 64, *rng.integers(0, 300, 200))]
+    lanes_seen: dict[int, list[int]] = {}
+    begins: dict[int, list[bool]] = {}
+    for lanes, ranks, first, live in lm.windows_of(iter(docs)):
+        for j, lane in enumerate(lanes):
+            lanes_seen.setdefault(lane, []).extend(ranks[live[:, j], j])
+            begins.setdefault(lane, []).extend(first[live[:, j], j])
+    got = [tuple(x) for lane, tokens in lanes_seen.items() for x in np.split(tokens, np.flatnonzero(begins[lane])[1:])]
+    assert sorted(got) == sorted(map(tuple, docs))
+    voc = tiny()
+    _, seen = lm.train_on(lm.first_weights(voc), iter(docs), voc.class_of_rank(), 7, 0.02)
+    assert seen == sum(map(len, docs))
+
+
+def test_state_reaches_the_end_of_a_document_and_no_further():
+    voc = tiny()
+    rng = np.random.default_rng(7)
+    w = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float32) for k, v in lm.first_weights(voc).items()}
+    classes, h = voc.class_of_rank(), np.zeros((1, lm.HIDDEN), np.float32)
+    one, two = rng.integers(0, 1500, 9), rng.integers(0, 1500, 6)
+
+    def of(tokens, first, live):
+        symbols = lm.symbols_of(np.where(first, 7, np.append(7, tokens[:-1])))
+        return lm.gradients(w, h, symbols[:, None], tokens[:, None], classes, first[:, None], live[:, None])
+
+    start = lambda x: np.arange(len(x)) == 0
+    joined, _ = of(np.append(one, two), np.append(start(one), start(two)), np.ones(15, bool))
+    a, _ = of(np.append(one, [0, 0]), np.append(start(one), [False, False]), np.append(np.ones(9, bool), [False, False]))
+    b, _ = of(two, start(two), np.ones(6, bool))
+    assert all(np.allclose(joined[k], (9 * a[k] + 6 * b[k]) / 15, atol=1e-5) for k in w)
+
+
+def test_a_table_of_long_documents_is_trained_whole(spark):
+    text = " ".join(f"w{i % 50}" for i in range(3000))
+    rows = spark.createDataFrame([(text,)] * 5 + [("a b",), (None,)], "text string")
+    voc = lm.vocabulary(lm.count_tokens(rows))
+    got = lm.training_ranks(rows, voc).selectExpr("sum(length(ranks)) / 4 n").first()["n"]
+    assert got == 5 * 3001 + 3 + 1 == voc.n
+
+
 def test_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
