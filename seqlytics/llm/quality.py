@@ -2,11 +2,11 @@
 
 A document's worth is linear in features of its whole text; the chance that a preferred document (label 1) beats another
 (label 0) is the logistic of the difference of their worths. The weights are fitted on preference pairs by logistic loss on
-feature differences. The cut is the quantile of the training documents' worths that leaves out as many as are labelled 0;
+feature differences. The cut is the quantile of the worths of all labelled training documents that leaves out as many as are labelled 0;
 scores are the logistic of the distance to it, shifted so that the cut scores ``CUT_SCORE``.
 
-Fitting uses at most ``sample_rows`` labelled rows of each class, by a hash of their id, and ``pairs`` pairs; scoring
-covers every row and looks at nothing but the text.
+Fitting the weights uses at most ``sample_rows`` labelled rows of each class, by a hash of their id, and ``pairs`` pairs; the cut is
+exact, from every labelled row; scoring covers every row and looks at nothing but the text.
 
 Defined results: null and empty texts have all features 0 and a score like any other; null labels and ids do not take part in
 fitting; a document with repeated labels counts once for each; without labels of both classes every score is ``CUT_SCORE``;
@@ -16,7 +16,7 @@ repeated rows are scored alike; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_bytes, batch, bounded_batches, each, hashed_sample
+from seqlytics.operators.positions import dense_positions
+
+from .common import as_bytes, batch, bounded_batches, each, hashed_sample, written
 
 CUT_SCORE = 0.7
 SAMPLE_ROWS = 8_000
@@ -105,9 +107,14 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, steps: int =
     return Model(mean, scale, w, float(np.quantile(worth, 1 - good.mean())))
 
 
+def known_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label) of the rows that take part."""
+    return labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)")
+
+
 def labelled_features(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``sample_rows`` rows of each class. The sample is what is broadcast, and what comes to the driver."""
-    known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)")
+    known = known_labels(labels, key, label)
     sample = hashed_sample(known.where("label = 0"), "key", sample_rows, 11).unionByName(hashed_sample(known.where("label = 1"), "key", sample_rows, 11))
     rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "key")
     schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
@@ -120,8 +127,32 @@ def labelled_features(documents: DataFrame, labels: DataFrame, key: str, text: s
     return np.array([g[2] for g in got], float).reshape(-1, len(FEATURES)), np.array([g[1] == 1 for g in got], bool)
 
 
+def cut_of_all(documents: DataFrame, labels: DataFrame, model: Model, key: str, text: str, label: str) -> float:
+    """The quantile of the worths of all labelled rows that leaves out as many as are labelled 0; texts are not shuffled, only their worths."""
+
+    def worths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in each(batches, "key", "text"):
+            x = np.array([features_of(t) for t in as_bytes(texts)], float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(model.worth(x), pa.float64())], names=["key", "worth"])
+
+    rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("key IS NOT NULL")
+    rows = written(rows.mapInArrow(worths, "key long, worth double").join(known_labels(labels, key, label), "key"), "quality-labelled")
+    # The key behind the worth lets copies of one text be split between tasks.
+    placed = written(dense_positions(rows, ("worth", "key"), "at"), "quality-worths")
+    n, bad = placed.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 0)).first()
+    at = (n - 1) * bad / n
+    low = int(at)
+    worth = {r["at"]: r["worth"] for r in placed.where(F.col("at").isin(low, low + 1)).collect()}
+    return worth[low] + (at - low) * (worth.get(low + 1, worth[low]) - worth[low])
+
+
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, pairs: int = PAIRS) -> Model:
-    return fit_pairs(*labelled_features(documents, labels, key, text, label, sample_rows), pairs=pairs)
+    x, good = labelled_features(documents, labels, key, text, label, sample_rows)
+    model = fit_pairs(x, good, pairs=pairs)
+    if not model.weights.any():  # not both classes
+        return model
+    bounded_batches(documents.sparkSession)
+    return replace(model, cut=cut_of_all(documents, labels, model, key, text, label))
 
 
 def held_out(key: Column) -> Column:

@@ -34,6 +34,19 @@ def test_scores_depend_on_the_text_alone(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_cut_is_of_all_labels_where_the_sample_is_not(spark):
+    rng = np.random.default_rng(2)
+    good = rng.random(3000) < 0.9
+    marks = rng.binomial(12, np.where(good, 0.4, 0.6))
+    docs = spark.createDataFrame([(i, "some plain words here " * 5 + f"x{i} " + "# " * int(m)) for i, m in enumerate(marks)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, sample_rows=200)
+    worth = np.sort(model.worth(np.array([quality.features_of(r["text"].encode()) for r in docs.collect()])))
+    assert abs(model.cut - np.quantile(worth, 1 - good.mean())) < 1e-9
+    dropped = quality.score(docs, model).where(F.col("score") < quality.CUT_SCORE).count()
+    assert abs(dropped / 3000 - (~good).mean()) < 0.01
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     for rows in ([], [(1, 1)], [(None, 0), (1, None)]):
