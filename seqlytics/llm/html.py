@@ -7,8 +7,8 @@ may own any share of all pages; a template is as large as a page's skeleton.
 
 ``extract`` aligns every page with its host's template and joins, in page order, the blocks that are content: those in the page's
 article (or main) element if it has one, else those of the body in slots that are not link lists; without elements that say they are
-menus, headers, footers, sidebars, notices, adverts, forms or comments; without template nodes, unless the page's article holds
-nothing else.
+menus, headers, footers, sidebars, notices, adverts, forms or comments; without template nodes. In an article or main element a template
+node is content all the same, unless its few words say what it is (share, subscribe and the like).
 
 Defined results: null or empty html, or html without text, gives an empty text; a null url has the empty host; a host with fewer than
 ``MIN_PAGES`` pages has no template nodes; unclosed and stray tags are closed or skipped; repeated rows are extracted each; an empty table
@@ -60,6 +60,8 @@ LAYOUT_WORDS = frozenset("has with no without layout page wrapper container".spl
 HEAD_WORDS = frozenset(("header", "masthead"))
 MAIN_WORDS = frozenset(("articlebody", "main"))
 VARIES = -1
+#: A template node in an article is dropped if it has at most so many words, one of them in SKIPPED_WORDS.
+LABEL_WORDS = 4
 
 
 class Node:
@@ -261,6 +263,12 @@ def mark(page: Node, template: Node) -> None:
         mark(page.children[i], template.children[j])
 
 
+def labels_itself(text: str) -> bool:
+    """Whether a block's few words name boilerplate."""
+    words = WORD.findall(text.lower())
+    return len(words) <= LABEL_WORDS and not SKIPPED_WORDS.isdisjoint(words)
+
+
 def main_text(html: str | None, template: Node | None) -> str:
     root, blocks = parse(html or "")
     if template is not None:
@@ -268,9 +276,10 @@ def main_text(html: str | None, template: Node | None) -> str:
     kept = [b for b in blocks if not b[2]]
     if inner := [b for b in kept if b[3]]:
         kept = inner
+        slots = [b for b in kept if not (b[1].const and labels_itself(b[0]))]
     else:
         kept = [b for b in kept if 2 * b[1].links <= b[1].chars] or kept
-    slots = [b for b in kept if not b[1].const]
+        slots = [b for b in kept if not b[1].const]
     return " ".join(b[0] for b in slots or kept)
 
 

@@ -39,6 +39,16 @@ def test_copies_of_one_article_stay(spark):
     assert {t for t, _ in got.values()} == {"The same article everywhere"}
 
 
+def test_what_repeats_in_articles_stays(spark):
+    page = "<body><div>Site</div><article><h1>Head {i}</h1><p>Text {i}</p><h2>Conclusion</h2><p>More {i}</p>{quote}</article></body>"
+    quote = "<blockquote>Three copies hold this</blockquote>"
+    got = extracted(spark, [(i, "http://h.org/", page.format(i=0 if i < 3 else i, quote=quote if i < 3 else "")) for i in range(40)])
+    assert all(got[i][0] == "Head 0 Text 0 Conclusion More 0 Three copies hold this" for i in range(3))
+    assert all(got[i][0] == f"Head {i} Text {i} Conclusion More {i}" for i in range(3, 40))
+    copies = extracted(spark, [(i, "http://i.org/", "<article><h1>One head</h1><p>One</p><p>Two</p></article>") for i in range(5)])
+    assert {t for t, _ in copies.values()} == {"One head One Two"}
+
+
 def test_odd_input(spark):
     deep = "<div>" * 500 + "deep"
     rows = [(1, None, None), (2, "x", ""), (3, "http://e.org", "plain &lt;text&gt; 1 < 2"), (None, None, "<p>a<p>b</div></p>c"), (5, "http://e.org", deep), (6, "http://f.org", "<!-- open"), (7, "http://f.org", "<p>" + "word " * 200_000)]
