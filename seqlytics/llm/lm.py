@@ -5,9 +5,10 @@ all others are the rare class, whose words' counts are joined to the documents t
 P(token) = P(class | state) * P(token | class). The first ``HEAD`` tokens by frequency make classes of ``CLASS`` words, chosen by a second softmax of the
 state; each further octave of ranks is one class, and so is all that is rarer or unknown, where a token has its share of counts plus one.
 
-The network (a GRU) is trained by truncated backpropagation over all tokens of all training documents: ``LANES`` documents side by side, in consecutive
-windows of ``WINDOW`` tokens, the state carried from a document's first token to its end. Tasks start from the same weights, train on their share and are
-averaged, in two grouped steps, ``ROUNDS`` times. Scoring carries the state through all windows of a document, many documents side by side.
+The network (a GRU) is trained by truncated backpropagation over all tokens of all training documents, once: documents side by side in lanes, in consecutive
+windows of ``WINDOW`` tokens, the state carried from a document's first token to its end. A task begins with ``LANES[0]`` lanes and doubles them up to ``LANES[1]``;
+its rate falls with the root of its steps. Tasks start from the same weights, train on their share and are averaged in groups. Scoring carries the state
+through all windows of a document, many documents side by side.
 
 Defined results: a null or empty text is the end token alone; null keys are training documents; repeated rows are counted and scored each; without
 training documents all tokens are unknown; an empty table gives an empty table. Tokens are told apart by 64-bit hashes.
@@ -16,7 +17,7 @@ training documents all tokens are unknown; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +28,26 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batch, bounded_batches, each, mix64, most_frequent, written
 
 KNOWN = 1 << 17
-HEAD, CLASS = 1024, 32
+HEAD, CLASS = 2048, 64
 HIDDEN = 16
 WINDOW = 32
-ROUNDS, LANES, RATE = 2, 64, 0.02
+#: Lanes that a task begins and ends with; windows until they double; the first rate of learning, and the steps in which its square halves.
+LANES, DOUBLED, RATE, SLOWED = (32, 128), 128, 0.012, 100
+#: Octaves of ranks behind the head, and the classes: the head's, an octave each, the rare one.
+OCTAVES = (KNOWN // HEAD).bit_length() - 1
+CLASSES = HEAD // CLASS + OCTAVES + 1
 #: Distinct tokens that a task counts before it passes them on.
 COUNTED = 1 << 21
-#: Groups in which the weights of the tasks are averaged first.
-AVERAGED = 16
+#: Tasks whose weights are averaged together, some 150 KB each, level by level.
+AVERAGED = 64
 #: Documents whose states advance together.
 TOGETHER = 4096
 END = np.uint64(0x9E3779B97F4A7C15)
 
 Weights = dict[str, np.ndarray]
+#: What is broadcast is plain: executors that lack the package can load it. ``hashes`` of the known tokens, sorted, their ``rank``, ``counts`` by rank, numbers
+#: of training tokens ``n`` and of distinct ones ``v``, and ``rare``, the counts plus one of all rare tokens and one for unknown ones.
+Vocabulary = dict[str, Any]
 
 
 def token_hashes(text: bytes | None) -> np.ndarray:
@@ -51,44 +59,31 @@ def token_hashes(text: bytes | None) -> np.ndarray:
     return np.append(out, END)
 
 
-@dataclass
-class Vocabulary:
-    """The known tokens by hash, with rank and count, and the sums that the factored softmax needs."""
+def ranks_of(voc: Vocabulary, tokens: np.ndarray) -> np.ndarray:
+    """Rank of each token, KNOWN for rare ones."""
+    if not len(voc["hashes"]):
+        return np.full(len(tokens), KNOWN, np.int64)
+    at = np.minimum(np.searchsorted(voc["hashes"], tokens), len(voc["hashes"]) - 1)
+    return np.where(voc["hashes"][at] == tokens, voc["rank"][at], KNOWN)
 
-    hashes: np.ndarray
-    rank: np.ndarray
-    counts: np.ndarray  # by rank
-    n: int
-    v: int
-    rare: int  # counts plus one of all rare tokens, and one for unknown ones
 
-    @property
-    def classes(self) -> int:
-        return HEAD // CLASS + self.octaves + 1
+def end_rank(voc: Vocabulary) -> int:
+    return int(ranks_of(voc, np.array([END], np.uint64))[0])
 
-    @property
-    def octaves(self) -> int:
-        return (KNOWN // HEAD).bit_length() - 1
 
-    def ranks(self, tokens: np.ndarray) -> np.ndarray:
-        """Rank of each token, KNOWN for rare ones."""
-        if not len(self.hashes):
-            return np.full(len(tokens), KNOWN, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, self.rank[at], KNOWN)
+def class_of_rank() -> np.ndarray:
+    """For ranks 0 to KNOWN."""
+    r = np.arange(KNOWN + 1)
+    octave = np.log2(np.maximum(r, HEAD) // HEAD).astype(np.int64)
+    return np.where(r < HEAD, r // CLASS, HEAD // CLASS + octave).astype(np.int32)
 
-    def class_of_rank(self) -> np.ndarray:
-        """For ranks 0 to KNOWN."""
-        r = np.arange(KNOWN + 1)
-        octave = np.log2(np.maximum(r, HEAD) // HEAD).astype(np.int64)
-        return np.where(r < HEAD, r // CLASS, HEAD // CLASS + octave).astype(np.int32)
 
-    def masses(self) -> np.ndarray:
-        """Counts plus one by rank, rare ones last; 0 where there is no token."""
-        out = np.zeros(KNOWN + 1)
-        out[: len(self.counts)] = self.counts + 1
-        out[KNOWN] = self.rare
-        return out
+def masses(voc: Vocabulary) -> np.ndarray:
+    """Counts plus one by rank, rare ones last; 0 where there is no token."""
+    out = np.zeros(KNOWN + 1)
+    out[: len(voc["counts"])] = voc["counts"] + 1
+    out[KNOWN] = voc["rare"]
+    return out
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
@@ -121,25 +116,26 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     top = most_frequent(counts, "c", KNOWN).toPandas().sort_values(["c", "token"], ascending=[False, True])
     hashes, c = top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order.astype(np.int64), c, int(n), int(v), int(n - c.sum() + v - len(c) + 1))
+    return {"hashes": hashes[order], "rank": order.astype(np.int64), "counts": c, "n": int(n), "v": int(v), "rare": int(n - c.sum() + v - len(c) + 1)}
 
 
 def first_weights(voc: Vocabulary, seed: int = 5) -> Weights:
     """Small random weights whose biases give every class and head token its frequency."""
     rng = np.random.default_rng(seed)
-    symbols = HEAD + voc.octaves + 1
-    mass = voc.masses()
-    by_class = np.bincount(voc.class_of_rank(), mass, voc.classes)
+    symbols = HEAD + OCTAVES + 1
+    mass = masses(voc)
+    by_class = np.bincount(class_of_rank(), mass, CLASSES)
     out = {
         "embed": rng.normal(0, 0.1, (symbols, HIDDEN)), "wx": rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN)), "bias": np.zeros(3 * HIDDEN), "u": rng.normal(0, 0.2, (HIDDEN, 3 * HIDDEN)),
-        "wc": np.zeros((HIDDEN, voc.classes)), "bc": np.log(by_class + 1e-3) - np.log(mass.sum()), "ww": np.zeros((HEAD, HIDDEN)), "bw": np.log(np.maximum(mass[:HEAD], 1e-3)),
+        "wc": np.zeros((HIDDEN, CLASSES)), "bc": np.log(by_class + 1e-3) - np.log(mass.sum()), "ww": np.zeros((HEAD, HIDDEN)), "bw": np.log(np.maximum(mass[:HEAD], 1e-3)),
     }
     return {k: v.astype(np.float32) for k, v in out.items()}
 
 
-def symbols_of(ranks: np.ndarray) -> np.ndarray:
-    """Input symbols: a head token's rank, else HEAD plus the number of its octave."""
-    return np.where(ranks < HEAD, ranks, HEAD + np.log2(np.maximum(ranks, HEAD) // HEAD).astype(np.int64))
+def symbols_of_rank() -> np.ndarray:
+    """Input symbols of ranks 0 to KNOWN: a head token's rank, else HEAD plus the number of its octave."""
+    r = np.arange(KNOWN + 1)
+    return np.where(r < HEAD, r, HEAD + np.log2(np.maximum(r, HEAD) // HEAD).astype(np.int64))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -147,30 +143,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def step(p: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The next state of lanes ``h`` for projected inputs ``p``, with gates (reset and update), candidate and the state's projection."""
-    g = h @ u
-    k = h.shape[1]
-    gates = sigmoid(p[:, : 2 * k] + g[:, : 2 * k])
-    new = np.tanh(p[:, 2 * k :] + gates[:, :k] * g[:, 2 * k :])
-    z = gates[:, k:]
-    return new + z * (h - new), gates, new, g
+    """The next state of lanes ``h`` for projected inputs ``p``, with gates (reset and update), candidate and the state's projection. A lane is a column."""
+    g = u.T @ h
+    k = len(h)
+    gates = sigmoid(p[: 2 * k] + g[: 2 * k])
+    new = np.tanh(p[2 * k :] + gates[:k] * g[2 * k :])
+    return new + gates[k:] * (h - new), gates, new, g
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """Of each column. Reductions over the first axis are the fast ones."""
+    x = x - x.max(axis=0)
+    return x - np.log(np.exp(x).sum(axis=0))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+    """Of each column, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
     return x
 
 
 def log_shares(voc: Vocabulary) -> np.ndarray:
     """ln of a token's share of its class, for the classes without a softmax; 0 for the head, and for rare tokens, whose counts are joined later."""
-    mass, cls = voc.masses(), voc.class_of_rank()
-    by_class = np.bincount(cls, mass, voc.classes)
+    mass, cls = masses(voc), class_of_rank()
+    by_class = np.bincount(cls, mass, CLASSES)
     out = np.log(np.maximum(mass, 1e-300)) - np.log(np.maximum(by_class[cls], 1e-300))
     out[:HEAD] = 0
     out[KNOWN] = 0
@@ -190,10 +188,10 @@ def head_groups(ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def token_logs(w: Weights, h: np.ndarray, ranks: np.ndarray, classes: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """ln P of tokens ``ranks`` in states ``h``, without the shares of rare tokens."""
-    out = np.take_along_axis(log_softmax(h @ w["wc"] + w["bc"]), classes[ranks][:, None].astype(np.int64), 1)[:, 0].astype(np.float64) + shares[ranks]
+    out = log_softmax(w["wc"].T @ h.T + w["bc"][:, None])[classes[ranks], np.arange(len(ranks))].astype(np.float64) + shares[ranks]
     for k, at in head_groups(ranks):
         rows = slice(k * CLASS, (k + 1) * CLASS)
-        out[at] += np.take_along_axis(log_softmax(h[at] @ w["ww"][rows].T + w["bw"][rows]), (ranks[at] % CLASS)[:, None], 1)[:, 0]
+        out[at] += log_softmax(w["ww"][rows] @ h[at].T + w["bw"][rows, None])[ranks[at] % CLASS, np.arange(len(at))]
     return out
 
 
@@ -210,56 +208,65 @@ def summed_at(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 def gradients(
     w: Weights, h: np.ndarray, symbols: np.ndarray, targets: np.ndarray, classes: np.ndarray, first: np.ndarray | None = None, live: np.ndarray | None = None,
 ) -> tuple[Weights, np.ndarray]:
-    """Gradients of the mean loss over one window (steps, lanes), and the state behind it; ``h`` is the state before it.
+    """Gradients of the mean loss over one window (steps, lanes), and the state behind it; ``h`` (HIDDEN, lanes) is the state before it.
 
     ``first`` marks tokens that begin a document, and so start from the zero state; places that are not ``live`` have no loss.
     """
     steps, lanes = symbols.shape
     k = HIDDEN
-    inputs = w["embed"][symbols]
-    p = inputs @ w["wx"] + w["bias"]
-    keep = None if first is None else [(~f).astype(np.float32)[:, None] if f.any() else None for f in first]
-    states, befores, news, pushed, gates = *np.empty((4, steps, lanes, k), np.float32), np.empty((steps, lanes, 2 * k), np.float32)
+
+    def wide(x: np.ndarray) -> np.ndarray:
+        """(width, steps * lanes) of (steps, width, lanes)."""
+        return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+
+    inputs = w["embed"][symbols.ravel()]
+    p = np.ascontiguousarray((w["wx"].T @ inputs.T + w["bias"][:, None]).reshape(3 * k, steps, lanes).transpose(1, 0, 2))
+    keep = None if first is None else [(~f).astype(np.float32) if f.any() else None for f in first]
+    states, befores, news, pushed, gates = *np.empty((4, steps, k, lanes), np.float32), np.empty((steps, 2 * k, lanes), np.float32)
     for t in range(steps):
         befores[t] = h if keep is None or keep[t] is None else h * keep[t]
         states[t], gates[t], news[t], g = step(p[t], w["u"], befores[t])
-        pushed[t] = g[:, 2 * k :]
+        pushed[t] = g[2 * k :]
         h = states[t]
-    flat, goal = states.reshape(-1, k), targets.ravel()
+    goal = targets.ravel()
+    flat = np.ascontiguousarray(wide(states).T)
     counted = None if live is None or live.all() else live.ravel()
     n = np.float32(len(goal) if counted is None else counted.sum())
-    d = softmax(flat @ w["wc"] + w["bc"])
-    d[np.arange(len(goal)), classes[goal]] -= 1
+    d = softmax(w["wc"].T @ flat.T + w["bc"][:, None])
+    d[classes[goal], np.arange(len(goal))] -= 1
     d /= n
     if counted is not None:
-        d[~counted] = 0
-    out: Weights = {"wc": flat.T @ d, "bc": d.sum(0), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
-    dh = d @ w["wc"].T
+        d[:, ~counted] = 0
+    out: Weights = {"wc": (d @ flat).T, "bc": d.sum(1), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
+    dh = d.T @ w["wc"].T
     for c, at in head_groups(goal if counted is None else np.where(counted, goal, KNOWN)):
         rows = slice(c * CLASS, (c + 1) * CLASS)
         own = flat[at]
-        e = softmax(own @ w["ww"][rows].T + w["bw"][rows])
-        e[np.arange(len(at)), goal[at] % CLASS] -= 1
+        e = softmax(w["ww"][rows] @ own.T + w["bw"][rows, None])
+        e[goal[at] % CLASS, np.arange(len(at))] -= 1
         e /= n
-        out["ww"][rows], out["bw"][rows] = e.T @ own, e.sum(0)
-        dh[at] += e @ w["ww"][rows]
-    dh = dh.reshape(steps, lanes, k)
+        out["ww"][rows], out["bw"][rows] = e @ own, e.sum(1)
+        dh[at] += e.T @ w["ww"][rows]
+    dh = np.ascontiguousarray(dh.reshape(steps, lanes, k).transpose(0, 2, 1))
     # All gate derivatives are multiples of a state's total gradient, so only that goes backward step by step.
-    r, z = gates[:, :, :k], gates[:, :, k:]
+    r, z = gates[:, :k], gates[:, k:]
     dnew = (1 - z) * (1 - news * news)
-    by_total = np.stack([dnew * pushed * r * (1 - r), (befores - news) * z * (1 - z), dnew * r], 2)  # (steps, lanes, 3, k)
-    totals, dg, carried, back = np.empty_like(states), np.empty_like(by_total), np.zeros((lanes, k), np.float32), w["u"].T
+    by_total = np.empty((steps, 3, k, lanes), np.float32)
+    by_total[:, 2] = dnew * r
+    by_total[:, 0] = by_total[:, 2] * pushed * (1 - r)
+    by_total[:, 1] = (befores - news) * z * (1 - z)
+    totals, dg, carried = np.empty_like(states), np.empty_like(by_total), np.zeros((k, lanes), np.float32)
     for t in range(steps - 1, -1, -1):
         total = np.add(dh[t], carried, out=totals[t])
-        np.multiply(total[:, None], by_total[t], out=dg[t])
-        carried = total * z[t] + dg[t].reshape(lanes, 3 * k) @ back
+        np.multiply(total, by_total[t], out=dg[t])
+        carried = total * z[t] + w["u"] @ dg[t].reshape(3 * k, lanes)
         if keep is not None and keep[t] is not None:
             carried *= keep[t]
-    dp = dg.copy()
-    dp[:, :, 2] = totals * dnew
-    flat_dp = dp.reshape(-1, 3 * k)
-    out |= {"u": befores.reshape(-1, k).T @ dg.reshape(-1, 3 * k), "wx": inputs.reshape(-1, k).T @ flat_dp, "bias": flat_dp.sum(0)}
-    out["embed"] = summed_at(symbols.ravel(), flat_dp @ w["wx"].T, len(w["embed"]))
+    out["u"] = wide(befores) @ wide(dg.reshape(steps, 3 * k, lanes)).T
+    dg[:, 2] = totals * dnew
+    flat_dp = wide(dg.reshape(steps, 3 * k, lanes))
+    out |= {"wx": (flat_dp @ inputs).T, "bias": flat_dp.sum(1)}
+    out["embed"] = summed_at(symbols.ravel(), flat_dp.T @ w["wx"].T, len(w["embed"]))
     return out, h
 
 
@@ -269,7 +276,7 @@ class Adam:
 
     def update(self, w: Weights, g: Weights) -> None:
         self.t += 1
-        size = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        size = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t) / np.sqrt(1 + self.t / SLOWED)
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         for k, x in g.items():
@@ -284,15 +291,21 @@ def windows_of(documents: Iterator[np.ndarray]) -> Iterator[tuple[list[int], np.
 
     Only where no documents are left do lanes end, in a window whose rest is not live.
     """
-    held = [(np.empty(0, np.int64), np.empty(0, bool))] * LANES
+    held = [(np.empty(0, np.int64), np.empty(0, bool))] * LANES[1]
+    width, made, left = LANES[0], 0, True
     while True:
         lanes = []
-        for i in range(LANES):
+        for i in range(width):
             size = len(held[i][0])
-            if size < WINDOW:
+            if size < WINDOW and left:
                 parts = [held[i]]
-                while size < WINDOW and (ranks := next(documents, None)) is not None:
-                    parts.append((ranks, np.arange(len(ranks)) == 0))
+                while size < WINDOW:
+                    if (ranks := next(documents, None)) is None:
+                        left = False
+                        break
+                    first = np.zeros(len(ranks), bool)
+                    first[:1] = True
+                    parts.append((ranks, first))
                     size += len(ranks)
                 if len(parts) > 1:
                     held[i] = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
@@ -300,23 +313,26 @@ def windows_of(documents: Iterator[np.ndarray]) -> Iterator[tuple[list[int], np.
                 lanes.append(i)
         if not lanes:
             return
-        ranks, first, live = np.zeros((len(lanes), WINDOW), np.int64), np.zeros((len(lanes), WINDOW), bool), np.zeros((len(lanes), WINDOW), bool)
+        ranks, first, live = np.zeros((len(lanes), WINDOW), np.int64), np.zeros((len(lanes), WINDOW), bool), np.ones((len(lanes), WINDOW), bool)
         for j, i in enumerate(lanes):
             tokens, begins = held[i]
             n = min(WINDOW, len(tokens))
-            ranks[j, :n], first[j, :n], live[j, :n] = tokens[:n], begins[:n], True
+            ranks[j, :n], first[j, :n], live[j, n:] = tokens[:n], begins[:n], False
             held[i] = (tokens[n:], begins[n:])
         yield lanes, ranks.T, first.T, live.T
+        made += 1
+        if made % DOUBLED == 0:
+            width = min(2 * width, LANES[1])
 
 
-def train_on(w: Weights, documents: Iterator[np.ndarray], classes: np.ndarray, end_rank: int, rate: float) -> tuple[Weights, int]:
+def train_on(w: Weights, documents: Iterator[np.ndarray], classes: np.ndarray, end: int, rate: float = RATE) -> tuple[Weights, int]:
     """``w`` after one pass over all tokens of ``documents``, arrays of ranks; a document's first input is the end token. Returns the number of tokens too."""
     w = {k: x.copy() for k, x in w.items()}
     adam, seen = Adam(w, rate), 0
-    h, last = np.zeros((LANES, HIDDEN), np.float32), np.full(LANES, end_rank)
+    h, last, symbols = np.zeros((HIDDEN, LANES[1]), np.float32), np.full(LANES[1], end), symbols_of_rank()
     for lanes, ranks, first, live in windows_of(documents):
-        given = np.where(first, end_rank, np.concatenate([last[lanes][None], ranks[:-1]]))
-        g, h[lanes] = gradients(w, h[lanes], symbols_of(given), ranks, classes, first, live)
+        given = np.where(first, end, np.concatenate([last[lanes][None], ranks[:-1]]))
+        g, h[:, lanes] = gradients(w, h[:, lanes], symbols[given], ranks, classes, first, live)
         last[lanes] = ranks[-1]
         adam.update(w, g)
         seen += int(live.sum())
@@ -335,17 +351,26 @@ def unpacked(data: bytes, like: Weights) -> Weights:
     return out
 
 
-def training_ranks(rows: DataFrame, voc: Vocabulary) -> DataFrame:
-    """(ranks), written: all tokens of every document, as 32-bit ranks."""
+def token_ranks(rows: DataFrame, voc: Vocabulary) -> DataFrame:
+    """(uid, key, held_out, n_tokens, n_frequent, base, ranks, rare) of (key, held_out, text), written: all tokens of every document as 32-bit ranks, the hashes of its rare ones."""
     known = rows.sparkSession.sparkContext.broadcast(voc)  # KNOWN entries at most
+    schema = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("ranks", pa.binary()), ("rare", pa.list_(pa.int64()))])
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = known.value
-        for (texts,) in each(batches, "text"):
-            out = [voc.ranks(token_hashes(t)).astype("<i4").tobytes() for t in as_bytes(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ranks"])
+        count_logs = np.append(np.log10(np.maximum(masses(voc)[:KNOWN], 1)), 0.0)
+        uid = TaskContext.get().partitionId() << 40
+        for keys, helds, texts in each(batches, "key", "held_out", "text"):
+            tokens = [token_hashes(t) for t in as_bytes(texts)]
+            ranks = [ranks_of(voc, x) for x in tokens]
+            rare = [r == KNOWN for r in ranks]
+            yield batch(
+                schema, uid=np.arange(uid, uid + len(tokens)), key=keys, held_out=helds, n_tokens=[len(x) for x in tokens], n_frequent=[len(x) - int(r.sum()) for x, r in zip(tokens, rare, strict=True)],
+                base=[float(count_logs[r].sum()) for r in ranks], ranks=[r.astype("<i4").tobytes() for r in ranks], rare=[x[r].view(np.int64) for x, r in zip(tokens, rare, strict=True)],
+            )
+            uid += len(tokens)
 
-    return written(rows.select("text").mapInArrow(ranked, "ranks binary"), "lm-ranks")
+    return written(rows.mapInArrow(ranked, "uid long, key long, held_out boolean, n_tokens long, n_frequent long, base double, ranks binary, rare array<long>"), "lm-ranks")
 
 
 def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -363,41 +388,46 @@ def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     yield from documents(waiting, True)
 
 
-def train(ranked: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Weights:
-    """The averaged network. One row of weights for each task is averaged in AVERAGED groups, and the groups' on the driver."""
+def averaged(parts: DataFrame) -> list:
+    """At most AVERAGED rows (seen, weights) that average like all of (task, seen, weights): groups of AVERAGED tasks become one row, until few are left."""
+
+    def average(rows: pa.Table) -> pa.Table:
+        seen = rows["seen"].to_pylist()
+        total = sum(np.frombuffer(x, "<f4").astype(np.float64) * s for x, s in zip(rows["weights"].to_pylist(), seen, strict=True)) / sum(seen)
+        return pa.table({"task": pa.array([rows["task"][0].as_py() // AVERAGED], pa.int64()), "seen": pa.array([sum(seen)], pa.int64()), "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    parts = written(parts, "lm-weights")
+    while parts.count() > AVERAGED:
+        parts = written(parts.groupBy(F.expr(f"task div {AVERAGED}")).applyInArrow(average, "task long, seen long, weights binary"), "lm-weights")
+    return parts.collect()
+
+
+def train(ranked: DataFrame, voc: Vocabulary) -> Weights:
+    """The averaged network of (ranks)."""
     w = first_weights(voc)
-    classes = voc.class_of_rank()
-    end_rank = int(voc.ranks(np.array([END], np.uint64))[0])
-    for r in range(rounds):
-        start, rate = ranked.sparkSession.sparkContext.broadcast(w), RATE / (1 + r)
-
-        def fit(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
-            out, seen = train_on(start.value, shuffled(batches), classes, end_rank, rate)
-            if seen:
-                yield pa.RecordBatch.from_pydict({"lane": pa.array([TaskContext.get().partitionId() % AVERAGED], pa.int32()), "seen": pa.array([seen], pa.int64()), "weights": pa.array([packed(out)], pa.binary())})
-
-        def average(rows: pa.Table) -> pa.Table:
-            seen = rows["seen"].to_pylist()
-            total = sum(np.frombuffer(x, "<f4").astype(np.float64) * s for x, s in zip(rows["weights"].to_pylist(), seen, strict=True)) / sum(seen)
-            return pa.table({"seen": pa.array([sum(seen)], pa.int64()), "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
-
-        parts = ranked.mapInArrow(fit, "lane int, seen long, weights binary").groupBy("lane").applyInArrow(average, "seen long, weights binary").collect()
-        if parts:
-            whole = sum(p["seen"] for p in parts)
-            mean = sum(np.frombuffer(p["weights"], "<f4").astype(np.float64) * (p["seen"] / whole) for p in parts)
-            w = unpacked(mean.astype("<f4").tobytes(), w)
+    classes, end = class_of_rank(), end_rank(voc)
+    start = ranked.sparkSession.sparkContext.broadcast(w)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, seen = train_on(start.value, shuffled(batches), classes, end)
+        if seen:
+            yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "seen": pa.array([seen], pa.int64()), "weights": pa.array([packed(out)], pa.binary())})
+
+    if parts := averaged(ranked.select("ranks").mapInArrow(fit, "task long, seen long, weights binary")):
+        whole = sum(p["seen"] for p in parts)
+        mean = sum(np.frombuffer(p["weights"], "<f4").astype(np.float64) * (p["seen"] / whole) for p in parts)
+        w = unpacked(mean.astype("<f4").tobytes(), w)
     return w
 
 
-def document_logs(w: Weights, documents: list[np.ndarray], classes: np.ndarray, shares: np.ndarray, end_rank: int) -> np.ndarray:
+def document_logs(w: Weights, documents: list[np.ndarray], classes: np.ndarray, shares: np.ndarray, end: int) -> np.ndarray:
     """ln P of each document (an array of ranks), without the shares of its rare tokens. Longer documents come first, so that those that end leave the last lanes."""
     order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
     lengths = np.array([len(documents[i]) for i in order], np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     ranks = np.concatenate([documents[i] for i in order])
-    symbols = symbols_of(ranks)
-    p = w["embed"] @ w["wx"] + w["bias"]
-    h = np.zeros((len(order), HIDDEN), np.float32)
+    table, symbols = w["embed"] @ w["wx"] + w["bias"], symbols_of_rank()
+    h = np.zeros((HIDDEN, len(order)), np.float32)
     out = np.zeros(len(order))
     t, longest = 0, int(lengths[0])
     while t < longest:
@@ -406,14 +436,14 @@ def document_logs(w: Weights, documents: list[np.ndarray], classes: np.ndarray,
         while t < longest and len(states) < 16 * WINDOW and size < (1 << 16):
             n = int(np.searchsorted(-lengths, -t))  # documents longer than t
             at = offsets[:n] + t
-            given = symbols[at - 1] if t else np.full(n, symbols_of(np.array([end_rank]))[0])
-            h[:n] = step(p[given], w["u"], h[:n])[0]
-            states.append(h[:n].copy())
+            given = symbols[ranks[at - 1]] if t else np.full(n, symbols[end])
+            h = step(np.ascontiguousarray(table[given].T), w["u"], np.ascontiguousarray(h[:, :n]))[0]
+            states.append(h)
             goals.append(ranks[at])
             lanes.append(n)
             size += n
             t += 1
-        logs = token_logs(w, np.concatenate(states), np.concatenate(goals), classes, shares)
+        logs = token_logs(w, np.concatenate(states, axis=1).T, np.concatenate(goals), classes, shares)
         at = 0
         for n in lanes:
             out[:n] += logs[at : at + n]
@@ -432,38 +462,26 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     spark = df.sparkSession
     bounded_batches(spark)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), held_out(F.col(f"`{key}`")).alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    counts = count_tokens(training)
+    counts = count_tokens(rows.where(~F.col("held_out")))
     voc = vocabulary(counts)
-    w = train(training_ranks(training, voc), voc)
-    shared = spark.sparkContext.broadcast((voc, w))
-    schema = pa.schema([("uid", pa.int64()), ("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("base", pa.float64()), ("log", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    ranked = token_ranks(rows, voc)
+    w = train(ranked.where(~F.col("held_out")), voc)
+    shared = spark.sparkContext.broadcast((w, class_of_rank(), log_shares(voc), end_rank(voc)))  # KNOWN entries at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, w = shared.value
-        classes, shares = voc.class_of_rank(), log_shares(voc)
-        count_logs = np.append(np.log10(np.maximum(voc.masses()[:KNOWN], 1)), 0.0)
-        end_rank = int(voc.ranks(np.array([END], np.uint64))[0])
-        uid = TaskContext.get().partitionId() << 40
-        for keys, helds, texts in each(batches, "key", "held_out", "text"):
-            for i in range(0, len(keys), TOGETHER):
-                tokens = [token_hashes(t) for t in as_bytes(texts[i : i + TOGETHER])]
-                ranks = [voc.ranks(x) for x in tokens]
-                n = len(tokens)
-                yield batch(
-                    schema, uid=np.arange(uid, uid + n), key=keys[i : i + n], held_out=helds[i : i + n], n_tokens=[len(x) for x in tokens], n_frequent=[int((r < KNOWN).sum()) for r in ranks],
-                    base=[float(count_logs[r].sum()) for r in ranks], log=document_logs(w, ranks, classes, shares, end_rank) / np.log(10), rare=[x[r == KNOWN].view(np.int64) for x, r in zip(tokens, ranks, strict=True)],
-                )
-                uid += n
-
-    scored = written(rows.mapInArrow(score, "uid long, key long, held_out boolean, n_tokens long, n_frequent long, base double, log double, rare array<long>"), "lm-scored")
+        for uids, data in each(batches, "uid", "ranks"):
+            ranks = [np.frombuffer(x, "<i4").astype(np.int64) for x in data.to_pylist()]
+            for i in range(0, len(ranks), TOGETHER):
+                yield pa.RecordBatch.from_arrays([uids[i : i + TOGETHER], pa.array(document_logs(shared.value[0], ranks[i : i + TOGETHER], *shared.value[1:]) / np.log(10))], names=["uid", "log"])
+
+    logs = ranked.select("uid", "ranks").mapInArrow(score, "uid long, log double")
     # Frequent tokens are all broadcast, so no key of this join is hot.
-    rare = scored.select("uid", F.explode("rare").alias("token"))
+    rare = ranked.select("uid", F.explode("rare").alias("token"))
     joined = rare.join(counts, "token", "left").groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare_base"), F.count("c").alias("rare_known"))
     n_rare = F.col("n_tokens") - F.col("n_frequent")
-    out = scored.drop("rare").join(joined, "uid", "left")
+    out = ranked.drop("rare", "ranks").join(logs, "uid").join(joined, "uid", "left")
     rare_base = F.coalesce("rare_base", F.lit(0.0))
     return out.select(
-        F.col("key").alias("doc_id"), "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(voc.n).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_base - F.col("n_tokens") * float(np.log10(voc.n + voc.v + 1))).alias("base_score"), (F.col("log") + rare_base - n_rare * float(np.log10(voc.rare))).alias("score"),
+        F.col("key").alias("doc_id"), "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(voc["n"]).cast("long").alias("train_tokens"),
+        (F.col("base") + rare_base - F.col("n_tokens") * float(np.log10(voc["n"] + voc["v"] + 1))).alias("base_score"), (F.col("log") + rare_base - n_rare * float(np.log10(voc["rare"]))).alias("score"),
     )

@@ -1,6 +1,9 @@
 """Base scores against plain counts, gradients against differences, and that the network is a distribution and learns."""
 
 import math
+import pickle
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -13,7 +16,7 @@ def tiny():
     tokens = np.arange(1, 2001, dtype=np.uint64) * np.uint64(977)
     counts = np.sort((5000 / np.arange(1, 2001)).astype(np.int64) + 1)[::-1]
     order = np.argsort(tokens)
-    return lm.Vocabulary(tokens[order], order.astype(np.int64), counts, int(counts.sum()) + 50, 2040, 50 + 40 + 1)
+    return {"hashes": tokens[order], "rank": order.astype(np.int64), "counts": counts, "n": int(counts.sum()) + 50, "v": 2040, "rare": 50 + 40 + 1}
 
 
 def test_factored_softmax_is_a_distribution():
@@ -22,10 +25,10 @@ def test_factored_softmax_is_a_distribution():
     rng = np.random.default_rng(1)
     w["wc"], w["ww"] = rng.normal(0, 1, w["wc"].shape).astype(np.float32), rng.normal(0, 1, w["ww"].shape).astype(np.float32)
     h = np.repeat(rng.normal(0, 1, (1, lm.HIDDEN)).astype(np.float32), 2000, 0)
-    logs = lm.token_logs(w, h, np.arange(2000), voc.class_of_rank(), lm.log_shares(voc))
-    rare = lm.token_logs(w, h[:1], np.array([lm.KNOWN]), voc.class_of_rank(), lm.log_shares(voc))
-    used = np.unique(voc.class_of_rank()[np.r_[np.arange(2000), lm.KNOWN]])
-    whole = np.exp(lm.log_softmax(h[:1] @ w["wc"] + w["bc"]))[0][used].sum()
+    logs = lm.token_logs(w, h, np.arange(2000), lm.class_of_rank(), lm.log_shares(voc))
+    rare = lm.token_logs(w, h[:1], np.array([lm.KNOWN]), lm.class_of_rank(), lm.log_shares(voc))
+    used = np.unique(lm.class_of_rank()[np.r_[np.arange(2000), lm.KNOWN]])
+    whole = np.exp(lm.log_softmax((h[:1] @ w["wc"] + w["bc"]).T))[used, 0].sum()
     assert abs(np.exp(logs).sum() + np.exp(rare)[0] - whole) < 1e-4
 
 
@@ -33,17 +36,17 @@ def test_gradients_equal_differences():
     voc = tiny()
     rng = np.random.default_rng(2)
     w = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float64) for k, v in lm.first_weights(voc).items()}
-    classes = voc.class_of_rank()
+    classes = lm.class_of_rank()
     targets = rng.integers(0, 1500, (5, 3))
-    symbols = lm.symbols_of(rng.integers(0, 1500, (5, 3)))
-    h = rng.normal(0, 0.5, (3, lm.HIDDEN)).astype(np.float32)
+    symbols = lm.symbols_of_rank()[rng.integers(0, 1500, (5, 3))]
+    h = rng.normal(0, 0.5, (lm.HIDDEN, 3)).astype(np.float32)
 
     def loss(w):
         state, total = h.astype(np.float64), 0.0
         p = w["embed"] @ w["wx"] + w["bias"]
         for t in range(5):
-            state = lm.step(p[symbols[t]], w["u"], state)[0]
-            total -= lm.token_logs(w, state, targets[t], classes, np.zeros(lm.KNOWN + 1)).sum()
+            state = lm.step(p[symbols[t]].T, w["u"], state)[0]
+            total -= lm.token_logs(w, state.T, targets[t], classes, np.zeros(lm.KNOWN + 1)).sum()
         return total / targets.size
 
     g, _ = lm.gradients({k: v.astype(np.float32) for k, v in w.items()}, h, symbols, targets, classes)
@@ -63,12 +66,12 @@ def test_state_is_carried_and_lanes_do_not_mix():
     rng = np.random.default_rng(3)
     w["wc"] = rng.normal(0, 1, w["wc"].shape).astype(np.float32)
     docs = [rng.integers(0, 1500, n) for n in (1, 700, 3, 64, 200)]
-    together = lm.document_logs(w, docs, voc.class_of_rank(), lm.log_shares(voc), 7)
-    alone = [lm.document_logs(w, [x], voc.class_of_rank(), lm.log_shares(voc), 7)[0] for x in docs]
+    together = lm.document_logs(w, docs, lm.class_of_rank(), lm.log_shares(voc), 7)
+    alone = [lm.document_logs(w, [x], lm.class_of_rank(), lm.log_shares(voc), 7)[0] for x in docs]
     assert np.allclose(together, alone, rtol=1e-4)
     swapped = docs[1].copy()
     swapped[:2] = swapped[:2][::-1]
-    assert lm.document_logs(w, [swapped], voc.class_of_rank(), lm.log_shares(voc), 7)[0] != alone[1]
+    assert lm.document_logs(w, [swapped], lm.class_of_rank(), lm.log_shares(voc), 7)[0] != alone[1]
 
 
 def test_base_scores_equal_plain_counts(spark):
@@ -91,7 +94,7 @@ def test_network_learns_order(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join("abcdefgh"[(int(s) + k) % 8] for k in range(200))) for i, s in enumerate(rng.integers(0, 8, 400))]
     got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
-    assert got["s"] > 0.9 * got["b"]  # logarithms: closer to 0 is likelier
+    assert got["s"] > 0.6 * got["b"]  # logarithms: closer to 0 is likelier
 
 
 def test_every_training_token_is_learnt_from_in_order():
@@ -106,7 +109,7 @@ def test_every_training_token_is_learnt_from_in_order():
     got = [tuple(x) for lane, tokens in lanes_seen.items() for x in np.split(tokens, np.flatnonzero(begins[lane])[1:])]
     assert sorted(got) == sorted(map(tuple, docs))
     voc = tiny()
-    _, seen = lm.train_on(lm.first_weights(voc), iter(docs), voc.class_of_rank(), 7, 0.02)
+    _, seen = lm.train_on(lm.first_weights(voc), iter(docs), lm.class_of_rank(), 7)
     assert seen == sum(map(len, docs))
 
 
@@ -114,11 +117,11 @@ def test_state_reaches_the_end_of_a_document_and_no_further():
     voc = tiny()
     rng = np.random.default_rng(7)
     w = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float32) for k, v in lm.first_weights(voc).items()}
-    classes, h = voc.class_of_rank(), np.zeros((1, lm.HIDDEN), np.float32)
+    classes, h = lm.class_of_rank(), np.zeros((lm.HIDDEN, 1), np.float32)
     one, two = rng.integers(0, 1500, 9), rng.integers(0, 1500, 6)
 
     def of(tokens, first, live):
-        symbols = lm.symbols_of(np.where(first, 7, np.append(7, tokens[:-1])))
+        symbols = lm.symbols_of_rank()[np.where(first, 7, np.append(7, tokens[:-1]))]
         return lm.gradients(w, h, symbols[:, None], tokens[:, None], classes, first[:, None], live[:, None])
 
     start = lambda x: np.arange(len(x)) == 0
@@ -130,10 +133,28 @@ def test_state_reaches_the_end_of_a_document_and_no_further():
 
 def test_a_table_of_long_documents_is_trained_whole(spark):
     text = " ".join(f"w{i % 50}" for i in range(3000))
-    rows = spark.createDataFrame([(text,)] * 5 + [("a b",), (None,)], "text string")
+    rows = spark.createDataFrame([(1, False, text)] * 5 + [(2, False, "a b"), (3, False, None)], "key long, held_out boolean, text string")
     voc = lm.vocabulary(lm.count_tokens(rows))
-    got = lm.training_ranks(rows, voc).selectExpr("sum(length(ranks)) / 4 n").first()["n"]
-    assert got == 5 * 3001 + 3 + 1 == voc.n
+    got = lm.token_ranks(rows, voc).selectExpr("sum(length(ranks)) / 4 n", "sum(n_tokens) t").first()
+    assert got["n"] == got["t"] == 5 * 3001 + 3 + 1 == voc["n"]
+
+
+def test_broadcasts_load_where_the_package_is_missing(tmp_path):
+    """Broadcasts go by plain pickle, which names the modules of what it holds."""
+    voc = tiny()
+    for i, x in enumerate((voc, lm.first_weights(voc), (lm.first_weights(voc), lm.class_of_rank(), lm.log_shares(voc), 7))):
+        (tmp_path / f"{i}").write_bytes(pickle.dumps(x))
+        code = f"import pickle, sys; pickle.load(open({str(tmp_path / str(i))!r}, 'rb')); assert not any(m.startswith('seqlytics') for m in sys.modules)"
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_averages_over_many_tasks_weigh_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lm, "AVERAGED", 3)
+    rows = [(i, i + 1, np.full(4, i, "<f4").tobytes()) for i in range(20)]
+    parts = lm.averaged(spark.createDataFrame(rows, "task long, seen long, weights binary"))
+    whole = sum(p["seen"] for p in parts)
+    mean = sum(np.frombuffer(p["weights"], "<f4") * p["seen"] for p in parts) / whole
+    assert len(parts) <= 3 and whole == 210 and np.allclose(mean, sum(i * (i + 1) for i in range(20)) / 210, rtol=1e-5)
 
 
 def test_empty_table(spark):
