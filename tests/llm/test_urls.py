@@ -42,6 +42,48 @@ def test_templates_learn_from_labels(spark):
     assert all(got[200 + i] == "block" for i in range(100, 160))
 
 
+def judged(spark, rows, **how):
+    return {r["key"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), **how).collect()}
+
+
+def test_branches_below_the_third_segment(spark):
+    """Four segments and more: the fourth decides, and purity overrules the host."""
+    rows = [(i, f"http://h.net/a/b/c/good/{i}/x") for i in range(50)] + [(100 + i, f"http://h.net/a/b/c/bad/{i}/x") for i in range(50)]
+    rules = (("block", "h.net", "/a/b/c/bad/1"), ("allow", "h.net", "/a/b/c/good/1"), ("allow", "h.net", "/a/b/c/good/2"), ("allow", "h.net", "/a/b/c/good/3"))
+    got = judged(spark, rows, rules=rules)
+    assert {got[i]["verdict"] for i in range(50)} == {"allow"} and {got[100 + i]["verdict"] for i in range(50)} == {"block"}
+    assert len({got[i]["template"] for i in range(50)}) == 1 and got[0]["template"] != got[100]["template"]
+    assert got[105]["rule"] is None and got[105]["template"] == "/a/b/c/bad/<n>/x"
+
+
+def test_purity_overrules_the_host(spark):
+    """Most labels of the host say block; a template whose labels say allow is allowed, unlabelled pages too."""
+    rows = [(i, f"http://casino.net/{w}/{i}") for i, w in enumerate(["play"] * 200)] + [(1000 + i, f"http://casino.net/terms/p{i}") for i in range(60)]
+    got = judged(spark, rows, rules=(("allow", "casino.net", "/terms/p1"), ("allow", "casino.net", "/terms/p2"), ("allow", "casino.net", "/terms/p3")), block_words=("casino",))
+    assert got[5]["verdict"] == "block"
+    assert urls.BLOCK_WORDS and got[1010]["verdict"] == "allow" and got[1010]["rule"] is not None
+    rows = [(i, f"http://shop.net/list/casino{i % 3}-casino/{i}") for i in range(100)] + [(1000 + i, f"http://shop.net/help/wiki/q{i}") for i in range(100)]
+    got = judged(spark, rows, rules=())
+    assert got[5]["verdict"] == "block" and got[1005]["verdict"] == "allow"
+
+
+def test_unlabelled_pages_share_the_verdict_of_their_template(spark):
+    """Nine of ten labelled pages of a template are blocked; the unlabelled ones among them go with them. A branch without any label does not."""
+    rows = [(i, f"http://s.net/item/chair{'abcdefghij'[i % 10]}/casino") if i % 3 else (i, f"http://s.net/item/k{'abcdefghij'[i % 10]}{'qrstuvw'[i % 7]}/z") for i in range(90)]
+    rows += [(500 + i, f"http://s.net/about/{'abcdefghij'[i % 10]}") for i in range(90)]
+    got = judged(spark, rows, rules=(), support=40)
+    assert {got[i]["verdict"] for i in range(0, 90, 3)} == {"block"}
+    assert {got[500 + i]["verdict"] for i in range(90)} == {"allow"}
+
+
+def test_long_and_equal_paths(spark):
+    deep = "/".join(["x"] * 3000)
+    rows = [(1, f"http://a.net/{deep}"), (2, f"http://a.net/{deep}/y"), (3, f"http://a.net/{deep}"), (None, "http://a.net/"), (5, None), (6, f"http://a.net/{deep}/wiki"), (7, f"http://a.net/{deep}/casino")]
+    got = judged(spark, rows, support=2)
+    assert len(got) == 7 and all(r["verdict"] == "allow" for r in got.values())
+    assert got[1]["template"].endswith("/<end>") and got[2]["template"].endswith("/*") and got[1]["template"].count("/x") == 2998  # the paths of one segment, and of none, took two wildcards
+
+
 @pytest.mark.parametrize(("segment", "shown"), [("12.html", "<n>.html"), ("2024-05-01", "<date>"), ("deadbeef01", "<hex>"), ("news", "news"), ("a1b2c3d4-0000-1111-2222-333344445555", "<uuid>")])
 def test_segment_classes(spark, segment, shown):
     df = spark.createDataFrame([(segment,)], "s string")
