@@ -6,13 +6,14 @@ the other, removes the bins that hold the same pieces again, and puts the displa
 worst bins. After a round the island's elite, the bins filled to the round's mark, is kept as it is; the pieces of all other bins
 migrate and are dealt out to fewer islands, until one island holds what is left.
 
-Defined results: a null text is an empty one, a piece with the end token only; repeated rows are packed each; pieces of a length over the capacity
-raise ValueError; an empty table gives an empty table.
+Defined results: a null text is an empty one, a piece with the end token only; strings of added tokens in a text are these tokens; repeated rows, null
+keys and equal lengths are packed each; pieces of a length over the capacity raise ValueError; an empty table gives an empty table. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,18 +37,28 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
 
-def vocabulary_path(name: str = "byte_bpe_50k") -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(f"{name}.tiktoken")
+    return public_tokenizers.path(name)
 
 
-def load_encoder(ranks: bytes):
-    """The byte-level BPE encoder of a file with a base64 token and its rank on each line. Special tokens' strings are ordinary text."""
+def byte_of_symbol() -> dict[str, int]:
+    """The byte that each symbol of a byte-level vocabulary stands for: printable ones stand for themselves, the others take the code points from 256 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    others = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def load_encoder(definition: bytes):
+    """The encoder of a byte-level BPE tokenizer file (JSON). Added tokens are found in texts, as the library that the files are for does by default."""
     import tiktoken
 
-    merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    whole = json.loads(definition)
+    symbols = byte_of_symbol()
+    added = {t["content"]: t["id"] for t in whole["added_tokens"]}
+    merges = {bytes(symbols[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=merges, special_tokens=added)
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -61,16 +72,16 @@ def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacit
     spark = df.sparkSession
     bounded_batches(spark)
     with open(vocabulary or vocabulary_path(), "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())  # under 1 MB: it is a vocabulary's file
+        definition = spark.sparkContext.broadcast(f.read())  # a few MB: it is a tokenizer's file
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("deal", pa.int64())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(ranks.value)
+        encoder = load_encoder(definition.value)
         at = TaskContext.get().partitionId() << 40
         for keys, texts in each(batches, key, text):
             rows: list[tuple] = []
             for doc, t in zip(keys.to_pylist(), texts.to_pylist(), strict=True):
-                ids = np.array([*encoder.encode_ordinary(t or ""), end], "<u4")
+                ids = np.array([*encoder.encode(t or "", allowed_special="all"), end], "<u4")
                 rows += [(doc, i, start, n, zlib.crc32(ids[start : start + n].tobytes())) for i, (start, n) in enumerate(cut_points(len(ids), capacity))]
             deal = mix64(np.arange(at, at + len(rows), dtype=np.uint64)) >> np.uint64(1)
             at += len(rows)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from seqlytics.llm import packing
@@ -13,8 +14,11 @@ def test_ids_equal_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
     texts = ["Hello world", "", "  two  blanks \n\n", "été ß 東京 123abc!!", "a" * 5000, "<|endoftext|>", None, "word " * 9000]
+    texts += ["a<|endoftext|>b", "x <|endoftext|> y  <|endoftext|>\n<|endoftext|><|endoftext|>", "<|endoftext", "".join(map(chr, range(1, 0x250))), "\u00a0\u3000\u200b 1²½ \ufffd", "I'LL we'll 'S's"]
+    with open("/root/testdata/sf0.001/documents.parquet", "rb") as f:
+        texts += pq.read_table(f, columns=["text"])["text"].to_pylist()
+    assert 50256 in other.encode(texts[8], add_special_tokens=False).ids
     got = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for i, t in enumerate(texts):
         ids = [*other.encode(t or "", add_special_tokens=False).ids, 0]
@@ -72,6 +76,12 @@ def test_evolution_beats_or_equals_best_fit():
         packing.evolve(np.array([1001]), 1000)
 
 
+def test_ties_in_length(spark):
+    df = spark.createDataFrame([(i, 500, 7) for i in range(1000)], "doc_id long, length long, deal long")
+    got = packing.pack(df, capacity=1000, island=100).collect()
+    assert check(got, 1000) == 500 and sorted(r["doc_id"] for r in got) == list(range(1000))
+
+
 def test_repeats_nulls_and_empty(spark):
     rows = [(1, "same"), (1, "same"), (None, None)]
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, length long")
