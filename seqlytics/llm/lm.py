@@ -32,14 +32,14 @@ HEAD, CLASS = 2048, 64
 HIDDEN = 16
 WINDOW = 32
 #: Lanes that a task begins and ends with; windows until they double; the first rate of learning, and the steps in which its square halves.
-LANES, DOUBLED, RATE, SLOWED = (32, 128), 128, 0.012, 100
+LANES, DOUBLED, RATE, SLOWED = (32, 160), 128, 0.012, 100
 #: Octaves of ranks behind the head, and the classes: the head's, an octave each, the rare one.
 OCTAVES = (KNOWN // HEAD).bit_length() - 1
 CLASSES = HEAD // CLASS + OCTAVES + 1
 #: Distinct tokens that a task counts before it passes them on.
 COUNTED = 1 << 21
 #: Tasks whose weights are averaged together, some 150 KB each, level by level.
-AVERAGED = 64
+AVERAGED = 16
 #: Documents whose states advance together.
 TOGETHER = 4096
 END = np.uint64(0x9E3779B97F4A7C15)
