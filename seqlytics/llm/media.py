@@ -49,6 +49,8 @@ def _fields(data: bytes, count: int, at: int) -> tuple[list[int], int]:
             end += 1
         if end == at:
             raise ValueError("a header field is missing")
+        if end - at > 10:
+            raise ValueError("an impossible header field")
         out.append(int(data[at:end]))
         at = end
     return out, at
@@ -67,7 +69,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     n = width * height * planes
     if plain:
         body = data[at:]
-        values = np.array([c - 48 for c in body if c in b"01"] if bitmap else body.split(), np.int64)[:n]
+        # A sample of more than five digits is beyond any maximum.
+        values = np.array([c - 48 for c in body if c in b"01"] if bitmap else [int(x) if x.isdigit() and len(x.lstrip(b"0")) <= 5 else -1 for x in body.split()], np.int64)[:n]
     elif bitmap:
         packed = np.frombuffer(data, np.uint8, height * -(-width // 8), at + 1)
         values = np.unpackbits(packed.reshape(height, -1), axis=1)[:, :width].ravel()
@@ -75,6 +78,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         values = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at + 1)
     if values.size != n:
         raise ValueError("samples are missing")
+    if values.min() < 0 or (not bitmap and values.max() > top):
+        raise ValueError("a sample is beyond the maximum")
     if bitmap:
         values = (1 - values.astype(np.int64)) * 255
     out = values.astype(np.uint16 if top > 255 else np.uint8)
@@ -86,12 +91,14 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     start, head, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing or bits not in (8, 24, 32) or width <= 0 or not height:
+    if packing or bits not in (8, 24, 32) or width <= 0 or not height or head < 40:
         raise ValueError("an unsupported BMP")
     rows, stride = abs(height), (width * bits // 8 + 3) & ~3
     raw = np.frombuffer(data, np.uint8, rows * stride, start).reshape(rows, stride)[:: -1 if height > 0 else 1, : width * bits // 8]
     if bits == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
+        if used > 256 or int(raw.max()) >= used:
+            raise ValueError("a colour is not in the palette")
         palette = np.frombuffer(data, np.uint8, used * 4, 14 + head).reshape(-1, 4)[:, 2::-1]
         colours = palette[raw]
         return colours[:, :, 0] if (palette == palette[:, :1]).all() else colours
@@ -100,7 +107,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 def decode(data: bytes) -> np.ndarray:
     """The image that ``data`` holds, by its first bytes."""
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except (struct.error, OverflowError, IndexError) as e:  # sizes and offsets that no file has
+        raise ValueError(f"not a readable image: {e}") from e
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -176,7 +186,7 @@ def media_features(media: DataFrame) -> DataFrame:
             for data in stored.to_pylist():
                 try:
                     image = decode(data or b"")
-                except (ValueError, struct.error):
+                except ValueError:
                     image = None
                 samples = None if image is None else image.tobytes()
                 tile = None if image is None else area_resize(image, 8, 9).astype(image.dtype)
