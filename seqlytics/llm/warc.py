@@ -5,7 +5,8 @@ the length of what follows. ``to_warc`` synthesises the WARC/1.0 record with the
 (UUID 5 of url, date, digest and key), ISO timestamp, type, block and payload digests. ``write_archives``
 writes one gzip member for each record into the shared folder, ``read_archives`` parses the files again.
 
-Defined results: a null html is an empty payload; a null url becomes ``urn:row:KEY``; of rows with equal payloads
+Defined results: a null html is an empty payload; a null or empty url becomes ``urn:row:KEY``, and a url may say anything,
+``filedesc:`` too; of rows with equal payloads
 of at least ``revisit_bytes`` bytes those with the largest key are responses, all others revisits (a null key
 counts as smaller than any other; if all are null, all are responses); repeated rows give repeated records;
 an empty table gives no records. Other columns of the input are ignored.
@@ -25,7 +26,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batch, bounded_batches, each, scratch_path, written
@@ -38,7 +39,9 @@ ARC_FIELDS = {
 HTTP_HEAD = b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-RECORDS = pa.schema([("key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("block_ok", pa.bool_())])
+#: Digests, keys and urls of repeated payloads that may be broadcast, some 150 bytes each.
+BROADCAST_GROUPS = 200_000
+RECORDS = pa.schema([("key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("block_ok", pa.bool_())])
 
 
 class ArcError(ValueError):
@@ -54,8 +57,13 @@ def arc_head(version: int, name: str, date: str) -> bytes:
     return " ".join(line).encode() + b"\n" + body + b"\n"
 
 
+def quoted(url: str) -> str:
+    """A url as it stands in a header line."""
+    return quote(url, safe="%/:=&?~#+!$,;'@()*[]-._")
+
+
 def arc_record(version: int, url: str, ip: str, date: str, kind: str, block: bytes, name: str = "-") -> bytes:
-    values = {"URL": quote(url, safe="%/:=&?~#+!$,;'@()*[]-._"), "IP-address": ip, "Archive-date": date, "Content-type": kind, "Result-code": "200", "Checksum": "-", "Location": "-", "Offset": "0", "Filename": name, "Archive-length": str(len(block))}
+    values = {"URL": quoted(url), "IP-address": ip, "Archive-date": date, "Content-type": kind, "Result-code": "200", "Checksum": "-", "Location": "-", "Offset": "0", "Filename": name, "Archive-length": str(len(block))}
     return " ".join(values[f] for f in ARC_FIELDS[version]).encode() + b"\n" + block + b"\n"
 
 
@@ -109,13 +117,21 @@ def payload_of(block: bytes, kind: str) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if kind == "response" else block
 
 
-def to_warc(fields: dict[str, str], content: bytes, key: Any = None, revisit_of: Any = None) -> bytes:
-    """The WARC record that stands for one ARC record; as a revisit if ``revisit_of`` names the key it repeats."""
+def kind_of(fields: dict[str, str], content: bytes, first: bool) -> str:
+    """The type of an ARC record: its version block is the first of a file, whatever urls say."""
+    return "warcinfo" if first else "response" if content[:5] == b"HTTP/" else "resource"
+
+
+def response_id(url: str, date: str, payload_digest: str, key: Any) -> str:
+    return record_id(url, date, payload_digest, key)
+
+
+def to_warc(fields: dict[str, str], content: bytes, key: Any = None, kind: str = "response", revisit_of: Any = None, original_url: str = "") -> bytes:
+    """The WARC record of a ``kind`` that stands for one ARC record; as a revisit if ``revisit_of`` names the key, and ``original_url`` the url, of the record it repeats."""
     url, date = fields["URL"], warc_date(fields["Archive-date"])
-    kind = "warcinfo" if url.startswith("filedesc:") else "response" if content[:5] == b"HTTP/" else "resource"
     payload = payload_of(content, kind)
     digest = sha1_base32(payload)
-    head = {"WARC-Type": kind, "WARC-Record-ID": record_id(url, date, digest, key), "WARC-Date": date}
+    head = {"WARC-Type": kind, "WARC-Record-ID": response_id(url, date, digest, key), "WARC-Date": date}
     block = content
     if kind == "warcinfo":
         head |= {"WARC-Filename": url.removeprefix("filedesc://"), "Content-Type": "application/warc-fields"}
@@ -125,6 +141,7 @@ def to_warc(fields: dict[str, str], content: bytes, key: Any = None, revisit_of:
     if revisit_of is not None:
         block = content[: len(content) - len(payload)]
         head |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "WARC-Truncated": "length", "X-Payload-Length": len(payload), "X-Refers-To-Key": revisit_of}
+        head |= {"WARC-Refers-To": response_id(original_url, date, digest, revisit_of), "WARC-Refers-To-Target-URI": original_url, "WARC-Refers-To-Date": date}
     if key is not None:
         head["X-Key"] = key
     head |= {"WARC-Block-Digest": sha1_base32(block), "Content-Length": len(block)}
@@ -152,18 +169,27 @@ def read_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, rest[: int(fields["Content-Length"])]
 
 
+def arc_url(key: Column, url: Column) -> Column:
+    return F.coalesce(F.nullif(url, F.lit("")), F.concat(F.lit("urn:row:"), F.coalesce(key.cast("string"), F.lit("None"))))
+
+
 def with_types(df: DataFrame, key: str, url: str, html: str, revisit_bytes: int) -> DataFrame:
-    """(key, url, html, keeper): keeper is the largest key of the equal payloads where a row repeats one, else null."""
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    groups = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("digest").agg(F.max("key").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1 AND keeper IS NOT NULL").select("digest", "keeper")
-    joined = rows.join(groups, "digest", "left")
-    return joined.select("key", "url", "html", F.when(~F.col("key").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("keeper"))
+    """(key, url, html, keeper, keeper_url): of the rows that repeat a payload, the largest key with it and that row's url; else null.
+
+    Only digests of payloads that occur more than once are joined to the rows, and only if they are few enough, counted, they are broadcast; html is not shuffled then.
+    """
+    k, u = F.col(f"`{key}`").cast("long"), F.col(f"`{url}`")
+    rows = df.select(k.alias("key"), arc_url(k, u).alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= revisit_bytes, F.unhex(F.sha1(F.col("html").cast("binary")))))
+    groups = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.max(F.struct("key", "url")).alias("last"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.where("n > 1 AND last.key IS NOT NULL").select("digest", F.col("last.key").alias("keeper"), F.col("last.url").alias("keeper_url")), "warc-repeated")
+    joined = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "digest", "left")
+    repeats = ~F.col("key").eqNullSafe(F.col("keeper"))
+    return joined.select("key", "url", "html", F.when(repeats, F.col("keeper")).alias("keeper"), F.when(repeats, F.col("keeper_url")).alias("keeper_url"))
 
 
 def write_archives(rows: DataFrame, date: str = "19990101000000", level: int = 3) -> DataFrame:
-    """Writes (key, url, html, keeper) as WARC files, by way of ARC, and returns a written table of their (path, records).
+    """Writes (key, url, html, keeper, keeper_url) as WARC files, by way of ARC, and returns a written table of their (path, records).
 
     Each task writes one file under a name of its own attempt and then renames it to that of its partition,
     so a repeated task replaces what a lost one left.
@@ -180,17 +206,18 @@ def write_archives(rows: DataFrame, date: str = "19990101000000", level: int = 3
         name = f"part-{task.partitionId():06d}.warc.gz"
         own = f"{at}/.{name}.{task.taskAttemptId()}"
         n, out = 0, None
-        for keys, urls, htmls, keepers in each(batches, "key", "url", "html", "keeper"):
+        for keys, urls, htmls, keepers, originals in each(batches, "key", "url", "html", "keeper", "keeper_url"):
             if out is None:
                 fs.create_dir(at, recursive=True)
                 out = fs.open_output_stream(own, compression=None)
             ids, version = keys.to_pylist(), 1 + task.partitionId() % 2
-            for key, url, html, keeper in zip(ids, urls.to_pylist(), as_bytes(htmls), keepers.to_pylist(), strict=True):
-                arc = arc_head(version, name, date) + arc_record(version, url if url else f"urn:row:{key}", "0.0.0.0", date, "text/html", HTTP_HEAD + html)
-                records = list(read_arc(io.BytesIO(arc)))
-                for fields, content in records[n > 0 :]:  # one warcinfo for a file
-                    own_key = None if fields["URL"].startswith("filedesc:") else "-" if key is None else key
-                    out.write(gzip.compress(to_warc(fields, content, own_key, keeper if own_key is not None else None), level, mtime=0))
+            for key, url, html, keeper, original in zip(ids, urls.to_pylist(), as_bytes(htmls), keepers.to_pylist(), originals.to_pylist(), strict=True):
+                arc = arc_head(version, name, date) + arc_record(version, url, "0.0.0.0", date, "text/html", HTTP_HEAD + html)
+                about, (fields, content) = read_arc(io.BytesIO(arc))
+                if n == 0:  # one warcinfo for a file
+                    out.write(gzip.compress(to_warc(*about, kind="warcinfo"), level, mtime=0))
+                told = {} if keeper is None else {"revisit_of": keeper, "original_url": quoted(original)}
+                out.write(gzip.compress(to_warc(fields, content, "-" if key is None else key, kind_of(fields, content, first=False), **told), level, mtime=0))
                 n += 1
         if out is not None:
             out.close()
@@ -220,7 +247,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         key, refers = head["X-Key"], head.get("X-Refers-To-Key")
                         rows.append({
                             "key": None if key == "-" else int(key), "payload_bytes": int(head["X-Payload-Length"]) if payload is None else len(payload), "payload_digest": digest, "record_type": head["WARC-Type"],
-                            "refers_to": None if refers is None else int(refers), "record_id": head["WARC-Record-ID"], "target_uri": head["WARC-Target-URI"], "warc_date": head["WARC-Date"],
+                            "refers_to": None if refers is None else int(refers), "record_id": head["WARC-Record-ID"], "refers_to_id": head.get("WARC-Refers-To"), "target_uri": head["WARC-Target-URI"], "warc_date": head["WARC-Date"],
                             "block_ok": digest == told and sha1_base32(block) == head["WARC-Block-Digest"],
                         })
                         if len(rows) == 4096:
@@ -230,7 +257,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, RECORDS)
 
     files = archives.select("path").repartition(archives.sparkSession.sparkContext.defaultParallelism * 4)
-    return files.mapInArrow(read, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string, block_ok boolean")
+    return files.mapInArrow(read, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, target_uri string, warc_date string, block_ok boolean")
 
 
 def archive_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 1000) -> DataFrame:

@@ -37,23 +37,34 @@ def test_synthesised_record():
     ((head, block),) = warc.read_warc(io.BytesIO(gzip.compress(record)))
     assert (head["WARC-Type"], head["WARC-Date"]) == ("response", "1999-01-01T00:00:00Z")
     assert head["WARC-Payload-Digest"] == warc.sha1_base32(b"body") and block.endswith(b"body")
-    assert b"WARC-Type: resource" in warc.to_warc(fields | {"URL": "dns:a.org"}, b"a.org 1.2.3.4")
+    assert warc.kind_of(fields, b"a.org 1.2.3.4", False) == "resource" and warc.kind_of(fields, b"1 0 x", True) == "warcinfo"
+    assert b"WARC-Type: resource" in warc.to_warc(fields | {"URL": "dns:a.org"}, b"a.org 1.2.3.4", kind="resource")
     with pytest.raises(ValueError):
         list(warc.read_warc(io.BytesIO(gzip.compress(record)[:-9])))
 
 
 def test_pages_there_and_back(spark):
     big, other = "é" * 500, "b" * 999
-    rows = [(1, "http://a", big), (2, "http://b", big), (2, "http://b", big), (3, None, None), (4, "http://c", other), (5, "http://d", other), (6, "a b\n", "<p>"), (None, "http://n", big), (7, "http://l", "z" * 300_000)]
+    rows = [(1, "http://a", big), (2, "http://b", big), (2, "http://b", big), (3, None, None), (4, "http://c", other), (5, "http://d", other), (6, "a b\n", "<p>"), (None, "http://n", big), (7, "http://l", "z" * 300_000), (8, "filedesc://x", "<p>8"), (9, "", "filedesc"), (10, "filedesc:y z", big)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     got = sorted(((r["key"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["block_ok"]) for r in warc.archive_pages(df).collect()), key=str)
     want = []
     for key, _, html in rows:
         data = (html or "").encode()
-        revisit = html == big and key != 2
-        want.append((key, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None, True))
+        revisit = html == big and key != 10
+        want.append((key, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 10 if revisit else None, True))
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_revisits_name_their_response(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", broadcast)
+    rows = [(i, f"filedesc:{i} ü", "same" * 400) for i in range(30)] + [(100 + i, None, f"{i}" * 2000) for i in range(5)]
+    got = {r["key"]: r for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 35 and got[29]["record_type"] == "response" and got[29]["refers_to_id"] is None
+    assert {r["refers_to_id"] for k, r in got.items() if k < 29} == {got[29]["record_id"]}
+    assert {r["refers_to"] for k, r in got.items() if k < 29} == {29}
+
+
 def test_empty_table(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
