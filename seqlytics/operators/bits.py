@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlytics import guards
@@ -16,9 +16,9 @@ from seqlytics.functions.words import mask_for_width
 from seqlytics.operators import runs
 from seqlytics.operators.positions import block_of, kth_position, ordinals, running_before
 from seqlytics.operators.sequence import QuadIndex
+from seqlytics.operators.storage import LEVEL_BITS
 
-#: Bits in a block of each directory level.
-LEVEL_BITS = (512, 8192, 65536, 524288, 4194304, 33554432, 268435456, 2147483648)
+#: Fixed value.
 MOST_SYMBOLS = (1 << 43) - 1
 
 
@@ -35,6 +35,12 @@ def bit_ranks(rows: DataFrame) -> DataFrame:
     return out.select("pos", "bit", "rank1", (F.col("pos") - F.col("rank1")).alias("rank0"), (F.col("rank1") + one).alias("rank1_incl"), (F.col("pos") + 1 - F.col("rank1") - one).alias("rank0_incl"))
 
 
+def ranks_in_block(rows: DataFrame, level: int = 1) -> DataFrame:
+    """(pos, bit, rank): ones before each position inside its block of a level."""
+    w = Window.partitionBy(block_of("pos", LEVEL_BITS[level - 1])).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("pos", "bit", F.coalesce(F.sum(F.col("bit").cast("long")).over(w), F.lit(0)).alias("rank"))
+
+
 def bit_selects(rows: DataFrame) -> DataFrame:
     """(bit, k, pos): the position of the k-th (0-based) one and zero."""
     return ordinals(rows, "pos", ("bit",), "k").select("bit", "k", "pos")
@@ -84,9 +90,21 @@ class BitColumn:
     def rank0(self, p: int) -> int:
         return p - self.rank1(p)
 
+    def rank1_pair(self, left: int, right: int) -> tuple[int, int]:
+        """Ones before both positions, in one pass."""
+        guards.check_range(left, right, self.capacity)
+        return tuple(self.rows.agg(*[F.count_if(F.col("bit") & (F.col("pos") < p)) for p in (left, right)]).first())
+
     def select(self, bit: bool, k: int) -> int:
         return kth_position(self.rows.where(F.col("bit") == bit), k)
 
+    def select1_nth(self, nth: int) -> int:
+        """The position of the nth (1-based) one, or -1."""
+        return self.select(True, nth - 1)
+
+    def select0_nth(self, nth: int) -> int:
+        return self.select(False, nth - 1)
+
     def cursor(self, bit: bool) -> Iterator[int]:
         """Positions of ones or zeros, ascending, fetched as they are asked for."""
         return (r["pos"] for r in self.rows.where(F.col("bit") == bit).orderBy("pos").toLocalIterator())
@@ -108,6 +126,17 @@ class PackedColumn:
     n: int
     width: int
 
+    @staticmethod
+    def of(rows: DataFrame, width: int) -> PackedColumn:
+        """ValueError if positions are not dense or a value does not fit."""
+        top = mask_for_width(width)
+        n, low, high, least, most = rows.agg(F.count(F.lit(1)), F.min("pos"), F.max("pos"), F.min("value"), F.max("value")).first()
+        if n and (low != 0 or high != n - 1):
+            raise ValueError("positions must be dense and start at 0")
+        if n and (least < 0 or most > top):
+            raise ValueError(f"a value does not fit {width} bits")
+        return PackedColumn(rows.select("pos", "value"), n, width)
+
     @property
     def max_value(self) -> int:
         return mask_for_width(self.width)
@@ -126,8 +155,15 @@ class PackedColumn:
         guards.check_width(value, self.width)
         return replace(self, rows=self.rows.select("pos", F.lit(value).cast("long").alias("value")))
 
+    def items(self) -> Iterator[int]:
+        """All values in order, fetched as they are asked for."""
+        return (int(r["value"]) for r in self.rows.orderBy("pos").toLocalIterator())
+
+    def to_list(self) -> list[int]:
+        return list(self.items())
+
     def __str__(self) -> str:
-        return "@[" + ", ".join(str(r["value"]) for r in self.rows.orderBy("pos").collect()) + "]"
+        return "@[" + ", ".join(map(str, self.to_list())) + "]"
 
 
 def symbol_ranks(rows: DataFrame) -> DataFrame:
@@ -146,3 +182,24 @@ class SymbolColumn(QuadIndex):
     def rank_all(self, p: int) -> list[int]:
         guards.check_position(p, self.n)
         return list(self.rows.where(F.col("pos") < p).agg(*[F.count_if(F.col("value") == s) for s in range(4)]).first())
+
+    def rank_all_pair(self, left: int, right: int) -> tuple[list[int], list[int]]:
+        """``rank_all`` of both positions, in one pass."""
+        guards.check_range(left, right, self.n)
+        found = self.rows.agg(*[F.count_if((F.col("value") == s) & (F.col("pos") < p)) for p in (left, right) for s in range(4)]).first()
+        return list(found[:4]), list(found[4:])
+
+    def set_symbols(self, symbols: dict[int, int]) -> SymbolColumn:
+        """A column with other symbols at some positions."""
+        for p, s in symbols.items():
+            guards.check_index(p, self.n)
+            if not 0 <= s <= 3:
+                raise ValueError("a symbol is 0 to 3")
+        new = self.rows.sparkSession.createDataFrame(list(symbols.items()), "pos long, value long")
+        return SymbolColumn(updated(self.rows, new, "value"))
+
+    def clear_symbol(self, p: int) -> SymbolColumn:
+        return self.set_symbols({p: 0})
+
+    def __str__(self) -> str:
+        return "".join(map(str, self.to_list()))

@@ -8,17 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlytics import guards
-from seqlytics.operators.positions import count_before, sums_in_order
+from seqlytics.operators.positions import bounds, sums_in_order
 from seqlytics.sources.scratch import written
 
 
 def bounds_batch(rows: DataFrame, queries: DataFrame, at: str = "v") -> DataFrame:
-    """``queries`` with lower_bound and upper_bound, the first indexes with x >= v and x > v, and predecessor, the largest x <= v, or null."""
-    keyed = rows.select("x")
-    low = count_before(keyed, queries, (), "x", at, False, "lower_bound")
-    both = count_before(keyed, low, (), "x", at, True, "upper_bound")
+    """``queries`` with lower_bound and upper_bound, the first indexes with x >= v and x > v, and predecessor, the largest x <= v, or null. One order serves both bounds."""
+    found = bounds(rows, "x", queries, at).select(at, F.col("below").alias("lower_bound"), (F.col("below") + F.col("equal")).alias("upper_bound"))
     before = rows.select((F.col("i") + 1).alias("upper_bound"), F.col("x").alias("predecessor"))
-    return both.join(before, "upper_bound", "left")
+    return queries.join(found.join(before, "upper_bound", "left").select(at, "lower_bound", "upper_bound", "predecessor"), at)
 
 
 class SortedColumn:

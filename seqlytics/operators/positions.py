@@ -1,7 +1,7 @@
 """Prefix sums, ordinals and ranges over dense positions, without a task that holds a whole column.
 
-A window without partitions, or with one hot partition, moves all its rows to one task. All of these go in two phases instead: sums by block,
-a running sum over the few blocks, and windows within blocks.
+A window without partitions, or with one hot partition, moves all its rows to one task. All of these go in phases instead: sums by block of BLOCK
+positions, running sums over a group of blocks and over the groups, and windows within blocks. Keys that are not dense are numbered by range partitions first.
 """
 
 from __future__ import annotations
@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from seqlytics.sources.scratch import written
 
 BLOCK = 1 << 16
-#: Queries up to this many are broadcast, and each row is held against all of them; more are decomposed into blocks and joined by block.
+#: Blocks that are summed as a group before groups are: one task then orders a row for each 2**26 positions.
+GROUP = 1 << 10
+#: Ranges up to this many are broadcast, and each row is held against all of them.
 BROADCAST_QUERIES = 64
-FAN = 64
+#: Questions whose keys may be broadcast to leave out rows that nobody asks for.
+ASKED = 1 << 14
 #: Rows of a summary (values, blocks, strings) that one task may order.
 ONE_TASK = 1 << 20
+#: Bits of a value that one level of a count, and one round of a k-th smallest, looks at.
+LEVEL, ROUND = 2, 3
 
 
 def block_of(pos: Column | str, size: int = BLOCK) -> Column:
@@ -24,15 +29,25 @@ def block_of(pos: Column | str, size: int = BLOCK) -> Column:
     return ((p - F.pmod(p, F.lit(size))) / size).cast("long")
 
 
+def block_starts(blocked: DataFrame, sums: list[str], by: tuple[str, ...]) -> DataFrame:
+    """(by, _b, _s_NAME): the sums of _v_NAME over all blocks before _b (within ``by``), from rows or partial sums of (by, _b, _v_NAME)."""
+    totals = blocked.groupBy(*by, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]).withColumn("_g", block_of("_b", GROUP))
+    groups = totals.groupBy(*by, "_g").agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in sums])
+
+    def before(df: DataFrame, over: tuple[str, ...], order: str, prefix: str) -> DataFrame:
+        w = Window.partitionBy(*over).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*by, order, *([] if order == "_g" else ["_g"]), *[F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(f"{prefix}_{n}") for n in sums])
+
+    inner, outer = before(totals, (*by, "_g"), "_b", "_i"), before(groups, by, "_g", "_o")
+    return inner.join(outer, [*by, "_g"]).select(*by, "_b", *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(f"_s_{n}") for n in sums])
+
+
 def running_before(df: DataFrame, pos: str, sums: dict[str, Column], by: tuple[str, ...] = (), size: int = BLOCK) -> DataFrame:
-    """Adds for each name the sum of its column over the rows of smaller ``pos`` (within ``by``)."""
+    """Adds for each name the sum of its column over the rows of smaller ``pos`` (within ``by``). Positions are dense, or nearly so."""
     blocked = df.withColumn("_b", block_of(pos, size)).withColumns({f"_v_{n}": c for n, c in sums.items()})
-    totals = blocked.groupBy(*by, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_s_{n}") for n in sums])
     within = Window.partitionBy(*by, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     out = blocked.withColumns({f"_w_{n}": F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) for n in sums})
-    out = out.join(starts, [*by, "_b"])
+    out = out.join(block_starts(blocked, list(sums), by), [*by, "_b"])
     return out.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_w_{n}")).cast("long").alias(n) for n in sums])
 
 
@@ -41,22 +56,35 @@ def ordinals(df: DataFrame, pos: str, by: tuple[str, ...], name: str = "ordinal"
     return running_before(df, pos, {name: F.lit(1).cast("long")}, by, size)
 
 
-def count_before(rows: DataFrame, queries: DataFrame, by: tuple[str, ...], key: str, at: str, inclusive: bool = False, name: str = "n_before", size: int = BLOCK) -> DataFrame:
-    """``queries`` with the number of ``rows`` (equal in ``by``) whose ``key`` is below ``at``, or at it if ``inclusive``.
+def counts_at(rows: DataFrame, marks: DataFrame, by: tuple[str, ...], key: str, size: int = BLOCK) -> DataFrame:
+    """The columns of ``marks`` (by, _k, _tag, ...) with _n, the number of ``rows`` (equal in ``by``) whose dense ``key`` is below _k, or at it if _tag is 1.
 
-    Rows are counted by key first, then rows and queries are put in one order, a query before or behind the equal keys.
+    Rows and marks are put in one order, a mark before or behind the row of its key.
     """
-    first = F.lit(1 if inclusive else 0)
-    counted = rows.groupBy(*by, F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    marked = counted.select(*by, "_k", F.lit(1 - (1 if inclusive else 0)).alias("_tag"), "_n", F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"))
-    asked = queries.select(*by, F.col(at).cast(rows.schema[key].dataType).alias("_k"), first.alias("_tag"), F.lit(0).cast("long").alias("_n"), "qid")
-    both = marked.unionByName(asked).withColumn("_b", block_of("_k", size))
-    totals = both.groupBy(*by, "_b").agg(F.sum("_n").alias("_t"))
-    over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_s"))
-    within = Window.partitionBy(*by, "_b").orderBy("_k", "_tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = both.withColumn("_w", F.sum("_n").over(within)).where("qid IS NOT NULL").join(starts, [*by, "_b"])
-    return queries.join(inside.select("qid", (F.col("_s") + F.col("_w")).cast("long").alias(name)), "qid")
+    payload = [c for c in marks.columns if c not in by]
+    kind = F.struct(*[F.col(f"`{c}`") for c in payload])
+    entries = rows.select(*by, F.col(key).cast("long").alias("_k"), F.lit(1).alias("_row"), F.lit(None).cast(marks.select(kind.alias("p")).schema["p"].dataType).alias("_p"))
+    asked = marks.select(*by, F.col("_k"), F.when(F.col("_tag") == 1, 2).otherwise(0).alias("_row"), kind.alias("_p"))
+    both = entries.unionByName(asked).withColumn("_b", block_of("_k", size)).withColumn("_v_n", F.when(F.col("_row") == 1, 1).otherwise(0).cast("long"))
+    within = Window.partitionBy(*by, "_b").orderBy("_k", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_w", F.sum("_v_n").over(within)).where("_row <> 1").select(*by, "_b", "_p", "_w")
+    return inside.join(block_starts(both, ["n"], by), [*by, "_b"]).select(*by, "_p.*", (F.col("_s_n") + F.col("_w")).cast("long").alias("_n"))
+
+
+def asked_for(rows: DataFrame, queries: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``rows`` without those whose ``by`` no query has, where the queries are few (their number is checked)."""
+    if by and few(queries, ASKED):
+        return rows.join(F.broadcast(queries.select(*by).distinct()), list(by), "left_semi")
+    return rows
+
+
+def count_before(rows: DataFrame, queries: DataFrame, by: tuple[str, ...], key: str, size: int = BLOCK, **at: tuple[str, bool]) -> DataFrame:
+    """``queries`` (with distinct qid) with a count for each name of ``at``: the ``rows`` equal in ``by`` whose dense ``key`` is below that column, or up to it if its flag is set."""
+    each = F.array(*[F.struct(F.lit(n).alias("_name"), F.col(c).cast("long").alias("_k"), F.lit(int(upto)).alias("_tag")) for n, (c, upto) in at.items()])
+    marks = queries.select(*by, "qid", F.explode(each).alias("_m")).select(*by, "qid", "_m._name", "_m._k", "_m._tag")
+    found = counts_at(asked_for(rows, queries, by), marks, by, key, size)
+    counts = found.groupBy("qid").agg(*[F.max(F.when(F.col("_name") == n, F.col("_n"))).alias(n) for n in at])
+    return queries.join(counts, "qid")
 
 
 def dense_positions(df: DataFrame, order: tuple[str, ...], name: str = "pos") -> DataFrame:
@@ -77,7 +105,7 @@ def few(df: DataFrame, most: int = ONE_TASK) -> bool:
 def sums_in_order(df: DataFrame, order: tuple[str, ...], sums: dict[str, str]) -> DataFrame:
     """Adds for each name the sum of its column over the rows before, in an order that tells all rows apart.
 
-    Up to ONE_TASK rows, counted first, are ordered in one task; more are numbered by range partitions and summed in two phases.
+    Up to ONE_TASK rows, counted first, are ordered in one task; more are numbered by range partitions and summed in phases.
     """
     df = written(df, "ordered")
     if few(df):
@@ -86,6 +114,17 @@ def sums_in_order(df: DataFrame, order: tuple[str, ...], sums: dict[str, str]) -
     return running_before(dense_positions(df, order, "_pos"), "_pos", {n: F.col(c) for n, c in sums.items()}).drop("_pos")
 
 
+def bounds(keys: DataFrame, key: str, asked: DataFrame, at: str) -> DataFrame:
+    """(at, below, equal) for each distinct ``at`` of ``asked``: how many ``keys`` are smaller, and how many equal. Keys are counted by value, then put in one order with what is asked."""
+    kind = keys.schema[key].dataType
+    counted = keys.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_tag", F.lit(1))
+    marks = asked.select(F.col(at).cast(kind).alias("_k")).where("_k IS NOT NULL").distinct().select("_k", F.lit(0).cast("long").alias("_n"), F.lit(0).alias("_tag"))
+    placed = sums_in_order(counted.unionByName(marks), ("_k", "_tag"), {"_before": "_n"})
+    # A mark is right before the row of its key, which so has the same sum.
+    found = placed.groupBy("_k").agg(F.min("_before").alias("below"), F.sum("_n").alias("equal"), F.min("_tag").alias("_tag")).where("_tag = 0")
+    return found.select(F.col("_k").alias(at), "below", "equal")
+
+
 def kth_position(rows: DataFrame, k: int, pos: str = "pos", size: int = BLOCK) -> int:
     """The k-th smallest position (0-based), or -1: the block that holds it is found by counts, then that block alone is ordered."""
     if k < 0:
@@ -98,36 +137,64 @@ def kth_position(rows: DataFrame, k: int, pos: str = "pos", size: int = BLOCK) -
     return rows.where(block_of(pos, size) == hit["_b"]).orderBy(pos).offset(k - hit["_before"]).limit(1).first()[pos]
 
 
-def range_values(rows: DataFrame, queries: DataFrame, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
-    """(qid, value, n): how often each value of (pos, value) occurs in each query's range ``[l, r)`` of positions."""
-    return range_entries(rows, queries, broadcast_queries).groupBy("qid", "value").agg(F.sum("n").alias("n"))
+def range_rows(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows of (pos, value) in each query's ``[l, r)``, with the query's columns. For few queries: they are broadcast, and nothing is shuffled."""
+    return rows.join(F.broadcast(queries), (F.col("pos") >= F.col("l")) & (F.col("pos") < F.col("r")))
+
+
+def _bits(rows: DataFrame) -> int:
+    top = rows.agg(F.max("value")).first()[0]
+    return (int(top) + 1).bit_length() if top is not None else 0
+
+
+def _shifted(c: Column, bits: Column | int) -> Column:
+    return F.call_function("shiftright", c, F.lit(bits) if isinstance(bits, int) else bits)
+
+
+def smaller_before(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, n): the sum, over the rows (qid, v, p, sign) of ``asked``, of sign times the number of positions below p with a value below v.
+
+    The values below v are the union of a few aligned blocks of values: for each level of LEVEL bits the block of the digits above, with a smaller digit there.
+    So every row counts once in each level, for the block it is in, and each question is some rank questions. Values are BIGINT; nothing grows with a range's length.
+    """
+    levels = -(-_bits(rows) // LEVEL)
+    if not levels:
+        return asked.groupBy("qid").agg(F.lit(0).cast("long").alias("n"))
+    fan = (1 << LEVEL) - 1
+    entries = rows.select("pos", "value", F.explode(F.array(*[F.lit(t) for t in range(levels)])).alias("_l")).select("pos", "_l", _shifted(F.col("value"), F.col("_l") * LEVEL).alias("_q"))
+    v = F.least(F.greatest(F.col("v"), F.lit(0)), F.lit((1 << LEVEL * levels) - 1)).cast("long")
+
+    def pieces(t: int) -> list[Column]:
+        top = _shifted(F.col("_v"), t * LEVEL)
+        digit = top.bitwiseAND(F.lit(fan))
+        return [F.when(digit >= j, F.struct(F.lit(t).alias("_l"), (top - j).alias("_q"))) for j in range(1, fan + 1)]
+
+    found = asked.withColumn("_v", v).select("qid", "sign", F.col("p").cast("long").alias("_k"), F.explode(F.array_compact(F.array(*[x for t in range(levels) for x in pieces(t)]))).alias("_m"))
+    marks = found.select(F.col("_m._l").alias("_l"), F.col("_m._q").alias("_q"), "qid", "sign", "_k", F.lit(0).alias("_tag"))
+    counted = counts_at(entries, marks, ("_l", "_q"), "pos").groupBy("qid").agg(F.sum(F.col("sign") * F.col("_n")).alias("n"))
+    return asked.select("qid").distinct().join(counted, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def range_entries(rows: DataFrame, queries: DataFrame, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
-    """(qid, value, n) that add up to the counts of ``range_values``; sums over them need no grouping by value.
+def kth_smallest(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, kth): the k-th smallest (0-based) value of ``[l, r)`` for each row (qid, l, r, k); no row where there is none.
 
-    Few queries (their number is checked) are broadcast to the rows. Otherwise each range is cut into aligned blocks of 1, FAN, FAN**2, ... positions
-    and joined by block with the rows' counts at that level.
+    Digits of ROUND bits are settled from the highest down: the rows of each digit in the range are counted by rank questions. As many rounds as a value has digits.
     """
-    asked = queries.select("qid", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))
-    if few(asked, broadcast_queries):
-        near = rows.join(F.broadcast(asked), (F.col("pos") >= F.col("l")) & (F.col("pos") < F.col("r")))
-        return near.select("qid", "value", F.lit(1).cast("long").alias("n"))
-    top = rows.agg(F.max("pos")).first()[0] or 0
-    levels = 1
-    while FAN**levels <= top:
-        levels += 1
-    pieces, counts = None, None
-    left, right = F.col("l"), F.col("r")
-    for k in range(levels):
-        width = FAN**k
-        last = k == levels - 1
-        up = F.least(right, left + F.pmod(-left, F.lit(width * FAN))) if not last else right
-        down = F.greatest(up, right - F.pmod(right, F.lit(width * FAN))) if not last else right
-        for a, b in ((left, up), (down, right)) if not last else ((left, right),):
-            some = asked.where(a < b).select("qid", F.lit(k).alias("level"), F.explode(F.sequence((a / width).cast("long"), ((b / width).cast("long") - 1))).alias("node"))
-            pieces = some if pieces is None else pieces.unionByName(some)
-        own = rows.groupBy(F.lit(k).alias("level"), block_of("pos", width).alias("node"), "value").agg(F.count(F.lit(1)).alias("n"))
-        counts = own if counts is None else counts.unionByName(own)
-        left, right = up, down
-    return pieces.join(counts, ["level", "node"]).select("qid", "value", "n")
+    rounds = -(-_bits(rows) // ROUND)
+    state = asked.select("qid", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), F.col("k").cast("long").alias("k"), F.lit(0).cast("long").alias("top")).where("k >= 0 AND l < r")
+    if not rounds:
+        return state.where("false").select("qid", F.col("top").alias("kth"))
+    fan = 1 << ROUND
+    for t in range(rounds - 1, -1, -1):
+        entries = rows.select("pos", _shifted(F.col("value"), t * ROUND).alias("_q"))
+        ends = F.array(*[F.struct(F.lit(j).alias("_j"), F.col(c).alias("_k"), F.lit(s).alias("_s")) for j in range(fan) for c, s in (("l", -1), ("r", 1))])
+        marks = state.select("*", F.explode(ends).alias("_m")).select("qid", "l", "r", "k", "top", "_m._j", "_m._k", "_m._s", F.lit(0).alias("_tag"), (F.col("top") * fan + F.col("_m._j")).alias("_q"))
+        inside = [F.sum(F.when(F.col("_j") == j, F.col("_s") * F.col("_n"))).alias(f"_n{j}") for j in range(fan)]
+        digits = counts_at(entries, marks, ("_q",), "pos").groupBy("qid", "l", "r", "k", "top").agg(*inside)
+        upto = [sum((F.col(f"_n{i}") for i in range(j + 1)), F.lit(0)) for j in range(fan)]
+        digit, before = F.lit(None).cast("int"), F.lit(0).cast("long")
+        for j in range(fan - 1, -1, -1):
+            digit = F.when(F.col("k") < upto[j], F.lit(j)).otherwise(digit)
+            before = F.when(F.col("k") < upto[j], (upto[j - 1] if j else F.lit(0)).cast("long")).otherwise(before)
+        state = digits.withColumn("_d", digit).where("_d IS NOT NULL").select("qid", "l", "r", (F.col("k") - before).alias("k"), (F.col("top") * fan + F.col("_d")).alias("top"))
+    return state.select("qid", F.col("top").alias("kth"))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from seqlytics import guards
 from seqlytics.functions.words import bit_width, reversed_bits, reversed_digits
-from seqlytics.operators import runs
-from seqlytics.operators.positions import count_before, kth_position, ordinals, range_entries, range_values, running_before, sums_in_order
+from seqlytics.operators import runs, storage, usage
+from seqlytics.operators.positions import BROADCAST_QUERIES, asked_for, bounds, count_before, few, kth_position, kth_smallest, ordinals, range_rows, smaller_before, sums_in_order
 
 
 def number(v: int) -> Column:
@@ -31,44 +31,95 @@ def access_rank(rows: DataFrame) -> DataFrame:
 
 def select_batch(rows: DataFrame, queries: DataFrame, value: str = "v", k: str = "k") -> DataFrame:
     """``queries`` with ``selected``, the position of the k-th (0-based) occurrence of the value, or -1."""
-    ranked = access_rank(rows).select(F.col("value").alias(value), F.col("rank_before").alias(k), F.col("pos").alias("selected"))
+    some = asked_for(rows.select(F.col("value").alias(value), "pos"), queries, (value,))
+    ranked = ordinals(some, "pos", (value,), k).withColumnRenamed("pos", "selected")
     return queries.join(ranked, [value, k], "left").withColumn("selected", F.coalesce("selected", F.lit(-1)).cast("long"))
 
 
 def rank_batch(rows: DataFrame, queries: DataFrame, value: str = "v", at: str = "p", inclusive: bool = False, name: str = "rank") -> DataFrame:
     """``queries`` with the number of positions below ``at`` (up to it, if ``inclusive``) that hold the value."""
-    keyed = rows.select(F.col("value").alias(value), "pos")
-    return count_before(keyed, queries, (value,), "pos", at, inclusive, name)
+    return count_before(rows.select(F.col("value").alias(value), "pos"), queries, (value,), "pos", **{name: (at, inclusive)})
 
 
-def range_batch(rows: DataFrame, queries: DataFrame, **sums: Column) -> DataFrame:
-    """``queries`` with aggregates over (value, n) of each range ``[l, r)``; the queries' own columns may be used in them."""
-    found = range_entries(rows, queries).join(queries, "qid").groupBy("qid").agg(*[c.alias(n) for n, c in sums.items()])
+def rank_pair_batch(rows: DataFrame, queries: DataFrame, value: str = "v", left: str = "l", right: str = "r") -> DataFrame:
+    """``queries`` with left_rank and right_rank, both from one pass."""
+    return count_before(rows.select(F.col("value").alias(value), "pos"), queries, (value,), "pos", left_rank=(left, False), right_rank=(right, False))
+
+
+def occ_position_batch(rows: DataFrame, queries: DataFrame, value: str = "v", at: str = "p") -> DataFrame:
+    """``queries`` with ``occ``: how many values are below the asked one anywhere, and how many equal it before ``at``."""
+    ranked = rank_batch(rows, queries, value, at, name="_rank")
+    below = bounds(rows, "value", queries, value).select(F.col(value), "below")
+    return ranked.join(below, value).withColumn("occ", F.col("below") + F.col("_rank")).drop("below", "_rank")
+
+
+def numbered_values(rows: DataFrame) -> DataFrame | None:
+    """(value, i): the distinct values in order, if they are beyond BIGINT; numbers then stand for them in counts."""
+    if dict(rows.dtypes)["value"] == "bigint":
+        return None
+    return sums_in_order(rows.select("value").distinct().withColumn("_one", F.lit(1)), ("value",), {"i": "_one"}).select("value", "i")
+
+
+def sums_below(rows: DataFrame, queries: DataFrame, corners: list[tuple[Column, str, int]]) -> DataFrame:
+    """(qid, n): the sum of sign times the number of positions below a column with values below another, over the ``corners`` (value, column, sign)."""
+    each = F.array(*[F.struct(v.alias("v"), F.col(p).cast("long").alias("p"), F.lit(sign).alias("sign")) for v, p, sign in corners])
+    asked = queries.select("qid", F.explode(each).alias("_c")).select("qid", "_c.v", "_c.p", "_c.sign")
+    if (numbers := numbered_values(rows)) is not None:
+        asked = asked.join(bounds(numbers, "value", asked, "v").select("v", "below"), "v").select("qid", F.col("below").alias("v"), "p", "sign")
+        rows = rows.join(numbers, "value").select("pos", F.col("i").alias("value"))
+    return smaller_before(rows, asked)
+
+
+def range_sums(rows: DataFrame, queries: DataFrame, **sums: Column) -> DataFrame:
+    """``queries``, few of them, with aggregates over the rows of each range; their own columns may be used in them."""
+    found = range_rows(rows, queries).groupBy("qid").agg(*[c.alias(n) for n, c in sums.items()])
     return queries.join(found, "qid", "left")
 
 
 def count_less_batch(rows: DataFrame, queries: DataFrame, name: str = "n_less") -> DataFrame:
     """How many values of ``[l, r)`` are below ``v``."""
-    return range_batch(rows, queries, **{name: F.sum(F.when(F.col("value") < F.col("v"), F.col("n")))}).withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    if few(queries, BROADCAST_QUERIES):
+        out = range_sums(rows, queries, **{name: F.count_if(F.col("value") < F.col("v"))})
+    else:
+        out = queries.join(sums_below(rows, queries, [(F.col("v"), "r", 1), (F.col("v"), "l", -1)]).withColumnRenamed("n", name), "qid", "left")
+    return out.withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
 
 
 def range_freq_batch(rows: DataFrame, queries: DataFrame, name: str = "n_in") -> DataFrame:
     """How many values of ``[l, r)`` are in the half-open ``[lo, hi)``."""
-    inside = (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))
-    return range_batch(rows, queries, **{name: F.sum(F.when(inside, F.col("n")))}).withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    if few(queries, BROADCAST_QUERIES):
+        out = range_sums(rows, queries, **{name: F.count_if((F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi")))})
+    else:
+        high = F.greatest("lo", "hi")
+        corners = [(high, "r", 1), (high, "l", -1), (F.col("lo"), "r", -1), (F.col("lo"), "l", 1)]
+        out = queries.join(sums_below(rows, queries, corners).withColumnRenamed("n", name), "qid", "left")
+    return out.withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+
+
+def neighbour_batch(rows: DataFrame, queries: DataFrame, which: tuple[str, ...] = ("predecessor", "successor")) -> DataFrame:
+    """The largest value of ``[l, r)`` strictly below ``v`` and the smallest at or above it; null where there is none. ``which`` leaves one out."""
+    if few(queries, BROADCAST_QUERIES):
+        found = {"predecessor": F.max(F.when(F.col("value") < F.col("v"), F.col("value"))), "successor": F.min(F.when(F.col("value") >= F.col("v"), F.col("value")))}
+        return range_sums(rows, queries, **{n: found[n] for n in which})
+    # The predecessor is the last of the smaller values, the successor the first of the others.
+    less = count_less_batch(rows, queries, "_less").select("qid", "l", "r", "_less")
+    each = F.array(*[F.struct(F.lit(n).alias("which"), (F.col("_less") - int(n == "predecessor")).alias("k")) for n in which])
+    asked = less.select("qid", "l", "r", F.explode(each).alias("_w")).select(F.struct("qid", "_w.which").alias("qid"), "l", "r", "_w.k")
+    found = quantiles(rows, asked).groupBy(F.col("qid.qid").alias("qid")).agg(*[F.max(F.when(F.col("qid.which") == n, F.col("kth"))).alias(n) for n in which])
+    return queries.join(found, "qid", "left")
 
 
-def neighbour_batch(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """The largest value of ``[l, r)`` strictly below ``v`` and the smallest at or above it; null where there is none."""
-    return range_batch(rows, queries, predecessor=F.max(F.when(F.col("value") < F.col("v"), F.col("value"))), successor=F.min(F.when(F.col("value") >= F.col("v"), F.col("value"))))
+def quantiles(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, kth) of (qid, l, r, k), also for values beyond BIGINT."""
+    if (numbers := numbered_values(rows)) is None:
+        return kth_smallest(rows, asked)
+    found = kth_smallest(rows.join(numbers, "value").select("pos", F.col("i").alias("value")), asked)
+    return found.withColumnRenamed("kth", "i").join(numbers, "i").select("qid", F.col("value").alias("kth"))
 
 
 def quantile_batch(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """``queries`` with ``quantile``, the k-th smallest (0-based) value of ``[l, r)``; null where k is outside. Values are counted before they are ordered."""
-    counts = range_values(rows, queries)
-    smaller = running_before(counts, "value", {"below": F.col("n")}, ("qid",))
-    hit = smaller.join(queries.select("qid", "k"), "qid").where((F.col("below") <= F.col("k")) & (F.col("below") + F.col("n") > F.col("k")))
-    return queries.join(hit.select("qid", F.col("value").alias("quantile")), "qid", "left")
+    """``queries`` with ``quantile``, the k-th smallest (0-based) value of ``[l, r)``; null where k is outside."""
+    return queries.join(quantiles(rows, queries.select("qid", "l", "r", "k")).withColumnRenamed("kth", "quantile"), "qid", "left")
 
 
 def value_counts(rows: DataFrame, left: int | None = None, right: int | None = None) -> DataFrame:
@@ -213,35 +264,39 @@ class Cursor:
         return next(self._positions)
 
 
-class LsbIndex(SequenceTable):
-    """Terminal order is numeric; there are no order questions."""
+class OrderCounts(SequenceTable):
+    """How many values are smaller."""
+
+    def rank_less(self, left: int, right: int, v: int) -> int:
+        guards.check_range(left, right, self.n)
+        return self._one(F.count_if((F.col("value") < number(v)) & self._between(left, right)))
+
+    count_less_than = rank_less_than = rank_less
+
+    def occ_position(self, p: int, v: int) -> int:
+        """How many values are below ``v`` anywhere, and how many equal it before ``p``."""
+        guards.check_position(p, self.n)
+        return self._one(F.count_if((F.col("value") < number(v)) | ((F.col("value") == number(v)) & (F.col("pos") < p))))
+
+
+class LsbIndex(OrderCounts):
+    """Terminal order is numeric; of the order questions there are counts only."""
 
     kind = "lsb"
 
 
-class MsbIndex(SequenceTable):
+class MsbIndex(OrderCounts):
     kind = "msb"
 
     def value_in_range_at(self, i: int, low: int, high: int) -> bool:
         return low <= self.access(i) <= high
 
-    def rank_less(self, left: int, right: int, v: int) -> int:
-        guards.check_range(left, right, self.n)
-        return self._one(F.count_if((F.col("value") < number(v)) & self._between(left, right)))
-
-    count_less_than = rank_less
-
     def range_freq(self, left: int, right: int, low: int, high: int) -> int:
         guards.check_range(left, right, self.n)
         if low >= high:
             return 0
         return self._one(F.count_if((F.col("value") >= number(low)) & (F.col("value") < number(high)) & self._between(left, right)))
 
-    def occ_position(self, p: int, v: int) -> int:
-        """How many values are below ``v`` anywhere, and how many equal it before ``p``."""
-        guards.check_position(p, self.n)
-        return self._one(F.count_if((F.col("value") < number(v)) | ((F.col("value") == number(v)) & (F.col("pos") < p))))
-
     def quantile(self, left: int, right: int, k: int) -> int:
         guards.check_range(left, right, self.n)
         if not 0 <= k < right - left:
@@ -285,9 +340,13 @@ class MsbIndex(SequenceTable):
         return v, self.terminal_interval(v)[0] + before
 
     def terminal_interval(self, v: int) -> tuple[int, int]:
-        """The terminal places of a value; empty, at the place it would have, if it is absent."""
-        hit = terminal_bases(self.rows, self.kind, self.width).where(F.col("value") == number(v)).first()
-        return (hit["base"], hit["base"] + hit["frequency"]) if hit else (0, 0)
+        """The terminal places of a value; empty, at the place it would have, if it is absent; (0, 0) if it does not fit the width."""
+        if not 0 <= v < 1 << self.width:
+            return 0, 0
+        own = self.rows.sparkSession.range(1).select(number(v).alias("value")).select(terminal_order(self.kind, self.width).alias("o")).first()["o"]
+        order = terminal_order(self.kind, self.width)
+        before, same = self.rows.agg(F.count_if(order < F.lit(own)), F.count_if(F.col("value") == number(v))).first()
+        return before, before + same
 
     def value_count_intervals(self, left: int = 0, right: int | None = None) -> DataFrame:
         right = self.n if right is None else right
@@ -298,9 +357,19 @@ class MsbIndex(SequenceTable):
 class QuadIndex(MsbIndex):
     kind = "quad"
 
+    def storage_bytes(self) -> dict[str, int]:
+        """Payload, auxiliary and allocated bytes of its levels."""
+        return usage.quad_table_bytes(self.rows, self.width)
+
+    def view_bytes(self) -> int:
+        return storage.quad_wavelet_view_bytes(self.n, self.width)
+
 
 class NineBitIndex(SequenceTable):
     """Values up to 511."""
 
     def __init__(self, rows: DataFrame) -> None:
         super().__init__(rows, 9)
+
+    def storage_bytes(self) -> int:
+        return usage.nine_bit_bytes(self.rows)

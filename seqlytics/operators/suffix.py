@@ -10,13 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlytics import guards
-from seqlytics.operators.positions import dense_positions, ordinals, running_before, sums_in_order
+from seqlytics.operators import storage
+from seqlytics.operators.positions import BLOCK, block_of, dense_positions, ordinals, running_before, sums_in_order
 from seqlytics.sources.scratch import written
 
 #: Fixed values.
 END, SEPARATOR, ALPHABET = 0, 257, 258
 
 
+def encode_byte(byte: int) -> int:
+    """The symbol of a byte."""
+    if not 0 <= byte <= 255:
+        raise ValueError("a byte is 0 to 255")
+    return byte + 1
+
+
+def decode_byte(symbol: int) -> int:
+    """The byte of a symbol; ValueError for the end and the separator."""
+    if not END < symbol < SEPARATOR:
+        raise ValueError("the symbol is not a byte's")
+    return symbol - 1
+
+
 def text_symbols(strings: DataFrame) -> DataFrame:
     """(pos, sym, id): the text of (id, s), ids dense from 0 in their order. Starts of strings are running sums of lengths."""
     b = strings.select("id", F.col("s").cast("binary").alias("b")).withColumn("len", F.octet_length("b").cast("long"))
@@ -71,14 +86,22 @@ def last_to_first(transformed: DataFrame) -> DataFrame:
     return ranked.select("row", "sym", (F.col("start") + F.col("k")).cast("long").alias("lf"))
 
 
-def symbol_runs(rows: DataFrame) -> DataFrame:
-    """(sym, first, past): maximal runs of equal symbols of (pos, sym); a position starts a run where the one before differs."""
-    before = rows.select((F.col("pos") + 1).alias("pos"), F.col("sym").alias("_before"))
-    starts = rows.join(before, "pos", "left").where("_before IS NULL OR _before <> sym").select("pos", "sym")
-    numbered = dense_positions(starts, ("pos",), "run")
+def symbol_runs(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(run, sym, first, past): maximal runs of equal symbols of dense (pos, sym).
+
+    Runs are found within blocks of positions; those that a block's end cuts are put together over the table of these pieces, at most as many as there are runs and blocks.
+    """
+    own = Window.partitionBy("_b").orderBy("pos")
+    changed = F.coalesce(F.lag("sym").over(own) != F.col("sym"), F.lit(True))
+    blocked = rows.select("pos", "sym", block_of("pos", size).alias("_b"))
+    starts = blocked.withColumn("_c", changed).where("_c").drop("_c")
+    # The first piece of a block goes on with the run of the block before, if the symbols are the same.
+    lasts = rows.where(F.pmod(F.col("pos") + 1, F.lit(size)) == 0).select((F.col("pos") + 1).alias("pos"), F.col("sym").alias("_before"))
+    true = written(starts.join(lasts, "pos", "left").where("_before IS NULL OR _before <> sym").select("pos", "sym"), "run-starts")
+    numbered = dense_positions(true, ("pos",), "run")
     n = rows.agg((F.max("pos") + 1).alias("n"))
     following = numbered.select((F.col("run") - 1).alias("run"), F.col("pos").alias("past"))
-    return numbered.join(following, "run", "left").crossJoin(F.broadcast(n)).select("run", "sym", F.col("pos").alias("first"), F.coalesce("past", "n").alias("past"))
+    return numbered.join(following, "run", "left").crossJoin(F.broadcast(n)).select("run", "sym", F.col("pos").alias("first"), F.coalesce("past", "n").alias("past"))  # n is one row
 
 
 def backward_search(transformed: DataFrame, pattern: bytes) -> tuple[int, int]:
@@ -102,6 +125,9 @@ class RunLengthColumn:
         self.n = rows.count()
         self.runs = written(symbol_runs(rows), "runs")
 
+    def memory_usage(self) -> int:
+        return storage.run_length_bytes(self.n, self.run_count())
+
     def run_count(self) -> int:
         return self.runs.count()
 

@@ -11,6 +11,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlytics.operators import suffix, usage
+from seqlytics.sources.scratch import written
+
 
 def as_binary(c: Column) -> Column:
     return c.cast("binary")
@@ -49,6 +52,25 @@ class TextDictionary:
         raw = pattern.encode() if isinstance(pattern, str) else bytes(pattern)
         return self.rows.where(as_binary(F.col("s")) == F.lit(bytearray(raw))).agg(F.min("id")).first()[0]
 
+    def find_exact_batch(self, queries: DataFrame) -> DataFrame:
+        """``queries`` (with s) with the smallest id of the equal string, or null. Strings meet by their bytes."""
+        own = self.rows.groupBy(as_binary(F.col("s")).alias("_b")).agg(F.min("id").alias("id"))
+        return queries.withColumn("_b", as_binary(F.col("s"))).join(own, "_b", "left").drop("_b")
+
+    def find_exact_fm(self, pattern: bytes | str) -> int | None:
+        """Of equal strings the one whose text comes first with all that follows it: the strings behind it, in the order of ids, from 0 without gaps."""
+        raw = pattern.encode() if isinstance(pattern, str) else bytes(pattern)
+        same = self.rows.where(as_binary(F.col("s")) == F.lit(bytearray(raw))).select("id")
+        if same.count() < 2:
+            return self.find_exact(pattern)
+        text = written(suffix.text_symbols(self.rows), "text")
+        starts = text.where(F.col("sym") == suffix.SEPARATOR).join(same, "id").select("pos", "id")
+        return suffix.suffix_array(text).join(starts, "pos").agg(F.min_by("id", "row")).first()[0]
+
+    def memory_usage(self) -> dict[str, int]:
+        """Bytes that the parts of a compact dictionary of these strings would take."""
+        return usage.dictionary_usage(self.rows)
+
     def contains(self, pattern: bytes | str) -> bool:
         return self.find_exact(pattern) is not None
 

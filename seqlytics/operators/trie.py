@@ -9,35 +9,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlytics.operators.positions import dense_positions, sums_in_order
+from seqlytics.sources.scratch import written
+
+#: Nodes whose parents' distances share a bit width; degree from which a node has a bitmap of its children's bytes.
+PARENT_BLOCK, HIGH_DEGREE = 256, 17
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """The longest common prefix, in whole bytes, of two hexadecimal strings."""
-    n = F.least(F.length(a), F.length(b)) / 2
-    same = F.filter(F.sequence(F.lit(0), n.cast("int")), lambda i: F.substring(a, F.lit(1), i * 2) == F.substring(b, F.lit(1), i * 2))
-    return F.substring(a, F.lit(1), F.array_max(same) * 2)
+    """The longest common prefix, in whole bytes, of two hexadecimal strings. One pass over both."""
+    first_apart = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), False) - 1
+    same = F.when(a == b, F.length(a)).otherwise(first_apart)
+    return F.substring(a, F.lit(1), (same - F.pmod(same, F.lit(2))).cast("int"))
+
+
+def with_depths(linked: DataFrame) -> DataFrame:
+    """``linked`` (node, parent_node, ...) with depth, the edges above a node. Pointer doubling: as many rounds as the largest depth has bits."""
+    now = written(linked.select("node", F.col("parent_node").alias("far"), F.when(F.col("parent_node").isNull(), 0).otherwise(1).cast("long").alias("depth")), "depths")
+    while now.where("far IS NOT NULL").limit(1).count():
+        above = now.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("depth").alias("_depth"))
+        after = now.join(above, "far", "left").select("node", F.col("_far").alias("far"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
+        now = written(after, "depths")
+    return linked.join(now.select("node", "depth"), "node")
 
 
 def trie_nodes(strings: DataFrame) -> DataFrame:
     """(prefix, parent, depth, label_bytes, terminal_id, children, node): nodes of (id, s), numbered in byte order; the root's prefix is empty, its parent null.
 
-    A node's parent is its longest proper prefix that is a node, found by joining each node with its own prefixes: as many rows as bytes in all prefixes.
+    Nodes are closed under common prefixes, so a node's parent is what it shares with the node before it in byte order.
     """
     hexed = strings.select(F.hex(F.col("s").cast("binary")).alias("prefix"), F.col("id").alias("terminal_id"))
-    ordered = dense_positions(hexed, ("prefix", "terminal_id"), "pos")
-    after = ordered.select((F.col("pos") - 1).alias("pos"), F.col("prefix").alias("next"))
-    forks = ordered.join(after, "pos").select(common_prefix(F.col("prefix"), F.col("next")).alias("prefix"))
-    root = strings.sparkSession.createDataFrame([("",)], "prefix string")
-    nodes = forks.unionByName(root).unionByName(hexed.select("prefix")).distinct().join(hexed.groupBy("prefix").agg(F.min("terminal_id").alias("terminal_id")), "prefix", "left")
-    nodes = nodes.transform(lambda d: dense_positions(d, ("prefix",), "node"))
-    above = nodes.where("prefix <> ''").select(F.col("prefix").alias("below"), F.explode(F.sequence(F.lit(0), (F.length("prefix") / 2 - 1).cast("int"))).alias("k"))
-    above = above.select("below", F.substring("below", F.lit(1), F.col("k") * 2).alias("prefix"), "k")
-    chain = above.join(nodes.select("prefix"), "prefix").groupBy("below").agg(F.max_by("prefix", "k").alias("parent"), F.count(F.lit(1)).alias("depth"))
-    linked = nodes.join(chain, nodes["prefix"] == chain["below"], "left").drop("below")
-    kids = linked.groupBy("parent").agg(F.count(F.lit(1)).alias("children")).select(F.col("parent").alias("prefix"), "children")
-    out = linked.join(kids, "prefix", "left")
+    terminals = hexed.groupBy("prefix").agg(F.min("terminal_id").alias("terminal_id"))
+    ordered = written(dense_positions(terminals, ("prefix",), "pos"), "trie-strings")
+    before = ordered.select((F.col("pos") + 1).alias("pos"), F.col("prefix").alias("_before"))
+    forks = ordered.join(before, "pos").select(common_prefix(F.col("_before"), F.col("prefix")).alias("prefix"), F.lit(None).cast(strings.schema["id"].dataType).alias("terminal_id"))
+    root = strings.sparkSession.createDataFrame([("",)], "prefix string").withColumn("terminal_id", F.lit(None).cast(strings.schema["id"].dataType))
+    nodes = forks.unionByName(root).unionByName(ordered.select("prefix", "terminal_id")).groupBy("prefix").agg(F.min("terminal_id").alias("terminal_id"))
+    nodes = written(dense_positions(nodes, ("prefix",), "node"), "trie-nodes")
+    last = nodes.select((F.col("node") + 1).alias("node"), F.col("prefix").alias("_before"))
+    linked = nodes.join(last, "node", "left").withColumn("parent", common_prefix(F.col("_before"), F.col("prefix"))).drop("_before")
+    own = nodes.select(F.col("prefix").alias("parent"), F.col("node").alias("parent_node"))
+    linked = with_depths(written(linked.join(own, "parent", "left"), "trie-linked"))
+    kids = linked.where("parent_node IS NOT NULL").groupBy("parent_node").agg(F.count(F.lit(1)).alias("children")).select(F.col("parent_node").alias("node"), "children")
+    out = linked.join(kids, "node", "left")
     label = ((F.length("prefix") - F.length(F.coalesce("parent", F.lit("")))) / 2).cast("long")
-    return out.select("prefix", "parent", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), label.alias("label_bytes"), "terminal_id", F.coalesce("children", F.lit(0)).cast("long").alias("children"), "node")
+    return out.select("prefix", "parent", "depth", label.alias("label_bytes"), "terminal_id", F.coalesce("children", F.lit(0)).cast("long").alias("children"), "node")
+
+
+def child_offsets(nodes: DataFrame) -> DataFrame:
+    """(node, first_child): where an inner node's children begin in the list of all children, by parent; -1 for leaves."""
+    placed = sums_in_order(nodes.select("node", "children"), ("node",), {"_before": "children"})
+    return placed.select("node", F.when(F.col("children") > 0, F.col("_before")).otherwise(F.lit(-1)).cast("long").alias("first_child"))
+
+
+def suffix_ranges(nodes: DataFrame) -> DataFrame:
+    """(node, first, past): where the label of a node's edge, without its first byte, lies in all these labels put together; (0, 0) for an edge without one if such edges are many.
+
+    They are many if those with more than one byte are at most a quarter of the nodes.
+    """
+    behind = F.when(F.col("parent").isNotNull(), F.col("label_bytes") - 1).otherwise(F.lit(0)).cast("long")
+    sized = nodes.select("node", behind.alias("_behind"))
+    n, bearing = sized.agg(F.count(F.lit(1)), F.count_if(F.col("_behind") > 0)).first()
+    placed = sums_in_order(sized, ("node",), {"_first": "_behind"})
+    empty = (F.col("_behind") == 0) & F.lit(bearing * 4 <= n)
+    first = F.when(empty, F.lit(0)).otherwise(F.col("_first")).cast("long")
+    return placed.select("node", first.alias("first"), (first + F.col("_behind")).alias("past"))
+
+
+def parent_widths(nodes: DataFrame) -> DataFrame:
+    """(block, width, words): bits of the largest distance to a parent in each block of PARENT_BLOCK nodes, and the 64-bit words the block takes."""
+    deltas = nodes.select("node").join(number_parents(nodes).select("node", "delta"), "node", "left").select("node", F.coalesce("delta", F.lit(0)).alias("delta"))
+    width = F.when(F.max("delta") > 0, F.length(F.bin(F.max("delta")))).otherwise(0).cast("long")
+    found = deltas.groupBy(F.floor(F.col("node") / PARENT_BLOCK).alias("block")).agg(width.alias("width"), F.count(F.lit(1)).alias("_n"))
+    return found.select("block", "width", F.ceil(F.col("_n") * F.col("width") / 64).cast("long").alias("words"))
 
 
 def trie_stats(nodes: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlytics.operators import bits, ordered, runs, suffix
-from seqlytics.operators.positions import block_of, count_before, dense_positions, ordinals
+from seqlytics.operators import bits, ordered, runs, sequence, suffix
+from seqlytics.operators.positions import count_before, dense_positions, running_before
 from seqlytics.plans import sequences
 from seqlytics.plans.sequences import LEFT, bounds, islands
 from seqlytics.sources.scratch import table
@@ -41,8 +41,8 @@ def p_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 B = "WITH b AS (SELECT event_id AS pos, event_type = 'click' AS bit FROM events) "
-V = "WITH v AS (SELECT event_id AS pos, user_id % 4 AS sym FROM events), q AS (SELECT event_id AS qid, event_id AS p, user_id % 4 AS v, event_id % 900 AS k FROM events WHERE event_id % 97 = 0) "
-X = "WITH x AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS x FROM orders), q AS (SELECT DISTINCT date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + 1 AS v FROM orders WHERE o_orderkey % 31 = 0) "
+V = "WITH v AS (SELECT event_id AS pos, user_id % 4 AS sym FROM events), q AS (SELECT event_id AS qid, event_id AS p, user_id % 4 AS v, event_id % 900 AS k FROM events) "
+X = "WITH x AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS x FROM orders), q AS (SELECT DISTINCT date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + 1 AS v FROM orders) "
 P = "WITH RECURSIVE p AS (SELECT o_orderkey AS idx, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS image FROM orders) "
 
 
@@ -66,10 +66,7 @@ def bits_popcount_blocks(spark, sf):
 
 @registered("bits_rank_in_block", B + "SELECT pos, coalesce(sum(bit::INT) OVER (PARTITION BY pos // 512 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank FROM b")
 def bits_rank_in_block(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(block_of("pos", bits.LEVEL_BITS[0])).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return b_rows(spark, sf).select("pos", F.coalesce(F.sum(F.col("bit").cast("long")).over(w), F.lit(0)).alias("rank"))
+    return bits.ranks_in_block(b_rows(spark, sf)).select("pos", "rank")
 
 
 @registered("bits_runs", islands("event_type = 'click'"))
@@ -82,10 +79,10 @@ def packed_fit(spark, sf):
     return sequences.e_rows(spark, sf).withColumn("fits", F.col("value") <= bits.mask_for_width(7))
 
 
-@registered("packed_update", "SELECT event_id AS pos, CASE WHEN event_id % 10 = 0 THEN (user_id * 3) % 128 ELSE user_id END AS value FROM events")
+@registered("packed_update", "SELECT event_id AS pos, CASE WHEN user_id < 9 THEN user_id * 3 ELSE user_id END AS value FROM events")
 def packed_update(spark, sf):
     rows = sequences.e_rows(spark, sf)
-    return bits.updated(rows, rows.where("pos % 10 = 0").select("pos", (F.col("value") * 3 % 128).alias("value")), "value")
+    return bits.updated(rows, rows.where("value < 9").select("pos", (F.col("value") * 3).alias("value")), "value")
 
 
 @registered("packed_fill", "SELECT event_id AS pos, 5::BIGINT AS value FROM events")
@@ -95,12 +92,16 @@ def packed_fill(spark, sf):
 
 @registered("quad_rank", V + "SELECT qid, (SELECT count(*) FROM v WHERE v.sym = q.v AND v.pos < q.p) AS rank FROM q")
 def quad_rank(spark, sf):
-    return count_before(v_rows(spark, sf).select(F.col("sym").alias("v"), "pos"), v_asked(spark, sf), ("v",), "pos", "p", name="rank").select("qid", "rank")
+    return sequence.rank_batch(v_values(spark, sf), v_asked(spark, sf)).select("qid", "rank")
+
+
+def v_values(spark, sf):
+    return v_rows(spark, sf).withColumnRenamed("sym", "value")
 
 
 def v_asked(spark, sf):
     e = F.col("event_id")
-    return table(spark, sf, "events").where(e % 97 == 0).select(e.alias("qid"), e.alias("p"), (F.col("user_id") % 4).alias("v"), (e % 900).alias("k"))
+    return table(spark, sf, "events").select(e.alias("qid"), e.alias("p"), (F.col("user_id") % 4).alias("v"), (e % 900).alias("k"))
 
 
 @registered("quad_rank_all", V + "SELECT pos, sym, " + ", ".join(f"coalesce(sum((sym = {s})::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS r{s}" for s in range(4)) + " FROM v")
@@ -110,23 +111,22 @@ def quad_rank_all(spark, sf):
 
 @registered("quad_select", V + ", s AS (SELECT sym, pos, row_number() OVER (PARTITION BY sym ORDER BY pos) - 1 AS k FROM v) SELECT qid, coalesce(s.pos, -1) AS selected FROM q LEFT JOIN s ON s.sym = q.v AND s.k = q.k")
 def quad_select(spark, sf):
-    ranked = ordinals(v_rows(spark, sf), "pos", ("sym",), "k").select(F.col("sym").alias("v"), "k", F.col("pos").alias("selected"))
-    return v_asked(spark, sf).join(ranked, ["v", "k"], "left").select("qid", F.coalesce("selected", F.lit(-1)).cast("long").alias("selected"))
+    return sequence.select_batch(v_values(spark, sf), v_asked(spark, sf)).select("qid", "selected")
 
 
 @registered("quad_access_rank", V + "SELECT pos, sym, row_number() OVER (PARTITION BY sym ORDER BY pos) - 1 AS rank_before FROM v")
 def quad_access_rank(spark, sf):
-    return ordinals(v_rows(spark, sf), "pos", ("sym",), "rank_before")
+    return sequence.access_rank(v_values(spark, sf)).withColumnRenamed("value", "sym")
 
 
-@registered("sorted_access", X + "SELECT i, x FROM x WHERE i % 31 = 0")
+@registered("sorted_access", X + "SELECT i, x FROM x")
 def sorted_access(spark, sf):
-    return x_rows(spark, sf).where("i % 31 = 0")
+    return x_rows(spark, sf)
 
 
 def x_asked(spark, sf):
     days = F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long") + 1
-    return table(spark, sf, "orders").where("o_orderkey % 31 = 0").select(days.alias("v")).distinct().withColumn("qid", F.col("v"))
+    return table(spark, sf, "orders").select(days.alias("v")).distinct().withColumn("qid", F.col("v"))
 
 
 def x_bounds(column: str, shown: str | None = None):
@@ -183,8 +183,6 @@ def rle_runs(spark, sf):
 @registered("rle_rank", RUNS + "SELECT run, sym, (sum(past - first) OVER (PARTITION BY sym ORDER BY run) - (past - first))::BIGINT AS before FROM r")
 def rle_rank(spark, sf):
     """How often a run's symbol occurs before the run."""
-    from seqlytics.operators.positions import running_before
-
     found = suffix.symbol_runs(v_rows(spark, sf))
     return running_before(found, "run", {"before": F.col("past") - F.col("first")}, ("sym",)).select("run", "sym", "before")
 
@@ -192,8 +190,8 @@ def rle_rank(spark, sf):
 @registered("rle_select", V + "SELECT sym, row_number() OVER (PARTITION BY sym ORDER BY pos) - 1 AS k, pos FROM v")
 def rle_select(spark, sf):
     """All occurrences by symbol, out of runs: ordinals before the run, and places in it."""
-    before = rle_rank(spark, sf)
-    found = suffix.symbol_runs(v_rows(spark, sf)).join(before, ["run", "sym"])
+    found = suffix.symbol_runs(v_rows(spark, sf))
+    found = running_before(found, "run", {"before": F.col("past") - F.col("first")}, ("sym",))
     each = found.select("sym", "before", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("past") - F.col("first") - 1)).alias("j"))
     return each.select("sym", (F.col("before") + F.col("j")).alias("k"), (F.col("first") + F.col("j")).alias("pos"))
 
@@ -202,7 +200,7 @@ def rle_select(spark, sf):
 def rle_access(spark, sf):
     """The symbol at a position: that of the last run that starts at or before it."""
     found = suffix.symbol_runs(v_rows(spark, sf))
-    at = count_before(found.select("first"), v_asked(spark, sf), (), "first", "p", inclusive=True, name="n")
+    at = count_before(found.select("first"), v_asked(spark, sf), (), "first", n=("p", True))
     return at.select("qid", (F.col("n") - 1).alias("run")).join(found, "run").select("qid", "sym")
 
 

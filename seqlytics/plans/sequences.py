@@ -15,9 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 E_SQL = "WITH e AS (SELECT event_id AS pos, user_id AS value FROM events), "
-Q_SQL = "q AS (SELECT event_id AS qid, user_id AS v, event_id AS p, event_id // 3 AS l, event_id AS r, event_id % 40 AS k, user_id AS lo, user_id + 25 AS hi FROM events WHERE event_id % 97 = 0) "
+Q_SQL = "q AS (SELECT event_id AS qid, user_id AS v, event_id AS p, event_id // 3 AS l, event_id AS r, event_id % 40 AS k, user_id AS lo, user_id + 25 AS hi FROM events) "
 O_SQL = "WITH o AS (SELECT o_orderkey AS pos, o_custkey AS value FROM orders), "
-P_SQL = "q AS (SELECT o_orderkey AS qid, o_custkey AS v, greatest(o_orderkey - 500, 0) AS l, o_orderkey AS r, o_orderkey % 450 AS k FROM orders WHERE o_orderkey % 499 = 0) "
+P_SQL = "q AS (SELECT o_orderkey AS qid, o_custkey AS v, greatest(o_orderkey - 500, 0) AS l, o_orderkey AS r, o_orderkey % 450 AS k FROM orders) "
 #: The scalar ranges of the queries below, as shares of the sequence: from a fifth to four fifths.
 LEFT, RIGHT = "(SELECT max(event_id) // 5 FROM events)", "(SELECT max(event_id) * 4 // 5 FROM events)"
 
@@ -43,15 +43,14 @@ def o_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e_asked(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 97th event asks about its own user and a range that ends at it."""
+    """Every event asks about its own user and a range that ends at it."""
     e, u = F.col("event_id"), F.col("user_id")
-    rows = table(spark, sf, "events").where(e % 97 == 0)
-    return rows.select(e.alias("qid"), u.alias("v"), e.alias("p"), div("event_id", 3).alias("l"), e.alias("r"), (e % 40).alias("k"), u.alias("lo"), (u + 25).alias("hi"))
+    return table(spark, sf, "events").select(e.alias("qid"), u.alias("v"), e.alias("p"), div("event_id", 3).alias("l"), e.alias("r"), (e % 40).alias("k"), u.alias("lo"), (u + 25).alias("hi"))
 
 
 def o_asked(spark: SparkSession, sf: str) -> DataFrame:
     o = F.col("o_orderkey")
-    return table(spark, sf, "orders").where(o % 499 == 0).select(o.alias("qid"), F.col("o_custkey").alias("v"), F.greatest(o - 500, F.lit(0)).alias("l"), o.alias("r"), (o % 450).alias("k"))
+    return table(spark, sf, "orders").select(o.alias("qid"), F.col("o_custkey").alias("v"), F.greatest(o - 500, F.lit(0)).alias("l"), o.alias("r"), (o % 450).alias("k"))
 
 
 def bounds(rows: DataFrame) -> tuple[int, int]:
@@ -86,9 +85,7 @@ def seq_rank_incl(spark, sf):
 
 @registered("seq_rank_pair", E_SQL + Q_SQL + "SELECT qid, (SELECT count(*) FROM e WHERE e.value = q.v AND e.pos < q.l) AS left_rank, (SELECT count(*) FROM e WHERE e.value = q.v AND e.pos < q.r) AS right_rank FROM q")
 def seq_rank_pair(spark, sf):
-    rows = e_rows(spark, sf)
-    left = sequence.rank_batch(rows, e_asked(spark, sf), at="l", name="left_rank")
-    return sequence.rank_batch(rows, left, at="r", name="right_rank").select("qid", "left_rank", "right_rank")
+    return sequence.rank_pair_batch(e_rows(spark, sf), e_asked(spark, sf)).select("qid", "left_rank", "right_rank")
 
 
 @registered("seq_rank_range", E_SQL + Q_SQL + "SELECT qid, (SELECT count(*) FROM e WHERE e.value = q.v AND e.pos >= q.l AND e.pos < q.r) AS n FROM q")
@@ -126,9 +123,15 @@ def seq_rank_less(spark, sf):
 
 @registered("seq_occ_position", E_SQL + Q_SQL + "SELECT qid, (SELECT count(*) FROM e WHERE e.value < q.v OR (e.value = q.v AND e.pos < q.p)) AS occ FROM q")
 def seq_occ_position(spark, sf):
-    rows = e_rows(spark, sf)
-    smaller = sequence.terminal_bases(rows, "lsb", 0).select(F.col("value").alias("v"), "base")
-    return sequence.rank_batch(rows, e_asked(spark, sf)).join(smaller, "v").select("qid", (F.col("base") + F.col("rank")).alias("occ"))
+    return sequence.occ_position_batch(e_rows(spark, sf), e_asked(spark, sf)).select("qid", "occ")
+
+
+@registered("seq_lsb_order", O_SQL + P_SQL + "SELECT qid, (SELECT count(*) FROM o WHERE o.value < q.v AND o.pos < q.r) AS n_less, (SELECT count(*) FROM o WHERE o.value < q.v + 1) - (SELECT count(*) FROM o WHERE o.value = q.v AND o.pos >= q.r) AS occ FROM q")
+def seq_lsb_order(spark, sf):
+    """What a table with numeric terminal order answers on order: smaller values before a position, and a value's place there."""
+    rows, asked = o_rows(spark, sf), o_asked(spark, sf).withColumn("l", F.lit(0).cast("long"))
+    less = sequence.count_less_batch(rows, asked).select("qid", "n_less")
+    return sequence.occ_position_batch(rows, asked, at="r").join(less, "qid").select("qid", "n_less", "occ")
 
 
 @registered("seq_range_freq", E_SQL + Q_SQL + "SELECT qid, (SELECT count(*) FROM e WHERE e.value >= q.lo AND e.value < q.hi AND e.pos >= q.l AND e.pos < q.r) AS n_in FROM q")
@@ -143,12 +146,12 @@ def seq_quantile(spark, sf):
 
 @registered("seq_predecessor", O_SQL + P_SQL + "SELECT qid, (SELECT max(o.value) FROM o WHERE o.value < q.v AND o.pos >= q.l AND o.pos < q.r) AS predecessor FROM q")
 def seq_predecessor(spark, sf):
-    return sequence.neighbour_batch(o_rows(spark, sf), o_asked(spark, sf)).select("qid", "predecessor")
+    return sequence.neighbour_batch(o_rows(spark, sf), o_asked(spark, sf), ("predecessor",)).select("qid", "predecessor")
 
 
 @registered("seq_successor", O_SQL + P_SQL + "SELECT qid, (SELECT min(o.value) FROM o WHERE o.value >= q.v AND o.pos >= q.l AND o.pos < q.r) AS successor FROM q")
 def seq_successor(spark, sf):
-    return sequence.neighbour_batch(o_rows(spark, sf), o_asked(spark, sf)).select("qid", "successor")
+    return sequence.neighbour_batch(o_rows(spark, sf), o_asked(spark, sf), ("successor",)).select("qid", "successor")
 
 
 @registered("seq_value_counts", "SELECT user_id AS value, count(*) AS frequency FROM events GROUP BY user_id")

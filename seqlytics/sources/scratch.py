@@ -17,9 +17,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local default if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, a local default serves a local master; ValueError on a cluster, whose machines do not share one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -6,6 +6,7 @@ import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def save(df: DataFrame, path: str, **about: Any) -> None:
@@ -20,3 +21,18 @@ def load(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> tuple
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
     return df, json.loads(spark.read.schema("about string").json(f"{path}/about").first()[0])
+
+
+def reopen(spark: SparkSession, path: str, kind: str, width: int | None = None, position: str = "pos") -> tuple[DataFrame, dict[str, Any]]:
+    """A table that was saved with its ``kind`` (and ``width`` and number of rows ``n``); ValueError if it is of another, or is not what it was saved as."""
+    df, about = load(spark, path, (position,))
+    if about.get("kind") != kind:
+        raise ValueError(f"a {about.get('kind')} table, not a {kind} one")
+    if width is not None and about.get("width") != width:
+        raise ValueError(f"{about.get('width')} bits, not {width}")
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(position), F.max(position)).first()
+    if n != about.get("n", n):
+        raise ValueError(f"{n} rows of {about['n']}")
+    if n and (low != 0 or high != n - 1):
+        raise ValueError("positions must be dense and start at 0")
+    return df, about

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqlytics.functions import words
 from seqlytics.operators import bits, ordered, positions, runs, storage, suffix
 from seqlytics.sources import store
+from seqlytics.sources.scratch import written
 
 
 def naive_runs(flags):
@@ -201,5 +202,23 @@ def test_save_and_load(spark, tmp_path):
 
 def test_count_before_with_hot_key(spark):
     rows = spark.createDataFrame([(5,)] * 300 + [(6,)], "x long")
-    queries = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "qid long, v long")
-    assert {r["qid"]: r["n_before"] for r in positions.count_before(rows, queries, (), "x", "v").collect()} == {1: 0, 2: 300, 3: 301}
+    queries = spark.createDataFrame([(5,), (6,), (7,), (None,), (6,)], "v long")
+    assert {r["v"]: (r["below"], r["equal"]) for r in positions.bounds(rows, "x", queries, "v").collect()} == {5: (0, 300), 6: (300, 1), 7: (301, 0)}
+
+
+def test_sparse_keys_are_not_ordered_in_one_task(spark, monkeypatch):
+    """Keys far apart: numbered by range partitions, no exchange to a single partition over rows."""
+    monkeypatch.setattr(positions, "few", lambda df, most=0: False)
+    keys = [i * 70_000_000_019 for i in range(2000)]
+    rows = spark.createDataFrame([(k,) for k in keys], "x long")
+    queries = spark.createDataFrame([(k + d,) for k in keys[::7] for d in (-1, 0, 1)], "v long")
+    found = positions.bounds(rows, "x", queries, "v")
+    assert {(r["v"], r["below"], r["equal"]) for r in found.collect()} == {(k + d, i + (d > 0), int(d == 0)) for i, k in list(enumerate(keys))[::7] for d in (-1, 0, 1)}
+    seen = []
+    monkeypatch.setattr(positions, "written", lambda df, name: seen.append(df) or written(df, name))
+    positions.bounds(rows, "x", queries, "v").count()
+    plans = "\n".join(d._jdf.queryExecution().executedPlan().toString() for d in [*seen, positions.bounds(rows, "x", queries, "v")])
+    single = [x for x in plans.split("\n") if "SinglePartition" in x]
+    assert len(seen) >= 2 and all("_g" in plans or "_p" in plans for _ in single)
+    windows = [x for x in plans.split("\n") if "Window [" in x]
+    assert windows and all(", [_b" in x or ", [_g" in x or ", [_p" in x or "_t_" in x or "_n#" in x for x in windows)
