@@ -12,9 +12,13 @@ components than one are then joined with themselves, without pairs of one compon
 without pairs whose parity sketches alone prove them too different: 512 bits (and, for larger sets, a bit for each shingle), each the parity of the shingles that hash to it, differ in at
 most as many places as the sets. Candidates that are left are compared set by set. No limit is set on lists or partners.
 
+Comparisons are spared only between documents that other links connect already, so these links give the components. The number of all links of a document is counted
+inside the components, where all links lie: equal sets become one representative with its number of documents, and the representatives of a component are
+compared block by block, by products of incidence matrices; no pair leaves a block.
+
 Defined results: texts without words, null ones too, have empty sets and no links; shorter texts than a shingle have one shingle, all their words;
-rows with the same key are one document that links where any of its texts does; null keys are left out of links and are their own component; an empty table
-gives an empty table. Other columns of the input are ignored.
+rows with the same key are one document that links where any of its texts does, and has the links of each of its different texts; null keys are left out of links and
+are their own component; an empty table gives an empty table. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +38,16 @@ from .common import as_bytes, batch, bounded_batches, each, mix64, most_frequent
 RANKED = 200_000
 #: A task counts shingles of about so many words at a time.
 COUNTED = 2_000_000
-#: Above this size no set is light, whatever the costs say: 20 choose 3 subsets and more.
-MOST_LIGHT = 20
+#: Sizes whose costs are looked at for the boundary between light and heavy; at 64 a set has 10**10 subsets and more.
+MOST_LIGHT = 64
 SKETCH = 8
 #: Words of the second sketch, that sets of more than SMALL shingles have in lists.
 MIDDLE = 32
 SMALL = 96
 #: Ids of documents in candidate pairs, 8 MB of them at most, that may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: Sets, and their shingles, in a block of representatives that are compared; distinct shingles that are columns of one product.
+LINK_SETS, LINK_SHINGLES, LINK_COLUMNS = 512, 1 << 18, 4096
 
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93]
 
@@ -61,6 +67,14 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(mix64(out))
 
 
+def set_digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two signed numbers, that tell sets apart."""
+    import xxhash
+
+    high, low = divmod(xxhash.xxh3_128_intdigest(shingles.tobytes()), 1 << 64)
+    return high - (1 << 63), low - (1 << 63)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
@@ -170,17 +184,17 @@ def light_bound(sizes: dict[int, int], percent: int, scanned: float) -> int:
 
 
 def postings(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc, n, tokens, sk, mid_sk, long_sk) for every row: the size of its set, its subset keys and inverted lists, its sketches."""
+    """(doc, n, d1, d2, tokens, sk, mid_sk, long_sk) for every row: the size and digest of its set, its subset keys and inverted lists, its sketches."""
     ranked, ranks, sizes, scanned = frequent_shingles(rows, n)
     b = light_bound(sizes, percent, scanned)
     known = rows.sparkSession.sparkContext.broadcast((ranked, ranks))  # RANKED entries at most
     first = -(-(b + 1) * percent // 100)
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("sk", pa.list_(pa.int64())), ("mid_sk", pa.list_(pa.int64())), ("long_sk", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int64())), ("sk", pa.list_(pa.int64())), ("mid_sk", pa.list_(pa.int64())), ("long_sk", pa.list_(pa.int64()))])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, ranks = known.value
         for keys, texts in each(batches, "doc", "text"):
-            docs, counts, tokens, sketches, middle, longer = [], [], [], [], [], []
+            docs, counts, digests, tokens, sketches, middle, longer = [], [], [], [], [], [], []
             for doc, t in zip(keys.to_pylist(), as_bytes(texts), strict=True):
                 s = shingle_set(t, n)
                 own = []
@@ -190,13 +204,14 @@ def postings(rows: DataFrame, n: int, percent: int) -> DataFrame:
                     own.append(ordered(s, ranked, ranks)[: prefix_length(len(s), percent)])
                 docs.append(doc)
                 counts.append(len(s))
+                digests.append(set_digest(s))
                 tokens.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
                 sketches.append(sketch(s))
                 middle.append(middle_sketch(s))
                 longer.append(long_sketch(s))
-            yield batch(schema, doc=docs, n=counts, tokens=tokens, sk=sketches, mid_sk=middle, long_sk=longer)
+            yield batch(schema, doc=docs, n=counts, d1=[d[0] for d in digests], d2=[d[1] for d in digests], tokens=tokens, sk=sketches, mid_sk=middle, long_sk=longer)
 
-    return rows.mapInArrow(post, "doc long, n int, tokens array<long>, sk array<long>, mid_sk array<long>, long_sk array<long>")
+    return rows.mapInArrow(post, "doc long, n int, d1 long, d2 long, tokens array<long>, sk array<long>, mid_sk array<long>, long_sk array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -285,6 +300,7 @@ def leader_pairs(shared: DataFrame, marks: DataFrame, percent: int) -> DataFrame
     worth = worth.select("doc", F.least(F.lit(1000), (1000 * F.col("in_lists") / prefix).cast("int")).alias("worth"), size_class.alias("class"))
     entry = shared.join(worth, "doc")
     leaders = entry.groupBy("token", "class").agg(F.max_by("doc", F.struct("worth", -F.col("doc"))).alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    leaders = written(leaders, "leaders")  # so that the join has a shuffle of its own, whose hot lists can be split
     return entry.join(leaders, ["token", "class"]).where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
 
 
@@ -293,7 +309,7 @@ def grouped(shared: DataFrame, links: DataFrame, least: int) -> DataFrame:
     found = components(links).select("doc", F.col("component").alias("group"))
     side = written(shared.join(found, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "grouped")
     open_lists = side.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count(F.lit(1)).alias("k")).where((F.col("k") >= least) & (F.col("g") != F.col("h"))).select("token")
-    return written(side.join(open_lists, "token"), "open")
+    return written(side.join(written(open_lists, "open-lists"), "token"), "open")
 
 
 def drawn_pairs(side: DataFrame) -> DataFrame:
@@ -324,14 +340,18 @@ def checked(pairs: DataFrame, marks: DataFrame, rows: DataFrame, n: int, percent
     return written(similar(pairs, sets, percent), "links")
 
 
+def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+
+
 def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """((doc, n) for every row, links (a, b)): the links' components are those of all links; copies of a leader are linked through it."""
+    """((doc, n, d1, d2) for every row, links (a, b)): the links' components are those of all links; copies of a leader are linked through it."""
     bounded_batches(df.sparkSession)
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    rows = keyed_texts(df, key, text)
     posted = written(postings(rows, n, percent), "posted")
     entries = posted.where("doc IS NOT NULL").select(F.explode("tokens").alias("token"), "doc")
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    shared = written(entries.join(lists, "token").distinct(), "lists")
+    lists = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "list-tokens")
+    shared = written(entries.join(lists, "token"), "lists")  # a key of several rows may be in a list twice
     known = posted.where("doc IS NOT NULL").select("doc", "n", "sk", "mid_sk", "long_sk")
     marks = written(known.join(shared.select("doc").distinct(), "doc", "left_semi").distinct(), "marks")
 
@@ -339,7 +359,7 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     side = grouped(shared, links, 2)
     links = links.unionByName(checked(drawn_pairs(side), marks, rows, n, percent))
     side = grouped(side.select("token", "doc"), links, 3)  # of two documents that a list holds, one was drawn and met the other
-    return posted.select("doc", "n"), links.unionByName(checked(remaining_pairs(side, marks, percent), marks, rows, n, percent))
+    return posted.select("doc", "n", "d1", "d2"), links.unionByName(checked(remaining_pairs(side, marks, percent), marks, rows, n, percent))
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -353,10 +373,72 @@ def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(build, "doc long, s array<long>")
 
 
+def common_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """(sets, others): sizes of the intersections, by products of incidence matrices of LINK_COLUMNS shingles each."""
+    out = np.zeros((len(sets), len(others)), np.int64)
+    whole = np.concatenate([*sets, *others])
+    owner = np.repeat(np.arange(len(sets) + len(others)), [len(s) for s in (*sets, *others)])
+    found, column, times = np.unique(whole, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # a shingle of one set alone is in no intersection
+    inside = times[column] > 1
+    column, owner = number[column[inside]], owner[inside]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_COLUMNS):
+        a, b = np.searchsorted(column, (start, start + LINK_COLUMNS))
+        matrix = np.zeros((len(sets) + len(others), LINK_COLUMNS), np.float32)
+        matrix[owner[a:b], column[a:b] - start] = 1
+        out += np.rint(matrix[: len(sets)] @ matrix[len(sets) :].T).astype(np.int64)  # at most LINK_COLUMNS, so exact
+    return out
+
+
+def link_counts(found: DataFrame, sizes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc, n_links): how many other documents each document of (doc, component) links with.
+
+    Sets of a component are cut into blocks by hash; every pair of blocks is one group, of bounded size, whatever the size of the component.
+    """
+    key = ["component", "d1", "d2"]
+    members = written(found.join(sizes.where("n > 0"), "doc").select("doc", "n", *key).distinct(), "members")
+    different = members.groupBy(*key).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    whole = different.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where("k > 1")
+    blocks = F.greatest(F.ceil(F.col("k") / LINK_SETS), F.ceil(F.col("shingles") / LINK_SHINGLES)).cast("int")
+    several = written(different.join(whole.select("component", blocks.alias("blocks")), "component"), "representatives")
+    wanted = several.select(F.col("rep").alias("doc")).distinct()
+    sets = shingle_sets(rows.join(F.broadcast(wanted) if several.count() <= BROADCAST_IDS else wanted, "doc", "left_semi"), n)
+    schema = pa.schema([("doc", pa.int64()), ("s", pa.list_(pa.int64())), ("d1", pa.int64()), ("d2", pa.int64())])
+
+    def with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, lists in each(batches, "doc", "s"):
+            digests = [set_digest(np.array(x, np.int64)) for x in lists]
+            yield batch(schema, doc=docs, s=lists, d1=[d[0] for d in digests], d2=[d[1] for d in digests])
+
+    def counted(group: pa.Table) -> pa.Table:
+        own, two = group["own"].to_numpy(), group["i"][0] != group["j"][0]  # a block of the two may be empty
+        sets = [np.asarray(x.values) for x in group["s"].combine_chunks()]
+        size, times = np.array([len(s) for s in sets], np.int64), group["m"].to_numpy()
+        a, b = (np.flatnonzero(own == 0), np.flatnonzero(own == 1)) if two else (np.arange(len(own)), np.arange(len(own)))
+        common = common_counts([sets[i] for i in a], [sets[i] for i in b])
+        linked = 100 * common >= percent * (size[a][:, None] + size[b][None] - common)
+        out = np.zeros(len(own), np.int64)
+        if two:
+            out[a], out[b] = linked @ times[b], times[a] @ linked
+        else:
+            np.fill_diagonal(linked, False)
+            out = linked @ times
+        return pa.table({"component": group["component"], "d1": group["d1"], "d2": group["d2"], "linked": pa.array(out, pa.int64())})
+
+    sets = written(sets.mapInArrow(with_digests, "doc long, s array<long>, d1 long, d2 long").distinct(), "representative-sets")
+    placed = several.join(sets.withColumnRenamed("doc", "rep"), ["rep", "d1", "d2"]).withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key, "m", "s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("own"))
+    linked = dealt.groupBy("component", "i", "j").applyInArrow(counted, "component long, d1 long, d2 long, linked long").groupBy(*key).agg(F.sum("linked").alias("linked"))
+    of_set = different.join(linked, key, "left").select(*key, (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("own"))
+    return members.join(of_set, key).groupBy("doc").agg(F.sum("own").cast("long").alias("n_links"))
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc, n_shingles, component_id, n_links) for every row of ``df``; n_links are the links that were found to connect it, not all that there are."""
+    """(doc, n_shingles, component_id, n_links) for every row of ``df``; n_links is the number of all other documents that it links with."""
     sizes, links = link_documents(df, key, text, n, percent)
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
-    found = components(links).join(degree, "doc", "left")
-    out = sizes.join(found, "doc", "left")
+    found = written(components(links), "components")
+    counts = link_counts(found, sizes, keyed_texts(df, key, text), n, percent)
+    out = sizes.join(found.join(counts, "doc", "left"), "doc", "left")
     return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

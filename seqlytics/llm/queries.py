@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n FROM n WHERE n.doc_id = b.doc_id) - count(*))),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(r.b) FROM r WHERE r.a = w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id""",
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(r.b) FROM r WHERE r.a = w.doc_id) AS component_id, (SELECT count(*) FROM l WHERE l.a = w.doc_id) AS n_links FROM w LEFT JOIN n ON n.doc_id = w.doc_id""",
     "op7_decontamination": f"""
 WITH v AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
 k AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS k FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM v WHERE len(w) > 0)),

@@ -23,6 +23,7 @@ def brute(rows, n, percent):
         return x
 
     ids = sorted(d for d in sets if d is not None)
+    degree = dict.fromkeys(sets, 0)
     for i, a in enumerate(ids):
         for b in ids[:i]:
             for x in sets[a]:
@@ -30,7 +31,9 @@ def brute(rows, n, percent):
                     if x and y and 100 * len(x & y) >= percent * len(x | y):
                         p, q = sorted((root(a), root(b)))
                         parent[q] = p
-    return {d: (sorted(map(len, s)), root(d)) for d, s in sets.items()}
+                        degree[a] += 1
+                        degree[b] += 1
+    return {d: (sorted(map(len, s)), root(d), degree[d]) for d, s in sets.items()}
 
 
 def corpus(seed, documents=120):
@@ -59,7 +62,25 @@ def test_components_equal_brute_force(spark, seed, n, percent):
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=n, percent=percent).collect()
     want = brute(rows, n, percent)
     assert len(got) == len(rows)
-    assert {r["doc"]: ([r["n_shingles"]], r["component_id"]) for r in got} == want
+    assert {r["doc"]: ([r["n_shingles"]], r["component_id"], r["n_links"]) for r in got} == want
+
+
+@pytest.mark.parametrize(("sets", "shingles", "columns"), [(3, 1 << 18, 4096), (512, 500, 64)])
+def test_links_are_counted_across_blocks(spark, monkeypatch, sets, shingles, columns):
+    """One group of near copies, in many blocks: no link between different texts is lost, though few pairs were compared to connect them."""
+    rng = random.Random(8)
+    base = [f"x{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(rng.randrange(5)):
+            text[rng.randrange(len(text))] = f"y{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, rows[i % 7][1].upper()) for i in range(40)] + [(300, " ".join(f"z{i}" for i in range(3000))), (301, " ".join(f"z{i}" for i in range(2990)))]
+    for name, value in (("LINK_SETS", sets), ("LINK_SHINGLES", shingles), ("LINK_COLUMNS", columns)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc"]: ([r["n_shingles"]], r["component_id"], r["n_links"]) for r in got} == brute(rows, 4, 85)
 
 
 def test_group_of_copies_is_linked_through_leaders(spark):
