@@ -3,15 +3,17 @@
 A page becomes a tree of its block elements; elements of the same name, id and class that repeat under one parent fold into one
 node. The trees of a host's pages are aligned pairwise by simple tree matching and merged: a node whose text never changes is part
 of the host's template, one whose text varies is a slot. Trees merge within each task first, then in two grouped steps, so a host
-may own any share of all pages; a template is as large as a page's skeleton.
+may own any share of all pages; a template has at most ``MOST_NODES`` nodes, those that most pages have.
 
-``extract`` aligns every page with its host's template and joins, in page order, the blocks that are content: those in the page's
-article (or main) element if it has one, else those of the body in slots that are not link lists; without elements that say they are
-menus, headers, footers, sidebars, notices, adverts, forms or comments; without template nodes. In an article or main element a template
-node is content all the same, unless its few words say what it is (share, subscribe and the like).
+The slots say where the content is: from the root one goes down to the child that holds at least ``DOMINANT`` of the text in slots, links apart, until
+the blocks of text are the children themselves, or no child holds so much. Every page is aligned with its host's template, and the
+blocks below that node are joined in page order, constant ones too, with the headings beside the way to it. Names only settle what is left: inside the
+content they drop elements that say they are menus, headers, footers, sidebars, notices, adverts, forms or comments, and blocks of a few words that are
+the same on all pages and name such things; where no child dominates, articles and main elements are preferred; outside of these, blocks that are mostly links are dropped. A page
+that has nothing at its host's content node is judged by its own tree, as are pages of hosts with few pages.
 
 Defined results: null or empty html, or html without text, gives an empty text; a null url has the empty host; a host with fewer than
-``MIN_PAGES`` pages has no template nodes; unclosed and stray tags are closed or skipped; repeated rows are extracted each; an empty table
+``MIN_PAGES`` pages has no constant nodes; unclosed and stray tags are closed or skipped, and elements nested to any depth; repeated rows are extracted each; an empty table
 gives an empty table. Other columns of the input are ignored.
 """
 
@@ -20,7 +22,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from typing import Any
 from html import unescape
 
 import pyarrow as pa
@@ -32,6 +35,10 @@ from .common import batch, bounded_batches, each, written
 from .urls import host_of
 
 MIN_PAGES = 3
+#: The share of a node's text in slots that a child must hold to be gone down to.
+DOMINANT = 0.8
+#: Beyond so many nodes a template loses those that the fewest pages have.
+MOST_NODES = 4096
 #: Groups of tasks whose templates of one host are merged first.
 SPREAD = 64
 
@@ -58,22 +65,22 @@ SKIPPED_WORDS = frozenset(
 LAYOUT_WORDS = frozenset("has with no without layout page wrapper container".split())
 #: In an article these name its own head.
 HEAD_WORDS = frozenset(("header", "masthead"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_WORDS = frozenset(("articlebody", "main"))
 VARIES = -1
-#: A template node in an article is dropped if it has at most so many words, one of them in SKIPPED_WORDS.
+#: A constant node in the content, no heading, is dropped if it has at most so many words, one of them in SKIPPED_WORDS.
 LABEL_WORDS = 4
 
 
 class Node:
-    """A folded element: its key, children, the hash of its text (None: no text yet, VARIES), pages that have text here, characters and those in links."""
+    """A folded element: its key, children, the hash of its text (None: no text yet, VARIES), pages that have it, characters and those in links."""
 
-    __slots__ = ("chars", "children", "const", "cursor", "key", "links", "main", "pages", "skip", "text")
+    __slots__ = ("chars", "children", "cursor", "key", "links", "pages", "text")
 
     def __init__(self, key: str) -> None:
         self.key, self.children = key, []
         self.text: int | None = None
-        self.pages = self.chars = self.links = self.cursor = 0
-        self.const = self.skip = self.main = False
+        self.pages, self.chars, self.links, self.cursor = 1, 0, 0, 0
 
     def child(self, key: str) -> Node:
         """The folded child of this key at or after the cursor, or a new one there."""
@@ -92,17 +99,31 @@ class Node:
     def see(self, text: str, links: int) -> None:
         h = zlib.crc32(text.encode()) << 16 | len(text) & 0xFFFF
         self.text = h if self.text in (None, h) else VARIES
-        self.pages, self.chars, self.links = 1, self.chars + len(text), self.links + links
+        self.chars, self.links = self.chars + len(text), self.links + links
 
-    def dump(self) -> list:
-        return [self.key, self.text, self.pages, self.chars, self.links, [c.dump() for c in self.children]]
+    def below(self) -> list[tuple[Node, int]]:
+        """All nodes, parents first, with the place of their parent in the list (-1 for this one)."""
+        out: list[tuple[Node, int]] = [(self, -1)]
+        waiting = [(c, 0) for c in reversed(self.children)]
+        while waiting:
+            node, parent = waiting.pop()
+            out.append((node, parent))
+            waiting += [(c, len(out) - 1) for c in reversed(node.children)]
+        return out
+
+    def dump(self) -> str:
+        return json.dumps([[n.key, n.text, n.pages, n.chars, n.links, p] for n, p in self.below()])
 
     @staticmethod
-    def load(x: list) -> Node:
-        n = Node(x[0])
-        n.text, n.pages, n.chars, n.links = x[1:5]
-        n.children = [Node.load(c) for c in x[5]]
-        return n
+    def load(data: str) -> Node:
+        nodes: list[Node] = []
+        for key, text, pages, chars, links, parent in json.loads(data):
+            n = Node(key)
+            n.text, n.pages, n.chars, n.links = text, pages, chars, links
+            nodes.append(n)
+            if parent >= 0:
+                nodes[parent].children.append(n)
+        return nodes[0]
 
 
 def describe(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
@@ -210,14 +231,33 @@ def parse(html: str) -> tuple[Node, list[tuple[str, Node, bool, bool]]]:
     return root, blocks
 
 
-def match(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+Steps = Generator["Steps", Any, Any]
+
+
+def settled(steps: Steps) -> Any:
+    """The result of a generator that yields generators for their results: recursion of any depth on a stack of our own."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
+def matching(a: list[Node], b: list[Node], known: dict[tuple[int, int], int]) -> Steps:
     """Simple tree matching of two child lists: pairs of positions, in order, with the most matching nodes below."""
     if len(a) == len(b) and all(x.key == y.key for x, y in zip(a, b, strict=True)):
         return [(i, i) for i in range(len(a))]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight(x, y))
+            both = 0
+            if x.key == y.key and (both := known.get((id(x), id(y)))) is None:
+                both = known[id(x), id(y)] = yield weight(x, y, known)
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + both)
     out, i, j = [], len(a), len(b)
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -230,37 +270,80 @@ def match(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def weight(x: Node, y: Node) -> int:
-    """How many nodes of two trees match, 0 if their roots do not."""
-    if x.key != y.key:
-        return 0
-    return 1 + sum(weight(x.children[i], y.children[j]) for i, j in match(x.children, y.children))
+def weight(x: Node, y: Node, known: dict[tuple[int, int], int]) -> Steps:
+    """How many nodes of two trees with equal roots match."""
+    total = 1
+    for i, j in (yield matching(x.children, y.children, known)):
+        if (both := known.get((id(x.children[i]), id(y.children[j])))) is None:
+            both = yield weight(x.children[i], y.children[j], known)
+        total += both
+    return total
+
+
+def match(a: list[Node], b: list[Node], known: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    return settled(matching(a, b, known))
 
 
 def merge(into: Node, other: Node) -> Node:
     """``into`` with the nodes, texts and counts of ``other``; nodes without a match are inserted in order."""
-    into.pages, into.chars, into.links = into.pages + other.pages, into.chars + other.chars, into.links + other.links
-    if other.text is not None:
-        into.text = other.text if into.text in (None, other.text) else VARIES
-    pairs = {j: i for i, j in match(into.children, other.children)}
-    out, done = [], 0
-    for j, child in enumerate(other.children):
-        if j in pairs:
-            out += into.children[done : pairs[j] + 1]
-            done = pairs[j] + 1
-            merge(out[-1], child)
-        else:
-            out.append(child)
-    into.children = out + into.children[done:]
+    waiting, known, kept = [(into, other)], {}, []
+    while waiting:
+        x, y = waiting.pop()
+        x.pages, x.chars, x.links = x.pages + y.pages, x.chars + y.chars, x.links + y.links
+        if y.text is not None:
+            x.text = y.text if x.text in (None, y.text) else VARIES
+        pairs = {j: i for i, j in match(x.children, y.children, known)}
+        out, done = [], 0
+        for j, child in enumerate(y.children):
+            if j in pairs:
+                out += x.children[done : pairs[j] + 1]
+                done = pairs[j] + 1
+                waiting.append((out[-1], child))
+            else:
+                out.append(child)
+        kept.append(x.children)  # so that no id is used again while ``known`` is
+        x.children = out + x.children[done:]
     return into
 
 
-def mark(page: Node, template: Node) -> None:
-    """Marks the nodes of a page that are constant in the template; takes over how much of a slot is links."""
-    page.const = template.pages >= MIN_PAGES and template.text == page.text and page.text not in (None, VARIES)
-    page.chars, page.links = template.chars, template.links
-    for i, j in match(page.children, template.children):
-        mark(page.children[i], template.children[j])
+def pruned(root: Node, most: int = MOST_NODES) -> Node:
+    """``root`` with at most about ``most`` nodes: those of the fewest pages go, with all below them, which have no more. Their pages' blocks are slots then."""
+    nodes = [n for n, _ in root.below()]
+    if len(nodes) <= most:
+        return root
+    least = sorted((n.pages for n in nodes), reverse=True)[most]
+    for n in nodes:
+        n.children = [c for c in n.children if c.pages > least]
+    return root
+
+
+def content_path(root: Node) -> tuple[list[Node], bool]:
+    """The nodes from the root to the one whose text in slots is the content, and whether its blocks are the content themselves (else its children compete)."""
+    nodes = root.below()
+    few = root.pages < MIN_PAGES
+
+    def volumes(constant_too: bool) -> list[int]:
+        out = [max(0, n.chars - n.links) if constant_too or few or n.text == VARIES or n.pages < MIN_PAGES else 0 for n, _ in nodes]
+        for at in range(len(nodes) - 1, 0, -1):
+            out[nodes[at][1]] += out[at]
+        return out
+
+    whole = volumes(False)
+    if not whole[0]:
+        whole = volumes(True)
+    by_node = {id(n): v for (n, _), v in zip(nodes, whole, strict=True)}
+    path = [root]
+    while True:
+        node = path[-1]
+        total = by_node[id(node)]
+        inner = [c for c in node.children if c.children]
+        own = total - sum(by_node[id(c)] for c in inner)  # what its leaves, and it itself, hold
+        if 2 * own >= total:
+            return path, True
+        top = max(inner, key=lambda c: by_node[id(c)])
+        if by_node[id(top)] < DOMINANT * total:
+            return path, False
+        path.append(top)
 
 
 def labels_itself(text: str) -> bool:
@@ -269,18 +352,55 @@ def labels_itself(text: str) -> bool:
     return len(words) <= LABEL_WORDS and not SKIPPED_WORDS.isdisjoint(words)
 
 
-def main_text(html: str | None, template: Node | None) -> str:
+def content_blocks(page: Node, blocks: list[tuple[str, Node, bool, bool]], template: Node, path: list[Node], own: bool) -> list[str]:
+    """The texts of a page's blocks that are content by the template's path to it; empty if the page has none there."""
+    on_path, target = {id(n): k for k, n in enumerate(path)}, path[-1]
+    inside: dict[int, Node | None] = {}  # page nodes in the content, with their template nodes
+    heads: set[int] = set()
+    waiting: list[tuple[Node, Node | None, bool]] = [(page, template, template is target)]
+    known: dict[tuple[int, int], int] = {}
+    while waiting:
+        node, seen, here = waiting.pop()
+        if here:
+            inside[id(node)] = seen
+        pairs = dict(match(node.children, seen.children, known)) if seen is not None and (here or id(seen) in on_path) else {}
+        for i, child in enumerate(node.children):
+            other = seen.children[pairs[i]] if seen is not None and i in pairs else None
+            if here or other is target or (other is not None and id(other) in on_path):
+                waiting.append((child, other, here or other is target))
+            elif child.key.partition(" ")[0] in HEADINGS:
+                heads.add(id(child))
+    found = [(text, node, skip, main, id(node) in heads) for text, node, skip, main in blocks if id(node) in inside or id(node) in heads]
+    if not any(not head for *_, head in found):
+        return []
+    named = [b for b in found if not b[2]]
+    if not own and (inner := [b for b in named if b[3]]):
+        named = inner
+
+    def links_only(block: tuple[str, Node, bool, bool, bool]) -> bool:
+        seen = inside.get(id(block[1])) or block[1]
+        return not (block[3] or block[4] or block[1].key.partition(" ")[0] in HEADINGS) and 2 * seen.links > seen.chars
+
+    named = [b for b in named if not links_only(b)] or named
+    named = named or found
+
+    def label(block: tuple[str, Node, bool, bool, bool]) -> bool:
+        text, node, _, _, _ = block
+        seen = inside.get(id(node))
+        constant = seen is not None and seen.pages >= MIN_PAGES and seen.text == node.text and node.text not in (None, VARIES)
+        return constant and node.key.partition(" ")[0] not in HEADINGS and labels_itself(text)
+
+    return [b[0] for b in named if not label(b)] or [b[0] for b in named]
+
+
+def main_text(html: str | None, template: Node | None, path: tuple[list[Node], bool] | None = None) -> str:
+    """The content of a page; ``path`` is that of the template, if it is known already."""
     root, blocks = parse(html or "")
-    if template is not None:
-        mark(root, template)
-    kept = [b for b in blocks if not b[2]]
-    if inner := [b for b in kept if b[3]]:
-        kept = inner
-        slots = [b for b in kept if not (b[1].const and labels_itself(b[0]))]
-    else:
-        kept = [b for b in kept if 2 * b[1].links <= b[1].chars] or kept
-        slots = [b for b in kept if not b[1].const]
-    return " ".join(b[0] for b in slots or kept)
+    if not blocks:
+        return ""
+    if template is not None and (texts := content_blocks(root, blocks, template, *(path or content_path(template)))):
+        return " ".join(texts)
+    return " ".join(content_blocks(root, blocks, root, *content_path(root)) or [b[0] for b in blocks])
 
 
 def induce(pages: DataFrame) -> DataFrame:
@@ -291,16 +411,16 @@ def induce(pages: DataFrame) -> DataFrame:
         for hosts, htmls in each(batches, "host", "html"):
             for host, html in zip(hosts.to_pylist(), htmls.to_pylist(), strict=True):
                 tree = parse(html or "")[0]
-                own[host] = merge(own[host], tree) if host in own else tree
+                own[host] = pruned(merge(own[host], tree)) if host in own else pruned(tree)
         lane = TaskContext.get().partitionId() % SPREAD
-        yield pa.RecordBatch.from_pydict({"host": pa.array(own.keys(), pa.string()), "lane": pa.array([lane] * len(own), pa.int32()), "template": pa.array([json.dumps(t.dump()) for t in own.values()], pa.string())})
+        yield pa.RecordBatch.from_pydict({"host": pa.array(own.keys(), pa.string()), "lane": pa.array([lane] * len(own), pa.int32()), "template": pa.array([t.dump() for t in own.values()], pa.string())})
 
     def joined(templates: pa.Table) -> pa.Table:
         whole = None
         for t in templates["template"].to_pylist():
-            tree = Node.load(json.loads(t))
-            whole = tree if whole is None else merge(whole, tree)
-        return pa.table({"host": templates["host"][:1].cast(pa.string()), "template": pa.array([json.dumps(whole.dump())], pa.string())})
+            tree = Node.load(t)
+            whole = tree if whole is None else pruned(merge(whole, tree))
+        return pa.table({"host": templates["host"][:1].cast(pa.string()), "template": pa.array([whole.dump()], pa.string())})
 
     first = pages.mapInArrow(partial, "host string, lane int, template string")
     schema = "host string, template string"
@@ -318,12 +438,12 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, links, htmls, known in each(batches, "key", "url", "html", "template"):
             # A batch may hold a host's template for each of its pages; it is parsed once.
-            loaded: dict[str | None, Node | None] = {None: None}
+            loaded: dict[str | None, tuple] = {None: (None, None)}
             out = []
             for page, t in zip(htmls.to_pylist(), known.to_pylist(), strict=True):
                 if t not in loaded:
-                    loaded[t] = Node.load(json.loads(t))
-                out.append(main_text(page, loaded[t]))
+                    loaded[t] = (tree := Node.load(t), content_path(tree))
+                out.append(main_text(page, *loaded[t]))
             yield batch(schema, key=keys, url=links, text=out, n_chars=[len(x) for x in out])
 
     joined = pages.join(templates, "host", "left").select("key", "url", "html", "template")
