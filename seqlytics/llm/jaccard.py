@@ -431,7 +431,8 @@ def link_counts(found: DataFrame, sizes: DataFrame, rows: DataFrame, n: int, per
     placed = several.join(sets.withColumnRenamed("doc", "rep"), ["rep", "d1", "d2"]).withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key, "m", "s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("own"))
     linked = dealt.groupBy("component", "i", "j").applyInArrow(counted, "component long, d1 long, d2 long, linked long").groupBy(*key).agg(F.sum("linked").alias("linked"))
-    of_set = different.join(linked, key, "left").select(*key, (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("own"))
+    # Written, so that the join with all members has a shuffle of its own, in which a set of many copies can be split.
+    of_set = written(different.join(linked, key, "left").select(*key, (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("own")), "set-links")
     return members.join(of_set, key).groupBy("doc").agg(F.sum("own").cast("long").alias("n_links"))
 
 
