@@ -2,6 +2,7 @@
 
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqlytics.llm import shards
@@ -51,3 +52,56 @@ def test_target_bytes_odd_counts_and_empty(spark):
     assert shards.kd_shards(df.limit(0), "doc_id", "text", dims(), shards=8).collect() == []
     few = shards.kd_shards(df.limit(2), "doc_id", "text", dims(), shards=8).collect()
     assert len(few) == 2
+
+
+def brute(rows, dims, leaves, slack=0.002):
+    """Plain recursion over sorted lists: (key, node) of rows (key, size, text_hash, row_hash, dims...)."""
+    whole = {d: max(r[d] for r in rows) - min(r[d] for r in rows) for d in dims}
+
+    def at(part, key, want, total):
+        """How many of the rows, in order, go left."""
+        run = 0
+        groups = {}
+        for r in part:
+            groups.setdefault(key[0](r), []).append(r)
+        n = 0
+        for v in sorted(groups):
+            size = sum(r["size"] for r in groups[v])
+            if run + size >= want or v == max(groups):
+                short, over = want - run, run + size - want
+                if len(key) == 1 or min(short, over) <= slack * total:
+                    return n + (len(groups[v]) if over <= short else 0)
+                return n + at(sorted(groups[v], key=key[1]), key[1:], want - run, total)
+            run, n = run + size, n + len(groups[v])
+        return n
+
+    def cut(part, label, k):
+        if k == 1 or not part:
+            return [(r["key"], label) for r in part]
+        spread = lambda d: ((max(r[d] for r in part) - min(r[d] for r in part)) / (whole[d] or 1), d)
+        d = max(dims, key=spread)
+        order = [lambda r: r[d], lambda r: r["text_hash"], lambda r: r["row_hash"]]
+        part = sorted(part, key=lambda r: tuple(f(r) for f in order))
+        total = sum(r["size"] for r in part)
+        n = at(part, order, total * (k // 2) / k, float(total))
+        return cut(part[:n], label, k // 2) + cut(part[n:], label + k // 2, k - k // 2)
+
+    return sorted(cut(rows, 0, leaves))
+
+
+@pytest.mark.parametrize(("leaves", "bounds", "nodes"), [(8, 1 << 14, 1000), (37, 16, 1000), (16, 64, 0), (1, 16, 5)])
+def test_cuts_equal_brute_force(spark, monkeypatch, leaves, bounds, nodes):
+    """Ties, groups of copies and a very long text; few bounds, so many rounds; nodes joined and broadcast."""
+    monkeypatch.setattr(shards, "BOUNDS", bounds)
+    monkeypatch.setattr(shards, "BROADCAST_NODES", nodes)
+    rows = [(i, f"t{i % 40} " * (i * 13 % 29), f"l{i % 5}") for i in range(300)] + [(500 + i, "copy " * 9, "l1") for i in range(90)] + [(900, "y" * 50_000, "l2"), (901, None, None), (902, "", "l0")]
+    sized = shards.sized(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", dims())
+    want = brute([r.asDict() for r in sized.collect()], ["dim_chars", "dim_lang"], leaves)
+    assert sorted((r["key"], r["shard"]) for r in shards.split(sized, leaves).collect()) == want
+
+
+def test_plans_do_not_grow_with_the_leaves(spark):
+    rows = spark.createDataFrame([(i, "x" * (i % 97), "l") for i in range(600)], "doc_id long, text string, lang string")
+    sized = shards.sized(rows, "doc_id", "text", dims())
+    sizes = [len(shards.split(sized, n)._jdf.queryExecution().toString()) for n in (8, 64)]
+    assert sizes[1] < 1.2 * sizes[0]
