@@ -70,9 +70,9 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     return counts.where(bins >= least) if least is not None else counts.limit(0)
 
 
-def hashed_sample(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+def hashed_sample(df: DataFrame, key: tuple[str, ...], most: int, seed: int) -> DataFrame:
     """About 0.9 * ``most`` rows of ``df``, or all if there are no more than that: those whose key's hash is below a bound."""
     n = df.count()
     if n <= most:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(0.9 * most / n * (1 << 30)))
+    return df.where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) < int(0.9 * most / n * (1 << 30)))

@@ -113,9 +113,9 @@ def known_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def labelled_features(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``sample_rows`` rows of each class. The sample is what is broadcast, and what comes to the driver."""
+    """Features and labels of at most ``sample_rows`` labels of each class. The sample is what is broadcast; of its documents' different features at most 4 * ``sample_rows`` come to the driver."""
     known = known_labels(labels, key, label)
-    sample = hashed_sample(known.where("label = 0"), "key", sample_rows, 11).unionByName(hashed_sample(known.where("label = 1"), "key", sample_rows, 11))
+    sample = hashed_sample(known.where("label = 0"), ("key",), sample_rows, 11).unionByName(hashed_sample(known.where("label = 1"), ("key",), sample_rows, 11))
     rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "key")
     schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
 
@@ -123,7 +123,10 @@ def labelled_features(documents: DataFrame, labels: DataFrame, key: str, text: s
         for keys, given, texts in each(batches, "key", "label", "text"):
             yield batch(schema, key=keys, label=given, x=[features_of(t) for t in as_bytes(texts)])
 
-    got = sorted((r["key"], r["label"], r["x"]) for r in rows.select("key", "label", "text").mapInArrow(extract, "key long, label int, x array<double>").collect())
+    # A key may have any number of rows: equal ones count once, and different ones are thinned out by hash if they are too many.
+    found = written(rows.select("key", "label", "text").mapInArrow(extract, "key long, label int, x array<double>").distinct(), "quality-sample")
+    found = hashed_sample(found, ("key", "label", "x"), 4 * sample_rows, 13)
+    got = sorted((r["key"], r["label"], r["x"]) for r in found.collect())
     return np.array([g[2] for g in got], float).reshape(-1, len(FEATURES)), np.array([g[1] == 1 for g in got], bool)
 
 
@@ -161,8 +164,9 @@ def held_out(key: Column) -> Column:
 
 
 def score(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """``df`` with one more column, the score of its text."""
+    """``df`` with one more column, the score of its text; a column of that name is replaced."""
     bounded_batches(df.sparkSession)
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != column])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

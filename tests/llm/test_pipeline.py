@@ -22,7 +22,7 @@ def test_stages(spark, sf_dir):
 
     before = [(r["doc_id"], r["text"]) for r in kept.collect()]
     single = written(near(spark, kept, sf_dir), "t")
-    want = {d for d, (_, root) in groups(before, 5, 80).items() if d == root}
+    want = {d for d, (_, root, _) in groups(before, 5, 80).items() if d == root}
     assert single.columns == columns and {r["doc_id"] for r in single.collect()} == want
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

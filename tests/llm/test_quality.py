@@ -53,3 +53,42 @@ def test_without_labels(spark):
         model = quality.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
         assert abs(quality.score(docs, model).first()["score"] - quality.CUT_SCORE) < 1e-9
     assert quality.score(docs.limit(0), model).collect() == []
+
+
+def test_scores_equal_a_plain_version(spark, sf_dir):
+    """Features word by word, worths as plain sums, and the scores of the registered query."""
+    model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out(F.col("doc_id"))))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op4_quality(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        data, words = text.encode(), text.encode().split()
+        if words:
+            black = max(1, sum(c > 32 for c in data))
+            letters = max(1, sum(65 <= c <= 90 or 97 <= c <= 122 for c in data))
+            run = longest = 0
+            for a, b in zip(words, words[1:], strict=False):
+                run = run + 1 if a == b else 0
+                longest = max(longest, run)
+            symbols, lines = [c in b"#$%&*+<=>@^_`{}~\\|" for c in data], [x for x in data.split(b"\n") if x]
+            n = len(words)
+            x = [
+                np.log1p(n), np.log1p(black / n), sum(65 <= c <= 90 for c in data) / letters, sum(48 <= c <= 57 for c in data) / black, sum(c in b".,;:?!()'\"-" for c in data) / black, data.count(b"!") / n, sum(symbols) / n, data.count(b"|") / n,
+                sum(c > 127 for c in data) / black, data.count(b"\n") / n, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(w.isupper() for w in words) / n, sum(symbols) / black,
+                np.log1p(longest), max(map(words.count, set(words))) / n, 1 - len(set(lines)) / len(lines), data.count(b".") / n,
+            ]
+        else:
+            x = [0.0] * len(quality.FEATURES)
+        worth = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights, strict=True))
+        score = 1 / (1 + np.exp(-(worth - model.cut + np.log(0.7 / 0.3))))
+        assert abs(got[d]["score"] - score) < 1e-6 and got[d]["predicted"] == int(got[d]["score"] >= 0.7)
+
+
+def test_a_column_called_score_is_replaced_and_hot_keys_are_bounded(spark):
+    rows = [(i, f"plain words number {i} of it", 5.0) for i in range(50)] + [(1, "same", 5.0)] * 300 + [(2, f"other {i} #", 5.0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(50)], "doc_id long, quality int")
+    x, good = quality.labelled_features(docs, labels, "doc_id", "text", "quality", 20)
+    assert len(x) == len(good) <= 4 * 20
+    got = quality.score(docs, quality.fit(docs, labels, sample_rows=20))
+    assert got.columns == ["doc_id", "text", "score"] and got.where("score > 1").count() == 0 and got.count() == len(rows)
