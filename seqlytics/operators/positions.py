@@ -182,6 +182,7 @@ def kth_smallest(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """
     rounds = -(-_bits(rows) // ROUND)
     state = asked.select("qid", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), F.col("k").cast("long").alias("k"), F.lit(0).cast("long").alias("top")).where("k >= 0 AND l < r")
+    state = written(state, "kth")
     if not rounds:
         return state.where("false").select("qid", F.col("top").alias("kth"))
     fan = 1 << ROUND
@@ -197,4 +198,5 @@ def kth_smallest(rows: DataFrame, asked: DataFrame) -> DataFrame:
             digit = F.when(F.col("k") < upto[j], F.lit(j)).otherwise(digit)
             before = F.when(F.col("k") < upto[j], (upto[j - 1] if j else F.lit(0)).cast("long")).otherwise(before)
         state = digits.withColumn("_d", digit).where("_d IS NOT NULL").select("qid", "l", "r", (F.col("k") - before).alias("k"), (F.col("top") * fan + F.col("_d")).alias("top"))
+        state = written(state, "kth")  # a round reads it twice, so plans would double
     return state.select("qid", F.col("top").alias("kth"))
