@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqlytics.functions import words
 from seqlytics.operators import bits, ordered, positions, runs, storage, suffix
-from seqlytics.sources import store
+from seqlytics.sources import scratch, store
 from seqlytics.sources.scratch import written
 
 
@@ -43,7 +43,11 @@ def test_bit_ranks_selects_and_cursor(spark):
     text = "011101100010"
     b = bits.BitColumn.of(spark, text)
     assert [b.rank1(p) for p in range(13)] == [text[:p].count("1") for p in range(13)] and b.rank0(12) == 6
+    assert b.rank1_pair(2, 9) == (text[:2].count("1"), text[:9].count("1"))
     ones = [i for i, c in enumerate(text) if c == "1"]
+    assert [b.select1_nth(k) for k in range(8)] == [-1, *ones, -1] and b.select0_nth(1) == 0
+    inside = {r["pos"]: r["rank"] for r in bits.ranks_in_block(b.rows).collect()}
+    assert inside == {p: text[:p].count("1") for p in range(12)}
     assert [b.select(True, k) for k in range(7)] == [*ones, -1] and b.select(False, 0) == 0 and b.select(True, -1) == -1
     assert list(b.cursor(True)) == ones
     got = {r["pos"]: tuple(r)[2:] for r in bits.bit_ranks(b.rows).collect()}
@@ -90,6 +94,10 @@ def test_level_counts(spark):
 
 def test_packed_column(spark):
     p = bits.PackedColumn(rows_of(spark, [1, 2, 3]), 3, 7)
+    assert p.to_list() == [1, 2, 3] and bits.PackedColumn.of(p.rows, 2).n == 3
+    for bad in (rows_of(spark, [1, 4]), spark.createDataFrame([(1, 1)], "pos long, value long")):
+        with pytest.raises(ValueError):
+            bits.PackedColumn.of(bad, 2)
     assert p.max_value == 127 and p.set(1, 127).get(1) == 127 and p.get(1) == 2 and str(p.fill(9)) == "@[9, 9, 9]"
     for bad in (lambda: p.set(0, 128), lambda: p.fill(-1), lambda: words.mask_for_width(65)):
         with pytest.raises(ValueError):
@@ -102,6 +110,12 @@ def test_four_symbols(spark):
     values = [0, 3, 2, 2, 1, 3, 0, 2]
     q = bits.SymbolColumn(rows_of(spark, values))
     assert q.rank_all(6) == [1, 1, 2, 2] and q.rank(2, 8) == 3 and q.select(2, 2) == 7
+    assert q.rank_all_pair(2, 6) == ([1, 0, 0, 1], [1, 1, 2, 2]) and str(q) == "03221302"
+    assert str(q.set_symbols({0: 3, 7: 1})) == "33221301" and str(q.clear_symbol(1)) == "00221302"
+    for symbols, error in (({0: 4}, ValueError), ({0: -1}, ValueError), ({8: 1}, IndexError)):
+        with pytest.raises(error):
+            q.set_symbols(symbols)
+    assert q.storage_bytes() == {"raw": 8, "auxiliary": 64 + 16, "allocated": 88} and q.view_bytes() == 64 + 64 + 64 + 4 * 8
     with pytest.raises(ValueError):
         bits.SymbolColumn(rows_of(spark, [4]))
 
@@ -167,7 +181,7 @@ def test_symbol_runs(spark):
 def test_run_length_column(spark):
     values = [2, 2, 0, 1, 1, 1, 0, 2]
     r = suffix.RunLengthColumn(spark.createDataFrame(list(enumerate(values)), "pos long, sym long"))
-    assert r.run_count() == 5
+    assert r.run_count() == 5 and r.memory_usage() == storage.run_length_bytes(8, 5)
     for i, v in enumerate(values):
         assert r.access_rank(i) == (v, values[:i].count(v))
     for sym in (0, 1, 2, 5):
@@ -200,6 +214,42 @@ def test_save_and_load(spark, tmp_path):
         store.load(spark, str(tmp_path / "t"), ("nothing",))
 
 
+def test_reopening_is_checked(spark, tmp_path):
+    rows = rows_of(spark, [3, 1, 2])
+    store.save(rows, str(tmp_path / "t"), kind="quad", width=2, n=3)
+    back, about = store.reopen(spark, str(tmp_path / "t"), "quad", 2)
+    assert about["n"] == 3 == back.count()
+    store.save(rows.where("pos <> 1"), str(tmp_path / "gap"), kind="quad", width=2, n=2)
+    store.save(rows, str(tmp_path / "short"), kind="quad", width=2, n=4)
+    for path, kind, width in (("t", "msb", 2), ("t", "quad", 3), ("gap", "quad", 2), ("short", "quad", 2)):
+        with pytest.raises(ValueError):
+            store.reopen(spark, str(tmp_path / path), kind, width)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session())
+
+
+def test_view_and_level_bytes():
+    assert storage.bit_depth(268_435_457) == 7 and storage.bit_depth(2_147_483_649) == 8
+    assert storage.bit_view_bytes(513) == storage.bit_vector_bytes(513)
+    assert [storage.quad_view_bytes(n) for n in (0, 1, 33)] == [0, 64 + 64 + 8, 64 + 64 + 32]
+    assert storage.quad_wavelet_view_bytes(33, 0) == 0 and storage.quad_wavelet_view_bytes(33, 3) == 64 + 192 + 160
+    assert storage.hybrid_actual_bytes(0, []) == 136
+    with pytest.raises(ValueError):
+        storage.quad_view_bytes(-1)
+
+
 def test_count_before_with_hot_key(spark):
     rows = spark.createDataFrame([(5,)] * 300 + [(6,)], "x long")
     queries = spark.createDataFrame([(5,), (6,), (7,), (None,), (6,)], "v long")

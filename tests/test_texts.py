@@ -85,6 +85,62 @@ def test_trie_shape(spark):
     assert trie.order_correlation(nodes).first()[0] == pytest.approx(-0.8)  # in byte order the ids are 3, 1, 2, 0
 
 
+def naive_trie(strings):
+    """(prefix, parent, depth, label bytes, children) of every node, by plain prefixes."""
+    raw = sorted({s.encode() for s in strings})
+    nodes = {b"", *raw}
+    for a, b in zip(raw, raw[1:], strict=False):
+        k = 0
+        while k < min(len(a), len(b)) and a[k] == b[k]:
+            k += 1
+        nodes.add(a[:k])
+    parent = {n: max((m for m in nodes if m != n and n.startswith(m)), key=len, default=None) for n in nodes}
+    depth = {n: sum(m != n and n.startswith(m) for m in nodes) for n in nodes}
+    return sorted((n.hex().upper(), None if parent[n] is None else parent[n].hex().upper(), depth[n], len(n) - len(parent[n] or b""), sum(p == n for p in parent.values())) for n in nodes)
+
+
+@pytest.mark.parametrize("strings", [[], [""], ["a"], ["", "a", "ab", "abc", "abcd", "abcde", "b"], ["é", "è", "e", "東京", "東京都", "x" * 4000, "x" * 3999 + "y"]])
+def test_tries_equal_naive_ones(spark, strings):
+    nodes = trie.trie_nodes(spark.createDataFrame(list(enumerate(strings)), "id long, s string"))
+    rows = nodes.orderBy("node").collect()
+    assert [(r["prefix"], r["parent"], r["depth"], r["label_bytes"], r["children"]) for r in rows] == sorted(naive_trie(strings), key=lambda x: x[0])
+    assert [r["node"] for r in rows] == list(range(len(rows)))
+
+
+def test_trie_navigation_and_bytes(spark):
+    strings = ["application", "applicable", "applicant", "apple"]
+    nodes = trie.trie_nodes(spark.createDataFrame(list(enumerate(strings)), "id long, s string")).cache()
+    rows = nodes.orderBy("node").collect()
+    offsets = {r["node"]: r["first_child"] for r in trie.child_offsets(nodes).collect()}
+    at = 0
+    for r in rows:
+        assert offsets[r["node"]] == (at if r["children"] else -1)
+        at += r["children"]
+    ranges = {r["node"]: (r["first"], r["past"]) for r in trie.suffix_ranges(nodes).collect()}
+    assert sum(b - a for a, b in ranges.values()) == sum(max(0, r["label_bytes"] - 1) for r in rows)
+    widths = trie.parent_widths(nodes).collect()
+    assert [(r["block"], r["width"], r["words"]) for r in widths] == [(0, 2, 1)]
+    used = textdict.TextDictionary(nodes.where("terminal_id IS NOT NULL").selectExpr("terminal_id AS id", "decode(unhex(prefix), 'UTF-8') AS s")).memory_usage()
+    assert used["total"] == used["trie"] + used["fm_total"] and used["trie"] > 0
+    with pytest.raises(ValueError):
+        suffix.decode_byte(suffix.SEPARATOR)
+    assert [suffix.decode_byte(suffix.encode_byte(b)) for b in (0, 65, 255)] == [0, 65, 255]
+
+
+def test_equal_strings_by_what_follows(spark):
+    """Of equal strings the text index finds the one whose following text is smallest."""
+    strings = ["b", "x", "b", "a", "b", "x", "c"]
+    d = dictionary(spark, strings, distinct=False)
+    text = naive_text(strings)
+    start = [i for i, s in enumerate(text) if s == suffix.SEPARATOR]
+    for s in ("b", "x", "a"):
+        want = min((i for i, t in enumerate(strings) if t == s), key=lambda i: text[start[i] :])
+        assert d.find_exact_fm(s) == want
+    assert d.find_exact_fm("zz") is None and d.find_exact("b") == 0
+    asked = spark.createDataFrame([("b",), ("q",)], "s string")
+    assert {r["s"]: r["id"] for r in d.find_exact_batch(asked).collect()} == {"b": 0, "q": None}
+
+
 def naive_text(strings):
     out = []
     for s in strings:
