@@ -37,7 +37,7 @@ from .common import as_bytes, batch, bounded_batches, each, mix64, most_frequent
 #: Shingles whose order the whole join knows: the most frequent ones.
 RANKED = 200_000
 #: A task counts shingles of about so many words at a time.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 #: Sizes whose costs are looked at for the boundary between light and heavy; at 64 a set has 10**10 subsets and more.
 MOST_LIGHT = 64
 SKETCH = 8
@@ -47,7 +47,7 @@ SMALL = 96
 #: Ids of documents in candidate pairs, 8 MB of them at most, that may be broadcast.
 BROADCAST_IDS = 1_000_000
 #: Sets, and their shingles, in a block of representatives that are compared; distinct shingles that are columns of one product.
-LINK_SETS, LINK_SHINGLES, LINK_COLUMNS = 512, 1 << 18, 4096
+LINK_SETS, LINK_SHINGLES, LINK_COLUMNS = 128, 1 << 17, 4096
 
 ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93]
 
@@ -346,7 +346,7 @@ def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """((doc, n, d1, d2) for every row, links (a, b)): the links' components are those of all links; copies of a leader are linked through it."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, 4)
     rows = keyed_texts(df, key, text)
     posted = written(postings(rows, n, percent), "posted")
     entries = posted.where("doc IS NOT NULL").select(F.explode("tokens").alias("token"), "doc")
