@@ -157,6 +157,14 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=0))
 
 
+def picked_logs(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``log_softmax`` of each column at one row; ``x`` is overwritten."""
+    x -= x.max(axis=0)
+    out = x[rows, np.arange(len(rows))]
+    np.exp(x, out=x)
+    return out - np.log(x.sum(axis=0))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     """Of each column, in place."""
     x -= x.max(axis=0)
@@ -178,7 +186,7 @@ def log_shares(voc: Vocabulary) -> np.ndarray:
 def head_groups(ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(class, positions) of the head tokens among ``ranks``."""
     inside = np.flatnonzero(ranks < HEAD)
-    k = ranks[inside] // CLASS
+    k = (ranks[inside] // CLASS).astype(np.uint16)  # short numbers are sorted by their digits
     order = np.argsort(k, kind="stable")
     inside, k = inside[order], k[order]
     bounds = np.flatnonzero(np.diff(k)) + 1
@@ -188,15 +196,16 @@ def head_groups(ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def token_logs(w: Weights, h: np.ndarray, ranks: np.ndarray, classes: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """ln P of tokens ``ranks`` in states ``h``, without the shares of rare tokens."""
-    out = log_softmax(w["wc"].T @ h.T + w["bc"][:, None])[classes[ranks], np.arange(len(ranks))].astype(np.float64) + shares[ranks]
+    out = picked_logs(w["wc"].T @ h.T + w["bc"][:, None], classes[ranks]).astype(np.float64) + shares[ranks]
     for k, at in head_groups(ranks):
         rows = slice(k * CLASS, (k + 1) * CLASS)
-        out[at] += log_softmax(w["ww"][rows] @ h[at].T + w["bw"][rows, None])[ranks[at] % CLASS, np.arange(len(at))]
+        out[at] += picked_logs(w["ww"][rows] @ h[at].T + w["bw"][rows, None], ranks[at] % CLASS)
     return out
 
 
 def summed_at(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """(n, width): the sum of ``rows`` for each index in ``at``."""
+    at = at.astype(np.uint16) if n < 1 << 16 else at
     order = np.argsort(at, kind="stable")
     ordered = at[order]
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -234,20 +243,18 @@ def gradients(
     n = np.float32(len(goal) if counted is None else counted.sum())
     d = softmax(w["wc"].T @ flat.T + w["bc"][:, None])
     d[classes[goal], np.arange(len(goal))] -= 1
-    d /= n
     if counted is not None:
         d[:, ~counted] = 0
-    out: Weights = {"wc": (d @ flat).T, "bc": d.sum(1), "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
+    out: Weights = {"wc": (d @ flat).T / n, "bc": d.sum(1) / n, "ww": np.zeros_like(w["ww"]), "bw": np.zeros_like(w["bw"])}
     dh = d.T @ w["wc"].T
     for c, at in head_groups(goal if counted is None else np.where(counted, goal, KNOWN)):
         rows = slice(c * CLASS, (c + 1) * CLASS)
         own = flat[at]
         e = softmax(w["ww"][rows] @ own.T + w["bw"][rows, None])
         e[goal[at] % CLASS, np.arange(len(at))] -= 1
-        e /= n
-        out["ww"][rows], out["bw"][rows] = e @ own, e.sum(1)
+        out["ww"][rows], out["bw"][rows] = e @ own / n, e.sum(1) / n
         dh[at] += e.T @ w["ww"][rows]
-    dh = np.ascontiguousarray(dh.reshape(steps, lanes, k).transpose(0, 2, 1))
+    dh = np.ascontiguousarray(dh.reshape(steps, lanes, k).transpose(0, 2, 1)) / n
     # All gate derivatives are multiples of a state's total gradient, so only that goes backward step by step.
     r, z = gates[:, :k], gates[:, k:]
     dnew = (1 - z) * (1 - news * news)
