@@ -12,7 +12,7 @@ components than one are then joined with themselves, without pairs of one compon
 without pairs whose parity sketches alone prove them too different: 512 bits (and, for larger sets, a bit for each shingle), each the parity of the shingles that hash to it, differ in at
 most as many places as the sets. Candidates that are left are compared set by set. No limit is set on lists or partners.
 
-Comparisons are spared only between documents that other links connect already, so these links give the components. The number of all links of a document is counted
+Comparisons are spared only between documents that other links connect already, so the components come out whole. The number of all links of a document is counted
 inside the components, where all links lie: equal sets become one representative with its number of documents, and the representatives of a component are
 compared block by block, by products of incidence matrices; no pair leaves a block.
 
@@ -214,29 +214,41 @@ def postings(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.mapInArrow(post, "doc long, n int, d1 long, d2 long, tokens array<long>, sk array<long>, mid_sk array<long>, long_sk array<long>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(doc, component): the smallest doc that the links (a, b) reach, for every doc in a link. Large-star and small-star rounds until nothing changes."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        """Every node's neighbours (larger ones, or smaller ones and itself) are joined to the least of its neighbours and itself."""
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        near = both.join(least, "u")
-        if large:
-            out = near.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+def star(e: DataFrame, large: bool) -> DataFrame:
+    """Of edges (u, v), u > v: every node's neighbours (larger ones, or smaller ones and itself) are joined to the least of its neighbours and itself."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    near = both.join(least, "u")
+    if large:
+        out = near.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return out.where("u <> v").distinct()
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every u of the distinct edges (u, v) has one edge and is no v: then each component is a star around its smallest node."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("as_u")))
+    counts = ends.groupBy("x").agg(F.sum("as_u").alias("n"), F.min("as_u").alias("least"))
+    return counts.where("n > 1 OR (n = 1 AND least = 0)").count() == 0
+
 
-    edges = written(edges, "edges")
-    before = None
-    while True:
+def stars(links: DataFrame) -> DataFrame:
+    """(a, b), written: the smallest doc of each component of the links (a, b) with every other one there. Large-star and small-star rounds."""
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    while not are_stars(edges):
         edges = written(star(star(edges, True), False), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("component"))).distinct()
-        before = now
+    return edges.select(F.col("v").alias("a"), F.col("u").alias("b"))
+
+
+def memberships(tied: DataFrame) -> DataFrame:
+    """(doc, component) of stars."""
+    return tied.select(F.col("b").alias("doc"), F.col("a").alias("component")).unionByName(tied.select(F.col("a").alias("doc"), F.col("a").alias("component")).distinct())
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(doc, component): the smallest doc that the links (a, b) reach, for every doc in a link."""
+    return memberships(stars(links))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -304,9 +316,9 @@ def leader_pairs(shared: DataFrame, marks: DataFrame, percent: int) -> DataFrame
     return entry.join(leaders, ["token", "class"]).where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
 
 
-def grouped(shared: DataFrame, links: DataFrame, least: int) -> DataFrame:
-    """(token, doc, group), written: the lists of at least ``least`` documents that still hold more than one component of the links."""
-    found = components(links).select("doc", F.col("component").alias("group"))
+def grouped(shared: DataFrame, tied: DataFrame, least: int) -> DataFrame:
+    """(token, doc, group), written: the lists of at least ``least`` documents that still hold more than one component, given as stars."""
+    found = memberships(tied).withColumnRenamed("component", "group")
     side = written(shared.join(found, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "grouped")
     open_lists = side.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count(F.lit(1)).alias("k")).where((F.col("k") >= least) & (F.col("g") != F.col("h"))).select("token")
     return written(side.join(written(open_lists, "open-lists"), "token"), "open")
@@ -345,7 +357,7 @@ def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """((doc, n, d1, d2) for every row, links (a, b)): the links' components are those of all links; copies of a leader are linked through it."""
+    """((doc, n, d1, d2) for every row, ties (a, b)): the ties' components are those of all links. What earlier steps connect is tied to the component's smallest doc, linked with it or not."""
     bounded_batches(df.sparkSession, 4)
     rows = keyed_texts(df, key, text)
     posted = written(postings(rows, n, percent), "posted")
@@ -355,11 +367,11 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     known = posted.where("doc IS NOT NULL").select("doc", "n", "sk", "mid_sk", "long_sk")
     marks = written(known.join(shared.select("doc").distinct(), "doc", "left_semi").distinct(), "marks")
 
-    links = checked(leader_pairs(shared, marks, percent), marks, rows, n, percent)
-    side = grouped(shared, links, 2)
-    links = links.unionByName(checked(drawn_pairs(side), marks, rows, n, percent))
-    side = grouped(side.select("token", "doc"), links, 3)  # of two documents that a list holds, one was drawn and met the other
-    return posted.select("doc", "n", "d1", "d2"), links.unionByName(checked(remaining_pairs(side, marks, percent), marks, rows, n, percent))
+    tied = stars(checked(leader_pairs(shared, marks, percent), marks, rows, n, percent))
+    side = grouped(shared, tied, 2)
+    tied = stars(tied.unionByName(checked(drawn_pairs(side), marks, rows, n, percent)))
+    side = grouped(side.select("token", "doc"), tied, 3)  # of two documents that a list holds, one was drawn and met the other
+    return posted.select("doc", "n", "d1", "d2"), tied.unionByName(checked(remaining_pairs(side, marks, percent), marks, rows, n, percent))
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -439,7 +451,7 @@ def link_counts(found: DataFrame, sizes: DataFrame, rows: DataFrame, n: int, per
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """(doc, n_shingles, component_id, n_links) for every row of ``df``; n_links is the number of all other documents that it links with."""
     sizes, links = link_documents(df, key, text, n, percent)
-    found = written(components(links), "components")
+    found = components(links)
     counts = link_counts(found, sizes, keyed_texts(df, key, text), n, percent)
     out = sizes.join(found.join(counts, "doc", "left"), "doc", "left")
     return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -91,6 +91,28 @@ def test_group_of_copies_is_linked_through_leaders(spark):
     assert {r["component"] for r in jaccard.components(links).collect()} == {0}
 
 
+@pytest.mark.parametrize(
+    "links",
+    [
+        [],
+        [(2, 1), (1, 2), (3, 3), (1, 5)],
+        [(1, 4), (4, 2), (4, 3)],
+        [(i, i + 1) for i in range(37)],
+        [(i * 17 % 41, (i + 1) * 17 % 41) for i in range(40)],
+        [(9, 5), (9, 1), (5, 7), (20, 21), (22, 21), (30, 31)],
+        [tuple(map(int, x)) for x in np.random.default_rng(5).integers(0, 150, (110, 2))],
+    ],
+)
+def test_components_of_any_graph(spark, links):
+    parent = {x: x for link in links for x in link if link[0] != link[1]}
+    for _ in parent:
+        for a, b in links:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    got = [(r["doc"], r["component"]) for r in jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(got) == sorted(parent.items())
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, None, 5), (2, "", 5), (3, "A b", 5), (3, "a B", 5), (4, "a b", 5), (None, "a b", 5), (7, "  \n\t", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, doc long").withColumnRenamed("doc", "component")
