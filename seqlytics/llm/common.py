@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlytics.sources.scratch import scratch_path, shared_dir, table, written
+from seqlytics.sources.scratch import discard, scratch_path, shared_dir, table, written
 
-__all__ = ["as_bytes", "batch", "bounded_batches", "each", "hashed_sample", "mix64", "most_frequent", "pick", "scratch_path", "shared_dir", "table", "written"]
+__all__ = ["as_bytes", "batch", "bounded_batches", "discard", "each", "hashed_sample", "mix64", "most_frequent", "pick", "scratch_path", "shared_dir", "table", "written"]
 
 def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Arrow batches by bytes as well as rows, so that very long texts cannot fill a Python worker."""

@@ -16,6 +16,8 @@ Comparisons are spared only between documents that other links connect already,
 inside the components, where all links lie: equal sets become one representative with its number of documents, and the representatives of a component are
 compared block by block, by products of incidence matrices; no pair leaves a block.
 
+Scratch tables with postings, lists, sketches, sets or pairs are deleted as soon as the last step that reads them is written; those that the result reads stay.
+
 Defined results: texts without words, null ones too, have empty sets and no links; shorter texts than a shingle have one shingle, all their words;
 rows with the same key are one document that links where any of its texts does, and has the links of each of its different texts; null keys are left out of links and
 are their own component; an empty table gives an empty table. Other columns of the input are ignored.
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, bounded_batches, each, mix64, most_frequent, written
+from .common import as_bytes, batch, bounded_batches, discard, each, mix64, most_frequent, written
 
 #: Shingles whose order the whole join knows: the most frequent ones.
 RANKED = 200_000
@@ -164,7 +166,9 @@ def frequent_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray,
 
     found = written(rows.select("text").mapInArrow(count, "token long, n long, size long"), "shingle-counts")
     stats = {r["size"]: r["n"] for r in found.where("size >= 0").groupBy("size").agg(F.sum("n").alias("n")).collect()}
-    top = most_frequent(written(found.where("size < 0").groupBy("token").agg(F.sum("n").alias("n")), "frequent"), "n", RANKED).orderBy("n", "token").collect()
+    frequent = written(found.where("size < 0").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+    top = most_frequent(frequent, "n", RANKED).orderBy("n", "token").collect()
+    discard(found, frequent)
     tokens = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(tokens)
     scanned = stats.pop(1001, 0) / max(1, stats.pop(1000, 0))
@@ -237,7 +241,8 @@ def stars(links: DataFrame) -> DataFrame:
     """(a, b), written: the smallest doc of each component of the links (a, b) with every other one there. Large-star and small-star rounds."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while not are_stars(edges):
-        edges = written(star(star(edges, True), False), "edges")
+        last, edges = edges, written(star(star(edges, True), False), "edges")
+        discard(last)
     return edges.select(F.col("v").alias("a"), F.col("u").alias("b"))
 
 
@@ -289,23 +294,25 @@ def apart_in_long(a: Column, b: Column) -> Column:
 
 
 def still_possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches, long ones too, allow a link. Long sketches only move for pairs that the others leave.
+    """The pairs (a, b), written, whose sizes and sketches, long ones too, allow a link. Long sketches only move for pairs that the others leave.
 
     A leader may be in a third of all pairs: the joins are followed by writes, not by sums, so that Spark can split its partition.
     """
     short = marks.drop("long_sk")
     x, y = short.alias("x"), short.alias("y")
-    left = pairs.join(x, F.col("a") == F.col("x.doc")).join(y, (F.col("b") == F.col("y.doc")) & may_link("x", "y", percent)).select("a", "b")
+    left = written(pairs.join(x, F.col("a") == F.col("x.doc")).join(y, (F.col("b") == F.col("y.doc")) & may_link("x", "y", percent)).select("a", "b"), "near-pairs")
     long = marks.select("doc", "n", "long_sk")
     x, y = long.alias("x"), long.alias("y")
-    both = written(left, "near-pairs").distinct().join(x, F.col("a") == F.col("x.doc")).join(y, F.col("b") == F.col("y.doc"))
+    both = left.distinct().join(x, F.col("a") == F.col("x.doc")).join(y, F.col("b") == F.col("y.doc"))
     long_ones = (F.size("x.long_sk") > 0) & (F.size("y.long_sk") > 0)
     too_far = (100 + percent) * apart_in_long(F.col("x.long_sk"), F.col("y.long_sk")) > (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    return both.where(~F.when(long_ones, too_far).otherwise(False)).select("a", "b")
+    out = written(both.where(~F.when(long_ones, too_far).otherwise(False)).select("a", "b"), "pairs")
+    discard(left)
+    return out
 
 
 def leader_pairs(shared: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the leader of each list and size class with every other member. The leader is the set most of whose postings are in shared lists."""
+    """(a, b), written: the leader of each list and size class with every other member. The leader is the set most of whose postings are in shared lists."""
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     worth = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("in_lists")).join(marks.select("doc", "n"), "doc")
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
@@ -313,7 +320,9 @@ def leader_pairs(shared: DataFrame, marks: DataFrame, percent: int) -> DataFrame
     entry = shared.join(worth, "doc")
     leaders = entry.groupBy("token", "class").agg(F.max_by("doc", F.struct("worth", -F.col("doc"))).alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     leaders = written(leaders, "leaders")  # so that the join has a shuffle of its own, whose hot lists can be split
-    return entry.join(leaders, ["token", "class"]).where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = written(entry.join(leaders, ["token", "class"]).where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "all-pairs")
+    discard(leaders)
+    return pairs
 
 
 def grouped(shared: DataFrame, tied: DataFrame, least: int) -> DataFrame:
@@ -321,35 +330,43 @@ def grouped(shared: DataFrame, tied: DataFrame, least: int) -> DataFrame:
     found = memberships(tied).withColumnRenamed("component", "group")
     side = written(shared.join(found, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "grouped")
     open_lists = side.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count(F.lit(1)).alias("k")).where((F.col("k") >= least) & (F.col("g") != F.col("h"))).select("token")
-    return written(side.join(written(open_lists, "open-lists"), "token"), "open")
+    open_lists = written(open_lists, "open-lists")
+    out = written(side.join(open_lists, "token"), "open")
+    discard(side, open_lists)
+    return out
 
 
 def drawn_pairs(side: DataFrame) -> DataFrame:
-    """(a, b): a member of each list that a hash draws, with one member of each other group there. A group that is spread over many lists meets many of another's members."""
+    """(a, b), written: a member of each list that a hash draws, with one member of each other group there. A group that is spread over many lists meets many of another's members."""
     drawn = side.groupBy("token").agg(F.max_by(F.struct("doc", "group"), F.xxhash64("doc", "token")).alias("one"))
     others = side.groupBy("token", "group").agg(F.max_by("doc", F.xxhash64("token", "doc")).alias("doc"))
     pairs = others.join(drawn, "token").where(F.col("group") != F.col("one.group"))
-    return pairs.select(F.least("doc", "one.doc").alias("a"), F.greatest("doc", "one.doc").alias("b")).distinct()
+    return written(pairs.select(F.least("doc", "one.doc").alias("a"), F.greatest("doc", "one.doc").alias("b")).distinct(), "all-pairs")
 
 
 def remaining_pairs(side: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one list that are in different groups and may link."""
+    """(a, b), written, of one list that are in different groups and may link."""
     side = written(side.join(marks.drop("long_sk"), "doc"), "sides")
     x, y = side.alias("x"), side.alias("y")
     may = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.group") != F.col("y.group")) & may_link("x", "y", percent)
-    return x.join(y, may).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    pairs = written(x.join(y, may).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), "all-pairs")
+    discard(side)
+    return pairs
 
 
 def checked(pairs: DataFrame, marks: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those pairs that link, by their whole sets. Only documents that are in a pair have their sets built.
+    """Those of the written pairs that link, by their whole sets; the pairs are discarded. Only documents that are in a pair have their sets built.
 
     Their ids are broadcast if they are at most BROADCAST_IDS; beyond that texts are dealt out by id to meet them.
     """
-    pairs = written(still_possible(written(pairs, "all-pairs"), marks, percent), "pairs").distinct()
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    near = still_possible(pairs, marks, percent)
+    discard(pairs)
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     sets = written(shingle_sets(rows.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi"), n).distinct(), "sets")
-    return written(similar(pairs, sets, percent), "links")
+    links = written(similar(near.distinct(), sets, percent), "links")
+    discard(near, wanted, sets)
+    return links
 
 
 def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -366,12 +383,20 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     shared = written(entries.join(lists, "token"), "lists")  # a key of several rows may be in a list twice
     known = posted.where("doc IS NOT NULL").select("doc", "n", "sk", "mid_sk", "long_sk")
     marks = written(known.join(shared.select("doc").distinct(), "doc", "left_semi").distinct(), "marks")
-
-    tied = stars(checked(leader_pairs(shared, marks, percent), marks, rows, n, percent))
-    side = grouped(shared, tied, 2)
-    tied = stars(tied.unionByName(checked(drawn_pairs(side), marks, rows, n, percent)))
-    side = grouped(side.select("token", "doc"), tied, 3)  # of two documents that a list holds, one was drawn and met the other
-    return posted.select("doc", "n", "d1", "d2"), tied.unionByName(checked(remaining_pairs(side, marks, percent), marks, rows, n, percent))
+    sizes = written(posted.select("doc", "n", "d1", "d2"), "sizes")
+    discard(posted, lists)
+
+    links = checked(leader_pairs(shared, marks, percent), marks, rows, n, percent)
+    led = stars(links)
+    side = grouped(shared, led, 2)
+    discard(links, shared)
+    links = checked(drawn_pairs(side), marks, rows, n, percent)
+    tied = stars(led.unionByName(links))
+    still_open = grouped(side.select("token", "doc"), tied, 3)  # of two documents that a list holds, one was drawn and met the other
+    discard(links, side)
+    links = checked(remaining_pairs(still_open, marks, percent), marks, rows, n, percent)
+    discard(marks, still_open)
+    return sizes, tied.unionByName(links)
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -445,6 +470,7 @@ def link_counts(found: DataFrame, sizes: DataFrame, rows: DataFrame, n: int, per
     linked = dealt.groupBy("component", "i", "j").applyInArrow(counted, "component long, d1 long, d2 long, linked long").groupBy(*key).agg(F.sum("linked").alias("linked"))
     # Written, so that the join with all members has a shuffle of its own, in which a set of many copies can be split.
     of_set = written(different.join(linked, key, "left").select(*key, (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("own")), "set-links")
+    discard(several, sets)
     return members.join(of_set, key).groupBy("doc").agg(F.sum("own").cast("long").alias("n_links"))
 
 

@@ -2,12 +2,14 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from seqlytics.llm import jaccard
 from seqlytics.llm.common import as_bytes  # noqa: F401  (the subpackage imports as a whole)
+from seqlytics.sources.scratch import scratch_path
 
 
 def brute(rows, n, percent):
@@ -120,6 +122,18 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (4, 1, 3), (None, 1, None), (7, 0, 7)], key=str)
 
 
+def test_scratch_tables_go_when_their_last_reader_is_written(spark):
+    def tables():
+        return set(Path(scratch_path(spark, "x")).parent.glob("*"))
+
+    before = tables()
+    rows = corpus(5)
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {p.name.rpartition("-")[0] for p in tables() - before} <= {"sizes", "links", "edges", "members", "set-links"}
+    for _ in range(2):  # nothing that is left to compute reads what is gone
+        assert {r["doc"]: ([r["n_shingles"]], r["component_id"], r["n_links"]) for r in found.collect()} == brute(rows, 4, 85)
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
