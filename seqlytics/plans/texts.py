@@ -65,7 +65,7 @@ def dict_items(spark, sf):
 
 @registered("dict_prefix", "SELECT page_id AS id FROM pages WHERE starts_with(url, 'https://blog.')")
 def dict_prefix(spark, sf):
-    return textdict.TextDictionary(du_rows(spark, sf)).find_prefix("https://blog.")
+    return textdict.TextDictionary(du_rows(spark, sf), distinct=False).find_prefix("https://blog.")
 
 
 @registered("dict_prefix_trie_order", "SELECT page_id AS id, row_number() OVER (ORDER BY hex(encode(url))) - 1 AS ordinal FROM pages WHERE starts_with(url, 'https://')")
