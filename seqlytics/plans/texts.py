@@ -76,7 +76,7 @@ def dict_prefix_trie_order(spark, sf):
 
 @registered("dict_suffix", "SELECT page_id AS id FROM pages WHERE ends_with(url, '.html')")
 def dict_suffix(spark, sf):
-    return textdict.TextDictionary(du_rows(spark, sf)).find_suffix(".html")
+    return textdict.TextDictionary(du_rows(spark, sf), distinct=False).find_suffix(".html")
 
 
 @registered("dict_substring", "SELECT doc_id AS id FROM documents WHERE contains(text, 'tion the')")

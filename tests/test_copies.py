@@ -29,3 +29,8 @@ def both(spark, folder, name, table="pages"):
 def test_prefix(spark, pages):
     got, want = both(spark, pages, "dict_prefix")
     assert got == want == [(0,), (1,), (4,), (6,)]
+
+
+def test_suffix(spark, pages):
+    got, want = both(spark, pages, "dict_suffix")
+    assert got == want == [(0,), (3,), (4,), (6,)]
