@@ -162,7 +162,8 @@ def trie_correlation(spark, sf):
 
 @registered("trie_url_nodes", "WITH RECURSIVE d AS (SELECT page_id AS id, url AS s FROM pages) " + NODES_OF_D + "SELECT * FROM t")
 def trie_url_nodes(spark, sf):
-    return trie.trie_nodes(du_rows(spark, sf))
+    """Pages may share a url: a row for each of them."""
+    return trie.trie_entries(du_rows(spark, sf))
 
 
 @registered("trie_child_offsets", NODES + "SELECT node, CASE WHEN children > 0 THEN (sum(children) OVER (ORDER BY node) - children)::BIGINT ELSE -1 END AS first_child FROM t")

@@ -34,3 +34,23 @@ def test_prefix(spark, pages):
 def test_suffix(spark, pages):
     got, want = both(spark, pages, "dict_suffix")
     assert got == want == [(0,), (3,), (4,), (6,)]
+
+
+def untied(rows, columns, key, *open_columns):
+    """The rows without the columns that the SQL's ORDER BY leaves open, and all values of those for each key."""
+    at = [columns.index(c) for c in open_columns]
+    sets = {(r[columns.index(key)], c): set() for r in rows for c in open_columns}
+    for r in rows:
+        for c, i in zip(open_columns, at, strict=True):
+            sets[r[columns.index(key)], c].add(r[i])
+    return sorted(str([x for i, x in enumerate(r) if i not in at]) for r in rows), sets
+
+
+def test_trie_of_shared_urls(spark, pages):
+    """A row for each page. Which of the pages of a url gets which of its numbers is open in the SQL, and goes by ids here."""
+    got, want = both(spark, pages, "trie_url_nodes")
+    columns = ["prefix", "parent", "depth", "label_bytes", "terminal_id", "children", "node"]
+    assert untied(got, columns, "prefix", "terminal_id", "node") == untied(want, columns, "prefix", "terminal_id", "node")
+    assert {r[4] for r in got} - {None} == set(range(len(URLS))) and sorted(r[6] for r in got) == list(range(len(got)))
+    rows = sorted(got, key=lambda r: r[6])
+    assert rows == sorted(got, key=lambda r: (r[0], -1 if r[4] is None else r[4]))
