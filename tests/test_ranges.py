@@ -65,3 +65,22 @@ def test_predecessor_of_short_ranges_takes_no_rounds(spark, small_groups, monkey
     monkeypatch.setattr(sequence, "kth_smallest", forbidden)
     got, want = neighbours(spark, "predecessor")
     assert got == want
+
+
+def test_successor_of_short_ranges_takes_no_rounds(spark, small_groups, monkeypatch):
+    monkeypatch.setattr(sequence, "kth_smallest", forbidden)
+    got, want = neighbours(spark, "successor")
+    assert got == want
+
+
+def test_short_and_long_ranges_in_one_batch(spark, small_groups):
+    rng = random.Random(6)
+    values = [rng.randrange(30) for _ in range(120)]
+    asked = [(q, *sorted((rng.randrange(121), rng.randrange(121))), rng.randrange(-1, 40), rng.randrange(32)) for q in range(70)] + [r for r in SHORT if r[0] >= 100]
+    queries = spark.createDataFrame(asked, "qid long, l long, r long, k long, v long")
+    kth = {r["qid"]: r["quantile"] for r in sequence.quantile_batch(rows_of(spark, values), queries).collect()}
+    near = {r["qid"]: (r["predecessor"], r["successor"]) for r in sequence.neighbour_batch(rows_of(spark, values), queries).collect()}
+    for q, a, b, k, v in asked:
+        part = sorted(values[max(0, a) : b])
+        assert kth[q] == (part[k] if 0 <= k < len(part) else None)
+        assert near[q] == (max((x for x in part if x < v), default=None), min((x for x in part if x >= v), default=None))
