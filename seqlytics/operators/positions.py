@@ -20,8 +20,8 @@ BROADCAST_QUERIES = 64
 ASKED = 1 << 14
 #: Rows of a summary (values, blocks, strings) that one task may order.
 ONE_TASK = 1 << 20
-#: Bits of a value that one level of a count, and one round of a k-th smallest, looks at.
-LEVEL, ROUND = 2, 3
+#: Bits of a value that one round of a k-th smallest looks at.
+ROUND = 3
 
 
 def block_of(pos: Column | str, size: int = BLOCK) -> Column:
@@ -151,30 +151,6 @@ def _shifted(c: Column, bits: Column | int) -> Column:
     return F.call_function("shiftright", c, F.lit(bits) if isinstance(bits, int) else bits)
 
 
-def smaller_before(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(qid, n): the sum, over the rows (qid, v, p, sign) of ``asked``, of sign times the number of positions below p with a value below v.
-
-    The values below v are the union of a few aligned blocks of values: for each level of LEVEL bits the block of the digits above, with a smaller digit there.
-    So every row counts once in each level, for the block it is in, and each question is some rank questions. Values are BIGINT; nothing grows with a range's length.
-    """
-    levels = -(-_bits(rows) // LEVEL)
-    if not levels:
-        return asked.groupBy("qid").agg(F.lit(0).cast("long").alias("n"))
-    fan = (1 << LEVEL) - 1
-    entries = rows.select("pos", "value", F.explode(F.array(*[F.lit(t) for t in range(levels)])).alias("_l")).select("pos", "_l", _shifted(F.col("value"), F.col("_l") * LEVEL).alias("_q"))
-    v = F.least(F.greatest(F.col("v"), F.lit(0)), F.lit((1 << LEVEL * levels) - 1)).cast("long")
-
-    def pieces(t: int) -> list[Column]:
-        top = _shifted(F.col("_v"), t * LEVEL)
-        digit = top.bitwiseAND(F.lit(fan))
-        return [F.when(digit >= j, F.struct(F.lit(t).alias("_l"), (top - j).alias("_q"))) for j in range(1, fan + 1)]
-
-    found = asked.withColumn("_v", v).select("qid", "sign", F.col("p").cast("long").alias("_k"), F.explode(F.array_compact(F.array(*[x for t in range(levels) for x in pieces(t)]))).alias("_m"))
-    marks = found.select(F.col("_m._l").alias("_l"), F.col("_m._q").alias("_q"), "qid", "sign", "_k", F.lit(0).alias("_tag"))
-    counted = counts_at(entries, marks, ("_l", "_q"), "pos").groupBy("qid").agg(F.sum(F.col("sign") * F.col("_n")).alias("n"))
-    return asked.select("qid").distinct().join(counted, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
 def kth_smallest(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """(qid, kth): the k-th smallest (0-based) value of ``[l, r)`` for each row (qid, l, r, k); no row where there is none.
 

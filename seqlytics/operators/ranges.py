@@ -1,5 +1,7 @@
 """Batches of questions on ranges of positions and values, (pos, value) with BIGINT values: each row and each question goes to a few groups, and a group is answered by a wavelet matrix in one task's memory.
 
+Counts: a range is answered by the blocks that hold its ends, and, for the blocks between, by the chunk of values that holds the bound and a table of counts by chunk and block.
+So every row goes to one block and, summed by value and block, to one chunk; a question goes to two blocks and a chunk for each bound.
 Short ranges lie in one window of blocks that overlap, which also knows their k-th smallest value, predecessor and successor.
 Groups that many ask are given to several tasks, each with a part of the questions.
 """
@@ -10,12 +12,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-#: Positions of a block.
-SIDE = 1 << 17
+from seqlytics.sources.scratch import written
+
+#: Positions of a block, and rows of a chunk, at least; blocks and chunks at most, so that the table of counts has 8 MB.
+SIDE, MOST = 1 << 17, 1 << 10
 #: Questions of a group that one task answers.
 SHARE = 1 << 18
 #: The longest range that a window holds wherever it starts.
@@ -94,6 +98,73 @@ def met(rows: DataFrame, asked: DataFrame, answer: Callable[[int, pa.Table, pa.T
     return own.unionByName(others).groupBy("_g", "_part").applyInArrow(told, schema)
 
 
+def chunk_of(v: Column, df: DataFrame, edges: list[int], name: str) -> DataFrame:
+    """Adds how many of the ascending ``edges`` are at or below ``v``, by halving."""
+    steps = len(edges).bit_length()
+    padded = edges + [None] * ((1 << steps) - len(edges))
+    at = F.array(*[F.lit(e).cast("long") for e in padded])
+    df = df.withColumn(name, F.lit(0))
+    for s in range(steps - 1, -1, -1):
+        there = F.get(at, F.col(name) + ((1 << s) - 1))
+        df = df.withColumn(name, F.col(name) + F.when(there <= v, 1 << s).otherwise(0))
+    return df
+
+
+def counts_in_ranges(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, n): how many values of ``[l, r)`` are below ``hi``, and if there is a column ``lo`` not below that, for each row (qid, l, r, hi, lo) of ``asked`` where any are."""
+    rows = rows.where("value IS NOT NULL").select(F.col("pos").cast("long").alias("pos"), F.col("value").alias("_v"))
+    top = rows.agg(F.max("pos")).first()[0]
+    bounded = "lo" in asked.columns
+    low = F.col("lo") if bounded else F.lit(None)
+    asked = asked.select("qid", F.greatest(F.col("l").cast("long"), F.lit(0)).alias("_x"), F.least(F.col("r").cast("long"), F.lit(-1 if top is None else top) + 1).alias("_y"), low.cast("long").alias("_w"), F.col("hi").cast("long").alias("_v"))
+    asked = asked.where("_x < _y AND _v IS NOT NULL" + " AND _w < _v" * bounded)
+    if top is None:
+        return asked.select("qid", F.lit(0).cast("long").alias("n"))
+    side = max(SIDE, -(-(top + 1) // MOST))
+
+    def block(c: str) -> Column:
+        return F.expr(f"{c} div {side}")
+
+    entries = written(rows.groupBy("_v", block("pos").alias("_x")).agg(F.count(F.lit(1)).alias("_y")), "range-entries")
+    chunks = min(MOST, -(-entries.count() // SIDE))
+    edges = entries.agg(F.percentile_approx("_v", F.array(*[F.lit(i / chunks) for i in range(1, chunks)]), F.lit(max(10_000, 20 * chunks)))).first()[0] if chunks > 1 else []
+    edges = sorted(set(edges))
+    table = chunk_of(F.col("_v"), entries, edges, "_c").groupBy("_c", "_x").agg(F.sum("_y").alias("_y")).toArrow()  # at most MOST squared
+    before = np.zeros((len(edges) + 2, top // side + 3), np.int64)
+    np.add.at(before, (column(table, "_c") + 1, column(table, "_x") + 1), column(table, "_y"))
+    before = before.cumsum(0).cumsum(1)
+
+    asked = asked.withColumns({"_a": block("_x"), "_b": block("_y")})
+    one = F.col("_a") == F.col("_b")
+    parts = F.array(
+        F.struct(F.col("_b").alias("_g"), F.when(one, F.col("_x")).otherwise(F.lit(0)).alias("_x"), F.col("_y").alias("_y")),
+        F.when(~one & (F.col("_x") > F.col("_a") * side), F.struct(F.col("_a").alias("_g"), (-F.col("_x")).alias("_x"), F.lit(-1).cast("long").alias("_y"))),
+    )
+    ends = asked.select("qid", "_v", "_w", F.explode(F.array_compact(parts)).alias("_p")).select("_p._g", "qid", "_p._x", "_p._y", "_v", "_w")
+    values = F.array_compact(F.array(F.struct(F.col("_v").alias("_v"), F.lit(1).cast("long").alias("_w")), F.when(F.col("_w").isNotNull(), F.struct(F.col("_w").alias("_v"), F.lit(-1).cast("long").alias("_w")))))
+    between = asked.where("_a < _b").select("qid", F.col("_a").alias("_x"), F.col("_b").alias("_y"), F.explode(values).alias("_p")).select("qid", "_x", "_y", "_p._v", "_p._w")
+    between = chunk_of(F.col("_v"), between, edges, "_c").select((-1 - F.col("_c")).cast("long").alias("_g"), "qid", "_x", "_y", "_v", "_w")
+    own = rows.select(block("pos").alias("_g"), F.col("pos").alias("_x"), F.lit(1).cast("long").alias("_y"), "_v")
+    own = own.unionByName(chunk_of(F.col("_v"), entries, edges, "_c").select((-1 - F.col("_c")).cast("long").alias("_g"), "_x", "_y", "_v"))
+
+    def answer(g: int, here: pa.Table, there: pa.Table) -> dict:
+        places, x, y, v = column(here, "_x"), column(there, "_x"), column(there, "_y"), column(there, "_v")
+        if g < 0:
+            matrix = Matrix(column(here, "_v"), column(here, "_y"))
+            n = matrix.less(np.searchsorted(places, x), np.searchsorted(places, y), v) + before[-1 - g][y] - before[-1 - g][x]
+            return {"n": pa.array(n * column(there, "_w"))}
+        matrix = Matrix(column(here, "_v"))
+        sign = np.where(y < 0, -1, 1)  # what is before the range's start, in its block
+        l, r = np.searchsorted(places, np.where(y < 0, 0, x)), np.searchsorted(places, np.where(y < 0, -x, y))
+        n = matrix.less(l, r, v)
+        if bounded:
+            n -= matrix.less(l, r, column(there, "_w"))
+        return {"n": pa.array(n * sign)}
+
+    found = met(own, ends.unionByName(between), answer, ["n"])
+    return found.groupBy("qid").agg(F.sum("n").alias("n"))
+
+
 def in_windows(rows: DataFrame, asked: DataFrame, column_of: str, fields: tuple[str, ...]) -> DataFrame:
     """(qid, fields) for ranges ``[l, r)`` of at most NEAR positions: ``kth``, the smallest value of the 0-based rank in ``column_of``, or predecessor and successor of the value there; null where there is none."""
     size = SIDE

@@ -84,3 +84,46 @@ def test_short_and_long_ranges_in_one_batch(spark, small_groups):
         part = sorted(values[max(0, a) : b])
         assert kth[q] == (part[k] if 0 <= k < len(part) else None)
         assert near[q] == (max((x for x in part if x < v), default=None), min((x for x in part if x >= v), default=None))
+
+
+def naive_counts(values, asked):
+    part = {q: values[max(0, a) : b] for q, a, b, *_ in asked}
+    return {q: sum(x < v for x in part[q]) for q, _, _, v, _, _ in asked}, {q: sum(lo <= x < hi for x in part[q]) for q, _, _, _, lo, hi in asked}
+
+
+@pytest.mark.parametrize("most", [1 << 10, 4])
+@pytest.mark.parametrize("spread", [3, 400])
+def test_counts_by_blocks_and_chunks(spark, small_groups, monkeypatch, most, spread):
+    """Many blocks and chunks, few of both, and few values that many rows have."""
+    monkeypatch.setattr(ranges, "MOST", most)
+    rng = random.Random(7)
+    values = [rng.randrange(spread) for _ in range(300)]
+    asked = [(q, *sorted((rng.randrange(301), rng.randrange(301))), *(rng.randrange(-2, spread + 3) for _ in range(3))) for q in range(90)]
+    asked += [(100, 0, 300, spread, 0, spread), (101, 64, 128, 1, 0, 1), (102, -5, 999, 2, 2, 1), (103, 20, 10, 2, 0, 2), (104, 16, 16, 2, 0, 2), (105, 300, 310, 2, 0, 2)]
+    queries = spark.createDataFrame(asked, "qid long, l long, r long, v long, lo long, hi long")
+    less, inside = naive_counts(values, asked)
+    assert {r["qid"]: r["n_less"] for r in sequence.count_less_batch(rows_of(spark, values), queries).collect()} == less
+    assert {r["qid"]: r["n_in"] for r in sequence.range_freq_batch(rows_of(spark, values), queries).collect()} == inside
+
+
+def given(monkeypatch, f):
+    """How many rows and questions reach the groups while ``f`` runs."""
+    seen, met = [], ranges.met
+    monkeypatch.setattr(ranges, "met", lambda rows, asked, *rest: seen.append((rows.count(), asked.count())) or met(rows, asked, *rest))
+    f()
+    return seen[0]
+
+
+def test_value_ranges_are_asked_four_times_at_most(spark, small_groups, monkeypatch):
+    """Whatever the number of bits of the values: rows in a block and a chunk, a question at two blocks and with two bounds."""
+    values = [x * 7919 % (1 << 40) for x in range(300)]
+    queries = spark.createDataFrame([(q, q // 3, q, q * 5000, q * 90000) for q in range(300)], "qid long, l long, r long, lo long, hi long")
+    rows, asked = given(monkeypatch, lambda: sequence.range_freq_batch(rows_of(spark, values), queries))
+    assert rows <= 2 * 300 and asked <= 4 * 300
+
+
+def test_no_rows(spark, small_groups):
+    queries = spark.createDataFrame([(1, 0, 5, 3, 0, 3)], "qid long, l long, r long, v long, lo long, hi long")
+    none = rows_of(spark, [1]).where("pos < 0")
+    assert sequence.count_less_batch(none, queries).first()["n_less"] == sequence.range_freq_batch(none, queries).first()["n_in"] == 0
+    assert sequence.quantile_batch(none, queries.withColumn("k", queries.v)).first()["quantile"] is None
