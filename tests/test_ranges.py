@@ -127,3 +127,11 @@ def test_no_rows(spark, small_groups):
     none = rows_of(spark, [1]).where("pos < 0")
     assert sequence.count_less_batch(none, queries).first()["n_less"] == sequence.range_freq_batch(none, queries).first()["n_in"] == 0
     assert sequence.quantile_batch(none, queries.withColumn("k", queries.v)).first()["quantile"] is None
+
+
+def test_smaller_values_before_a_position_are_asked_twice_at_most(spark, small_groups, monkeypatch):
+    """As in the numeric order: a question at the block of its position and with its bound."""
+    values = [x * 7919 % (1 << 40) for x in range(300)]
+    queries = spark.createDataFrame([(q, 0, q, values[q]) for q in range(300)], "qid long, l long, r long, v long")
+    rows, asked = given(monkeypatch, lambda: sequence.count_less_batch(rows_of(spark, values), queries))
+    assert rows <= 2 * 300 and asked <= 2 * 300
