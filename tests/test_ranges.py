@@ -143,3 +143,10 @@ def test_ranks_of_smaller_values_in_crowded_groups(spark, small_groups):
     for asked in ([(q, 0, 299, q % 50) for q in range(200)], [(q, 0, q, 25) for q in range(200)]):
         answers = sequence.count_less_batch(rows_of(spark, values), spark.createDataFrame(asked, "qid long, l long, r long, v long")).collect()
         assert {r["qid"]: r["n_less"] for r in answers} == {q: sum(x < v for x in values[:b]) for q, _, b, v in asked}
+
+
+def test_smaller_values_in_ranges_are_asked_three_times_at_most(spark, small_groups, monkeypatch):
+    values = [x * 7919 % (1 << 40) for x in range(300)]
+    queries = spark.createDataFrame([(q, q // 3, q, values[q]) for q in range(300)], "qid long, l long, r long, v long")
+    rows, asked = given(monkeypatch, lambda: sequence.count_less_batch(rows_of(spark, values), queries))
+    assert rows <= 2 * 300 and asked <= 3 * 300
